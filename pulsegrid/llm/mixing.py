@@ -73,24 +73,34 @@ def draws(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def settle(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, salt: int) -> np.ndarray:
-    """Pivotal rounding of one block: at most one entry stays fractional."""
-    p = np.clip(p.astype(np.float64), 0.0, 1.0)
+def settle(keys: np.ndarray, sizes: np.ndarray, p: np.ndarray, salt: int) -> np.ndarray:
+    """Pivotal rounding of one block: at most one entry stays fractional.
+
+    The fractional documents meet from the largest to the smallest, the open one
+    of each pair going on to the next, so what stays open at the end is small and
+    with it the distance from the target.
+    """
     eps = 1e-9
+    p = np.clip(p.astype(np.float64), 0.0, 1.0)
     p[p < eps], p[p > 1 - eps] = 0.0, 1.0
     live = np.flatnonzero((p > 0) & (p < 1))
-    while len(live) > 1:
-        half = len(live) // 2
-        a, b = live[:half], live[half : 2 * half]
-        up = np.minimum(sizes[a] * (1 - p[a]), sizes[b] * p[b])
-        down = np.minimum(sizes[a] * p[a], sizes[b] * (1 - p[b]))
-        move = np.where(draws(ids[a], ids[b], salt) * (up + down) < down, up, -down)
-        p[a] += move / sizes[a]
-        p[b] -= move / sizes[b]
-        p[p < eps], p[p > 1 - eps] = 0.0, 1.0
-        left = live[2 * half :]
-        live = np.concatenate((left, live[: 2 * half]))
-        live = live[(p[live] > 0) & (p[live] < 1)]
+    live = live[np.lexsort((keys[live], -sizes[live]))]
+    chance = draws(keys[live], keys[live], salt).tolist()
+    size, prob = sizes[live].tolist(), p[live].tolist()
+    a = 0
+    for b in range(1, len(live)):
+        if not 0 < prob[a] < 1:
+            a = b  # both of the last pair were settled
+            continue
+        up = min(size[a] * (1 - prob[a]), size[b] * prob[b])
+        down = min(size[a] * prob[a], size[b] * (1 - prob[b]))
+        move = up if chance[b] * (up + down) < down else -down
+        for i, x in ((a, move / size[a]), (b, -move / size[b])):
+            prob[i] += x
+            prob[i] = 0.0 if prob[i] < eps else 1.0 if prob[i] > 1 - eps else prob[i]
+        if not 0 < prob[a] < 1:
+            a = b
+    p[live] = prob
     return p
 
 
