@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing
+from pulsegrid.llm import mixing, mpeg, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mpeg_audio": op5_mpeg_audio,
+    "op7_quadratic_discriminant": op7_quadratic_discriminant,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
 
