@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing, mpeg, quality
+from pulsegrid.llm import mixing, mpeg, pieces, quality, warc
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizers are installed; operators take the path itself."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +24,18 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("segments")
+
+
 def op7_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -28,7 +43,9 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mpeg_audio": op5_mpeg_audio,
+    "op6_warc_segments": op6_warc_segments,
     "op7_quadratic_discriminant": op7_quadratic_discriminant,
+    "op8_distinct_chunks": op8_distinct_chunks,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
 
