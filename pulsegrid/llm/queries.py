@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing, mpeg, pieces, quality, warc
+from pulsegrid.llm import mixing, mpeg, pieces, quality, separators, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +36,10 @@ def op8_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), end=2)
+
+
 def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_segments": op6_warc_segments,
     "op7_quadratic_discriminant": op7_quadratic_discriminant,
     "op8_distinct_chunks": op8_distinct_chunks,
+    "op9_separator_scan": op9_separator_scan,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
 
