@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing, mpeg, pieces, quality, separators, warc
+from pulsegrid.llm import mixing, mpeg, pieces, quality, separators, suffix_tree, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.round_trip(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_tree": op2_suffix_tree,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_warc_segments": op6_warc_segments,
     "op7_quadratic_discriminant": op7_quadratic_discriminant,
