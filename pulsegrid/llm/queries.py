@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import mixing, mpeg, order_minhash, pieces, quality, separators, suffix_tree, warc
+from pulsegrid.llm import fingerprints, mixing, mpeg, order_minhash, pieces, quality, separators, suffix_tree, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.round_trip(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_tree": op2_suffix_tree,
     "op3_order_minhash": op3_order_minhash,
+    "op4_fingerprint_index": op4_fingerprint_index,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_warc_segments": op6_warc_segments,
     "op7_quadratic_discriminant": op7_quadratic_discriminant,
