@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pulsegrid.llm.components import components
 from pulsegrid.llm.storage import new_folder, saved
@@ -238,6 +239,6 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest doc_id stays, columns unchanged."""
     path = new_folder(docs.sparkSession, "near-input")
     docs.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    rows = docs.sparkSession.read.schema(docs.schema.add("_row", "long", False)).parquet(path)
+    rows = docs.sparkSession.read.schema(StructType([*docs.schema.fields, StructField("_row", LongType())])).parquet(path)
     first = _classes(rows, "_row").select(F.col("first").alias("_row")).distinct()
     return rows.join(first, "_row", "left_semi").select(*docs.columns)

@@ -90,14 +90,14 @@ ORACLE_SQL: dict[str, str] = {
     "op4_fingerprint_index": """
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
-        ), s AS (
-            SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM w WHERE len(words) >= 20
+        ), each AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos, len(words) AS n FROM w
+        ), spans AS (
+            SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS span FROM each
         ), ranked AS (
-            SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS nth FROM s
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY span ORDER BY doc_id, pos) AS nth FROM spans WHERE pos <= n - 19
         ), removed AS (
             SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM ranked WHERE nth > 1
-        ), each AS (
-            SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w
         ), kept AS (
             SELECT doc_id, count(r.pos) AS lost, string_agg(word, ' ' ORDER BY pos) FILTER (r.pos IS NULL) AS words
             FROM each LEFT JOIN removed r USING (doc_id, pos) GROUP BY doc_id
