@@ -1,23 +1,52 @@
-"""Documents to a token-ready training mix: filter, deduplicate, mix, encode.
+"""Documents to a tokenised training mix: filter, deduplicate, mix, encode.
 
-Each stage is one operator of :mod:`pulsegrid.llm`; between stages the rows are
-written as Parquet to the shared folder and read again.
+Each stage is one operator of :mod:`pulsegrid.llm` over all rows that the stage
+before it kept; between stages the rows are written as Parquet to the shared
+folder and read again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import mixing
+from pulsegrid.llm import fingerprints, mixing, order_minhash, pieces, quality
+from pulsegrid.llm.queries import tokenizer_file
 from pulsegrid.llm.storage import saved
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest doc_id."""
+    return order_minhash.first_of_each(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages that stand in an earlier place."""
+    left = fingerprints.deduplicated(docs, texts=True)
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixing.taken_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, as a count and digests."""
+    return pieces.encoded(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
 STAGES = [
-    ("mixing sources to target weights", mix),
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 #: The stages are not expressible in SQL; tests hold them against brute force.
@@ -25,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the whole table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
