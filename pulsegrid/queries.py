@@ -208,12 +208,12 @@ _PAIRS = """
 
 
 @registered(f"""
-    WITH {_PAIRS} SELECT o_orderpriority AS operation, o_orderstatus AS status, sum(et - st)::BIGINT AS lat_sum, round(avg(et - st), 4) AS lat_avg, min(et - st) AS lat_min, max(et - st) AS lat_max,
+    WITH {_PAIRS} SELECT o_orderpriority AS operation, o_orderstatus AS status, sum(et - st)::BIGINT AS lat_sum, round(avg(et - st), 0) AS lat_avg, min(et - st) AS lat_min, max(et - st) AS lat_max,
         count(*) AS requests, sum(o_custkey)::BIGINT AS docs FROM q WHERE st IS NOT NULL AND et IS NOT NULL GROUP BY ALL
 """)
 def request_latency_by_op(spark: SparkSession, d: str) -> DataFrame:
     r = _order_requests(spark, d).select(F.col("o_orderpriority").alias("operation"), F.col("o_orderstatus").alias("status"), "st", "et", F.col("o_custkey").alias("docs"))
-    return rounded(requests.latency_by(r, ["operation", "status"], "docs"))
+    return rounded(requests.latency_by(r, ["operation", "status"], "docs"), 0)
 
 
 def _day_requests(spark: SparkSession, d: str) -> DataFrame:
