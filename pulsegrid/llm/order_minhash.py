@@ -12,10 +12,11 @@ has L / (n + m - L) >= 0.8.  That bounds the insertions and deletions by
 components of the links.
 
 Equal word sequences become one node first, however many copies there are.
-Within a bucket of equal sketches not all pairs are made: each member meets the
-member whose sketches are the most common of all, then, round by round, the next
-such members where it is not in their component yet.  What is still in different
-components afterwards is compared in full, so no candidate link is lost.
+Within a bucket of equal sketches not all pairs are made.  Each member meets the
+bucket's leader, the member whose sketches are the most common of all, which
+joins most copies of one original.  A member that stays outside can be similar to
+another one only if both deviate from the leader in the same shingles; such pairs
+are found by a join on deviations and verified too, so no candidate link is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -35,8 +36,6 @@ from pulsegrid.llm.words import gram_hashes, mix, word_slices
 
 SHINGLE, SKETCHES, WIDTH = 5, 12, 3
 SIMILARITY = 0.8
-#: Members of a bucket that all others meet, one a round, before the full comparison.
-PIVOTS = 3
 #: Row ids broadcast at most, 8 bytes each; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 _LABEL = np.uint64(0xA24BAED4963EE407)
@@ -165,10 +164,64 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-    # the member's text first: its pairs are few, while a pivot has as many as its bucket
+    # the follower's text first: its pairs are few, while a leader has as many as its buckets
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def deviations(leader: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(labelled shingles that only the other has, labelled shingles that only the leader has)."""
+    x, y = labelled(leader), labelled(other)
+    return np.setdiff1d(y, x), np.setdiff1d(x, y)
+
+
+def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components among the followers of a leader that can be similar at all.
+
+    ``family`` has (a, row, root, a_root): a leader, a follower, and their components.
+
+    Of two followers in different components one, C, is outside of the leader's.
+    Where C lacks too much of the leader P's content, b(C) > (p + c) / 9 with b the
+    number of deviations from P, a follower A can be similar to C only if they
+    share more than b(A) / 2 + (p - a) / 18 deviations.  So one shared deviation is
+    among any b(A) - floor(b(A) / 2 + (p - a) / 18) of A's: A is found under that many,
+    those that only A has first, and C asks with all of its own.  Where C has the
+    content of P but in another order, it is compared with all followers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                outside = (b.column(2).to_numpy() != b.column(3).to_numpy()).tolist()
+                at, e, asks, found = [], [], [], []
+                for k, ((_, x), (_, y)) in enumerate(zip(shingles(b.column(4)), shingles(b.column(5)), strict=True)):
+                    novel, missing = deviations(x, y)
+                    own = np.concatenate(([np.uint64(0)], novel, mix(missing ^ _LABEL)))
+                    n = len(own) - 1
+                    under = max(0, min(n, n - int(np.floor(n / 2 + (len(x) - len(y)) / 18))))
+                    listed = np.arange(n + 1) <= under
+                    lacks = 9 * n > len(x) + len(y)
+                    asking = np.full(n + 1, outside[k] and lacks)
+                    asking[0] = outside[k] and not lacks
+                    use = listed | asking
+                    at.append(np.full(int(use.sum()), k))
+                    e.append(own[use])
+                    asks.append(asking[use])
+                    found.append(listed[use])
+                if at:
+                    of = pa.array(np.concatenate(at))
+                    rows = [b.column(c).take(of) for c in (0, 1, 2)]
+                    yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate(e).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(np.concatenate(found))], names)
+
+    names = ["a", "row", "root", "e", "asks", "found"]
+    one = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
+    joined = family.join(texts, "row").join(one, "a").select("a", "row", "root", "a_root", "ta", "text")
+    elements = saved(joined.mapInArrow(run, "a long, row long, root long, e long, asks boolean, found boolean"), "near-deviations")
+    asked = elements.where("asks").select("a", "e", F.col("row").alias("c"), F.col("root").alias("c_root"))
+    met = elements.where("found").join(asked, ["a", "e"]).where("root <> c_root")
+    return met.select(F.greatest("row", "c").alias("a"), F.least("row", "c").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs`` (doc_id, text and any others).
 
@@ -203,33 +256,23 @@ def _classes(docs: DataFrame, row: str | None) -> DataFrame:
         wanted = F.broadcast(wanted)
     texts = saved(nodes.select("row", "text").join(wanted, "row", "left_semi"), "near-texts")
 
-    links, roots = None, None
-    for turn in range(PIVOTS + 1):
-        state = buckets if roots is None else buckets.join(roots.withColumnRenamed("node", "row"), "row", "left")
-        state = state.withColumn("root", F.coalesce(F.col("root"), F.col("row")) if roots is not None else F.col("row"))
-        if turn:  # buckets that are one component are done
-            open_ = state.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
-            state = saved(state.join(open_, ["band", "key"], "left_semi"), "near-open")
-            if state.isEmpty():
-                break
-        if turn < PIVOTS:
-            lead = F.struct(F.col("weight"), -F.col("row"), F.col("n"), F.col("root"))
-            if turn == 0:
-                best = state.groupBy("band", "key").agg(F.max(lead).alias("p"))
-            else:
-                # the next most common text that is not in the largest text's component
-                top = state.groupBy("band", "key").agg(F.max_by("root", lead).alias("top"))
-                best = state.join(top, ["band", "key"]).where("root <> top").groupBy("band", "key").agg(F.max(lead).alias("p"))
-            pivots = best.select("band", "key", (-F.col("p.col2")).alias("a"), F.col("p.n").alias("an"), F.col("p.root").alias("aroot"))
-            pairs = state.join(pivots, ["band", "key"]).where("root <> aroot")
-        else:
-            other = state.select("band", "key", F.col("row").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
-            pairs = state.join(other, ["band", "key"]).where("root <> aroot and row < a")
-        fit = F.least("n", "an") >= F.lit(SIMILARITY) * F.greatest("n", "an")
-        pairs = saved(pairs.where(fit).select("a", F.col("row").alias("b")).distinct(), "near-pairs")
-        new = saved(_verified(pairs, texts), "near-links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+    # every member of a bucket meets the member whose sketches are the most common
+    lead = F.struct(F.col("weight"), -F.col("row"), F.col("n"))
+    leads = buckets.groupBy("band", "key").agg(F.max(lead).alias("p")).select("band", "key", (-F.col("p.col2")).alias("a"), F.col("p.n").alias("an"))
+    led = saved(buckets.drop("weight").join(leads, ["band", "key"]), "near-led")
+    fit = F.least("n", "an") >= F.lit(SIMILARITY) * F.greatest("n", "an")
+    pairs = saved(led.where(fit & (F.col("row") != F.col("a"))).select("a", F.col("row").alias("b")).distinct(), "near-pairs")
+    links = saved(_verified(pairs, texts), "near-links")
+    roots = saved(components(links), "near-roots")
+    # members outside of their leader's component, and what could still link them
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    state = led.join(named("row"), "row", "left").withColumn("root", F.coalesce("row_root", "row"))
+    open_ = state.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
+    family = state.join(open_, ["band", "key"], "left_semi").where("row <> a").select("a", "row", "root").distinct()
+    family = saved(family.join(named("a"), "a", "left").withColumn("a_root", F.coalesce("a_root", "a")), "near-family")
+    if not family.isEmpty():
+        more = saved(_verified(saved(_deviating(family, texts), "near-pairs"), texts), "near-links")
+        roots = components(links.unionByName(more))
     grouped = members.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("class"))
     named = grouped.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
     return grouped.join(named, "class").select("row", "doc_id", "class_id", "first")
