@@ -184,7 +184,9 @@ def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
     number of deviations from P, a follower A can be similar to C only if they
     share more than b(A) / 2 + (p - a) / 18 deviations.  So one shared deviation is
     among any b(A) - floor(b(A) / 2 + (p - a) / 18) of A's: A is found under that many,
-    those that only A has first, and C asks with all of its own.  Where C has the
+    those that only A has first, and C asks with all of its own.  An A of which more
+    than a fifth is not in P needs fewer: similar texts share 0.8 a of A's shingles,
+    so one of any floor(0.2 a) + 1 of those that only A has.  Where C has the
     content of P but in another order, it is compared with all followers.
     """
 
@@ -193,12 +195,14 @@ def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
                 outside = (b.column(2).to_numpy() != b.column(3).to_numpy()).tolist()
-                at, e, asks, found = [], [], [], []
+                at, e, asks, found, sizes = [], [], [], [], []
                 for k, ((_, x), (_, y)) in enumerate(zip(shingles(b.column(4)), shingles(b.column(5)), strict=True)):
                     novel, missing = deviations(x, y)
                     own = np.concatenate(([np.uint64(0)], novel, mix(missing ^ _LABEL)))
                     n = len(own) - 1
                     under = max(0, min(n, n - int(np.floor(n / 2 + (len(x) - len(y)) / 18))))
+                    if len(novel) > (fifth := len(y) // 5):
+                        under = min(under, fifth + 1)
                     listed = np.arange(n + 1) <= under
                     lacks = 9 * n > len(x) + len(y)
                     asking = np.full(n + 1, outside[k] and lacks)
@@ -208,17 +212,19 @@ def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
                     e.append(own[use])
                     asks.append(asking[use])
                     found.append(listed[use])
+                    sizes.append(len(y))
                 if at:
                     of = pa.array(np.concatenate(at))
                     rows = [b.column(c).take(of) for c in (0, 1, 2)]
-                    yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate(e).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(np.concatenate(found))], names)
+                    yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate(e).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(np.concatenate(found)), pa.array(sizes, pa.int64()).take(of)], names)
 
-    names = ["a", "row", "root", "e", "asks", "found"]
+    names = ["a", "row", "root", "e", "asks", "found", "n"]
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
     joined = family.join(texts, "row").join(one, "a").select("a", "row", "root", "a_root", "ta", "text")
-    elements = saved(joined.mapInArrow(run, "a long, row long, root long, e long, asks boolean, found boolean"), "near-deviations")
-    asked = elements.where("asks").select("a", "e", F.col("row").alias("c"), F.col("root").alias("c_root"))
-    met = elements.where("found").join(asked, ["a", "e"]).where("root <> c_root")
+    elements = saved(joined.mapInArrow(run, "a long, row long, root long, e long, asks boolean, found boolean, n long"), "near-deviations")
+    asked = elements.where("asks").select("a", "e", F.col("row").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("cn"))
+    fit = F.least("n", "cn") >= F.lit(SIMILARITY) * F.greatest("n", "cn")
+    met = elements.where("found").join(asked, ["a", "e"]).where(F.col("root") != F.col("c_root")).where(fit)
     return met.select(F.greatest("row", "c").alias("a"), F.least("row", "c").alias("b")).distinct()
 
 
