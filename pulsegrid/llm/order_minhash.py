@@ -188,6 +188,11 @@ def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
     than a fifth is not in P needs fewer: similar texts share 0.8 a of A's shingles,
     so one of any floor(0.2 a) + 1 of those that only A has.  Where C has the
     content of P but in another order, it is compared with all followers.
+
+    With |A & C| = (a + c - b(A) - b(C)) / 2 + s for s shared deviations, similar
+    texts have s >= (b(A) + b(C)) / 2 - (a + c) / 18.  Deviations have one order for
+    each leader, so from the first shared one on both must have that many left; a
+    match that leaves fewer is no first one and is not emitted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
                 outside = (b.column(2).to_numpy() != b.column(3).to_numpy()).tolist()
-                at, e, asks, found, sizes = [], [], [], [], []
+                at, e, asks, found, sizes, left = [], [], [], [], [], []
                 for k, ((_, x), (_, y)) in enumerate(zip(shingles(b.column(4)), shingles(b.column(5)), strict=True)):
                     novel, missing = deviations(x, y)
                     own = np.concatenate(([np.uint64(0)], novel, mix(missing ^ _LABEL)))
@@ -212,19 +217,21 @@ def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
                     e.append(own[use])
                     asks.append(asking[use])
                     found.append(listed[use])
-                    sizes.append(len(y))
+                    sizes.append((len(y), n))
+                    left.append((n - np.arange(-1, n))[use])
                 if at:
                     of = pa.array(np.concatenate(at))
                     rows = [b.column(c).take(of) for c in (0, 1, 2)]
-                    yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate(e).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(np.concatenate(found)), pa.array(sizes, pa.int64()).take(of)], names)
+                    yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate(e).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(np.concatenate(found)), *(pa.array(x, pa.int64()).take(of) for x in zip(*sizes, strict=True)), pa.array(np.concatenate(left))], names)
 
-    names = ["a", "row", "root", "e", "asks", "found", "n"]
+    names = ["a", "row", "root", "e", "asks", "found", "n", "b", "left"]
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
     joined = family.join(texts, "row").join(one, "a").select("a", "row", "root", "a_root", "ta", "text")
-    elements = saved(joined.mapInArrow(run, "a long, row long, root long, e long, asks boolean, found boolean, n long"), "near-deviations")
-    asked = elements.where("asks").select("a", "e", F.col("row").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("cn"))
+    elements = saved(joined.mapInArrow(run, "a long, row long, root long, e long, asks boolean, found boolean, n long, b long, left long"), "near-deviations")
+    asked = elements.where("asks").select("a", "e", *[F.col(x).alias(y) for x, y in (("row", "c"), ("root", "c_root"), ("n", "cn"), ("b", "cb"), ("left", "c_left"))])
     fit = F.least("n", "cn") >= F.lit(SIMILARITY) * F.greatest("n", "cn")
-    met = elements.where("found").join(asked, ["a", "e"]).where(F.col("root") != F.col("c_root")).where(fit)
+    enough = 18 * F.least("left", "c_left") >= 9 * (F.col("b") + F.col("cb")) - F.col("n") - F.col("cn")
+    met = elements.where("found").join(asked, ["a", "e"]).where(F.col("root") != F.col("c_root")).where(fit & enough)
     return met.select(F.greatest("row", "c").alias("a"), F.least("row", "c").alias("b")).distinct()
 
 
