@@ -178,9 +178,13 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
       equal in both are one document and get the same result; a null doc_id comes last;
     * an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    total, known, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    spark, schema = docs.sparkSession, docs.schema
+    total, distinct = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     text = F.col("text").cast("string")
+    # columns that go through have names of their own, whatever the input calls them
+    columns = docs.columns if texts else ["doc_id"]
+    fixed = [f"c{i}" for i in range(len(columns))]
+    docs = docs.select("doc_id", text.alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, fixed, strict=True)])
     if total == distinct and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         nodes = docs.withColumn("node", F.col("doc_id").cast("long"))
     else:
@@ -192,7 +196,7 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
         keyed = docs.withColumns(key)
         nodes = keyed.join(ids, keyed["_id"].eqNullSafe(ids["_id"]) & (keyed["_t"] == ids["_t"])).select(*[keyed[c] for c in docs.columns], "node")
         nodes = saved(nodes, "numbered")
-    plain = nodes.select("node", F.col("text").cast("string").alias("text"))
+    plain = nodes.select("node", "text")
     repeated = repeated_fingerprints(plain, batches)
     shared, flagged = None, None
     if repeated.count() <= BROADCAST_HASHES:
@@ -218,10 +222,8 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
     # equal texts have equal windows, so the smallest node is enough to tell the first
     firsts = seen.groupBy("h", "check").agg(F.min("node").alias("node")).groupBy("node").agg(F.collect_list("h").alias("firsts"))
     firsts = saved(firsts, "first-windows")
-    columns = docs.columns if texts else ["doc_id"]
-    rows = nodes.select("node", F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = nodes.select("node", F.col("text").alias("_text"), *fixed)
     rows = rows.join(firsts, "node", "left") if flagged is None else rows.join(firsts, "node", "left").join(flagged, "node", "left")
-    fixed = [f"c{i}" for i in range(len(columns))]
     rows = rows.select("_text", "firsts", *([] if flagged is None else ["hs"]), *fixed)
 
     def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +248,8 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
                     yield pa.RecordBatch.from_arrays([*passed, *made], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     if texts:
-        return rows.mapInArrow(finish, docs.schema)
-    return rows.mapInArrow(finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+        return rows.mapInArrow(finish, schema)
+    return rows.mapInArrow(finish, f"doc_id {schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def _prints_of_nodes(plain: DataFrame) -> DataFrame:

@@ -180,7 +180,9 @@ def taken_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """The mix itself: each row of ``docs`` as often as it is taken, its columns unchanged."""
     columns = docs.columns
     wanted = mixed(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("turn").alias("_of"), "copies")
-    rows = _with_turn(docs, word_count(F.col("text")))
+    # columns that go through have names of their own, whatever the input calls them
+    fixed = [f"c{i}" for i in range(len(columns))]
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, fixed, strict=True)])
+    rows = _with_turn(rows, F.col("size"))
     joined = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["_turn"] == wanted["_of"]))
-    repeated = joined.select(*[rows[c] for c in columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return repeated.drop("_copy")
+    return joined.select(*fixed, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*fixed).toDF(*columns)

@@ -2,7 +2,7 @@
 
 ``parsed`` reads binary columns that hold MPEG audio.  Frame headers are found
 again after junk (a header counts where the next frame, the end or a trailing
-tag follows at its length), ID3v2, ID3v1 and Xing/Info tables are parsed, the
+tag follows at its length, or where it is like the frame that ends before it), ID3v2, ID3v1 and Xing/Info tables are parsed, the
 CRC of protected frames is verified, and durations come from the frames that are
 there, not from a bitrate estimate.
 
@@ -52,6 +52,11 @@ class Header:
     size: int
     samples: int
 
+    @property
+    def kind(self) -> tuple:
+        """What does not change from frame to frame of a stream."""
+        return self.version, self.layer, self.protected, self.rate, self.mono
+
     @property
     def side(self) -> int:
         """Bytes of side information of a layer III frame."""
@@ -147,16 +152,17 @@ def parse(data: bytes) -> Stream:
         for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
             if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 out.tags.setdefault(key, text)
-    synced = False
+    synced: Header | None = None
     while at + 4 <= end:
         h = header(data[at : at + 4])
         if h is None or at + h.size > end:
             ok = False
         else:
             after = at + h.size
-            ok = synced or after == end or header(data[after : after + 4]) is not None
+            # before junk no frame follows: then a header counts that is like the one before
+            ok = after == end or header(data[after : after + 4]) is not None or (synced is not None and synced.kind == h.kind)
         if not ok:
-            synced = False
+            synced = None
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out.junk += nxt - at
@@ -184,7 +190,7 @@ def parse(data: bytes) -> Stream:
             out.offsets.append(at)
             out.headers.append(h)
         at += h.size
-        synced = True
+        synced = h
     out.junk += max(0, end - at)
     return out
 

@@ -1,0 +1,282 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+
+from pulsegrid.llm import fingerprints, mixing, mpeg, pieces, quality, separators, suffix_tree, topk, warc
+from pulsegrid.llm.queries import tokenizer_file
+
+MODEL = tokenizer_file("piece_bpe_32k.model")
+#: With extra columns whose names the operators use themselves.
+DOCS = "doc_id long, text string, source string, node string, copies string, size string, h string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, s, "n", "c", "s", "h") for i, t, s in rows], DOCS)
+
+
+def words_of(text):
+    return (text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+
+
+def split(text):
+    return [w for w in words_of(text) if w]
+
+
+AWKWARD = [
+    (1, None, "a"), (2, "", None), (3, " \t\r\n ", "a"), (4, "one", "b"), (5, "▁ literal ▁▁marks", "b"), (6, "  two  spaces \n\n lines ", None),
+    (7, "é😀  nbsp  sep \x00nul", "c"), (8, "word " * 3000, "a"), (8, "word " * 3000, "a"), (None, "no id", "c"), (9, "x" * 50_000, "a"),
+]
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 8]) for i in range(300)]
+    rows += [(40, rows[3][1]), (400, None), (401, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (402, [None] + [0.0] * 5), (420, [float("inf")] * 6), (None, [1.0] * 6), (440, [])]
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = set()
+    queries = {}
+    for i, v in good:
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, v), v)
+    for q, v in queries.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in good if i != q)[:20]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(frame, shard_rows=50).collect()} == want
+    assert topk.top_k(frame.limit(0)).count() == 0
+
+
+def test_topk_stops_early():
+    vectors = np.zeros((1000, 3), dtype=np.int64)
+    vectors[:, 0] = np.arange(1000)
+    shard = topk.Shard(np.arange(1000), vectors)
+    ids, scores = shard.search(-1, np.array([2, 0, 0]), 3)
+    assert ids.tolist() == [999, 998, 997] and scores.tolist() == [1998, 1996, 1994]
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_suffix_tree(spark):
+    rng = random.Random(2)
+    phrases = ["the quick brown fox jumps", "over the lazy dog", "A rare thing", "in the end there is"]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randrange(30))), "s") for i in range(200)] + AWKWARD
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter()
+    for i, t, _ in rows:
+        if not held(i):
+            counts.update([*split(lower(t)), None])
+    n, v = sum(counts.values()), len(counts)
+    got = suffix_tree.scored(docs(spark, rows)).collect()
+    want = []
+    for i, t, _ in rows:
+        tokens = [*split(lower(t)), None]
+        want.append((str(i), held(i), len(tokens), sum(counts[x] > 0 for x in tokens), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens), 5)))
+    assert sorted((str(r[0]), *r[1:5], round(r[5], 5)) for r in got) == sorted(want)
+    # contexts help where text repeats
+    some = [r for r in got if r["held_out"] and r["n_tokens"] > 10]
+    assert sum(r["score"] for r in some) > 0.5 * sum(r["base_score"] for r in some)
+    assert suffix_tree.scored(docs(spark, [])).count() == 0
+
+
+def kept_brute(rows, window=20):
+    order = sorted((i, t) for i, t, _ in rows)
+    seen, out = set(), {}
+    for i, t in order:
+        w = split(t)
+        cover = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            if key in seen:
+                cover[k : k + window] = [True] * window
+            seen.add(key)
+        kept = " ".join(x for x, c in zip(w, cover, strict=True) if not c)
+        out[i] = (len(w), sum(cover), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [4_000_000, 0])
+def test_fingerprints(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(fingerprints, "BROADCAST_HASHES", broadcast)
+    rng = random.Random(3)
+    passages = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(15, 45))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        t = [x for _ in range(rng.randrange(4)) for x in (*rng.choice(passages), *(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(9))))]
+        rows.append((i, "\n".join(t), "s"))
+    rows += [(100 + i, t, s) for i, (_, t, s) in enumerate(AWKWARD)]
+    got = {r[0]: tuple(r)[1:] for r in fingerprints.deduplicated(docs(spark, rows)).collect()}
+    assert got == kept_brute(rows)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(2, long, "a"), (1, long + " more", "b"), (None, long, None), (1, long, "c")]
+    out = fingerprints.deduplicated(docs(spark, rows), texts=True)
+    assert out.columns == docs(spark, rows).columns
+    left = out.collect()
+    assert len(left) == 4 and {r["node"] for r in left} == {"n"}
+    assert sum(len(split(r["text"])) for r in left) in (51, 52)  # of two rows with one id either may be first
+    assert [r["text"] for r in left if r["doc_id"] in (2, None)] == ["", ""]
+    assert fingerprints.deduplicated(docs(spark, [])).count() == 0
+
+
+def test_mpeg_round_trip(spark):
+    got = mpeg.round_trip(docs(spark, AWKWARD)).collect()
+    want = []
+    for i, t, _ in AWKWARD:
+        raw = (t or "").encode()
+        pad = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        want.append((str(i), len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:])))
+    assert sorted((str(r[0]), *tuple(r)[1:5]) for r in got) == sorted(want)
+    assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got}) == len({w[3] for w in want})
+    assert mpeg.round_trip(docs(spark, [])).count() == 0
+
+
+def test_mpeg_parses_damaged_streams(spark):
+    whole = mpeg.write(bytes(range(256)) * 40, 10240)
+    clean = mpeg.parse(whole)
+    assert clean.junk == clean.crc_wrong == 0 and clean.table["frames"] == len(clean.headers)
+    assert clean.seconds == pytest.approx(len(clean.headers) * 1152 / 32000)
+    at = clean.offsets[1]
+    junk = mpeg.parse(whole[:at] + b"\xff\xfbjunk" + whole[at:])
+    assert junk.junk == 6 and len(junk.headers) == len(clean.headers)
+    wrong = bytearray(whole)
+    wrong[at + 4] ^= 1
+    assert mpeg.parse(bytes(wrong)).crc_wrong == 1
+    facts = mpeg.parsed(spark.createDataFrame([(1, bytes(whole)), (2, None), (3, b"no audio")], "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [r["frames"] for r in facts] == [len(clean.headers), 0, 0] and facts[0]["seek"][0]["offset"] == clean.offsets[0]
+    with pytest.raises(ValueError):
+        mpeg.payload_of(bytes(wrong), mpeg.parse(bytes(wrong)))
+
+
+def test_warc(spark):
+    pages = [(1, "u", "a"), (2, None, "a"), (3, "u\r\nx", None), (4, "u", ""), (5, "u", "é\r\n\r\n" * 9000), (6, "u", "é\r\n\r\n" * 9000), (7, "u", "z" * 70_000)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [(r["record_type"], r["refers_to"]) for r in got] == [("revisit", 2), ("response", None), ("revisit", 4), ("response", None), ("revisit", 6), ("response", None), ("response", None)]
+    for r, (_, _, html) in zip(got, pages, strict=True):
+        raw = (html or "").encode()
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), warc.digest(raw))
+    assert [r["segments"] for r in got if r["page_id"] in (6, 7)] == [4, 5]
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_refuses_damage():
+    with pytest.raises(ValueError):
+        warc.assembled([{"segment": 1, "block": b"a"}, {"segment": 3, "block": b"b"}], 2)
+    with pytest.raises(ValueError):
+        warc.assembled([{"segment": 1, "block": b"a"}], 2)
+    assert warc.unchunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
+    with pytest.raises(ValueError):
+        warc.unchunked(b"5\r\nabc")
+
+
+def test_quality(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        good = rng.random() < 0.6
+        words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(rng.randrange(20, 80))] if good else [rng.choice(["BUY", "$$$", "now!!", "77"]) for _ in range(rng.randrange(5, 80))]
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, int(good), "x"))
+    labels += [(3, None, "x"), (None, 1, "x"), (5, 7, "x")]
+    frame, marks = docs(spark, rows + [(1000 + k, t, s) for k, (_, t, s) in enumerate(AWKWARD)]), spark.createDataFrame(labels, "doc_id long, quality int, source string")
+    got = {r["doc_id"]: r for r in quality.scored(frame, marks).collect()}
+    assert len(got) == len(rows) + len(AWKWARD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    held = [i for i, _, _ in rows if got[i]["held_out"]]
+    assert held == [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i]["predicted"] == labels[i][1] for i in held) > 0.95 * len(held)
+    kept = quality.kept(frame, marks)
+    assert kept.columns == frame.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
+    assert {r["score"] for r in quality.scored(frame, marks.limit(0)).collect()} == {0.5}
+
+
+def test_pieces(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(5)
+    letters = ["a", "the", " ", "  ", "\n", "▁", "é", "漢字", "😀", "\t", "ing", " ", "0"]
+    rows = AWKWARD + [(100 + i, "".join(rng.choices(letters, k=rng.randrange(12))), "s") for i in range(300)]
+    want = []
+    for i, t, _ in rows:
+        ids = sp.encode(t or "")
+        want.append((str(i), len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), sp.decode(ids)))))
+    assert sorted((str(r[0]), *tuple(r)[1:]) for r in pieces.encoded(docs(spark, rows), MODEL).collect()) == sorted(want)
+    assert pieces.encoded(docs(spark, []), MODEL).count() == 0
+
+
+def test_separators(spark, tmp_path):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = AWKWARD + [(100 + i, "some text " * (i % 7), "s") for i in range(40)]
+    separators.write(docs(spark, rows).repartition(3), MODEL, 2, str(tmp_path / "t"), block_ids=16)
+    blocks = spark.read.schema(separators.BLOCKS).parquet(str(tmp_path / "t"))
+    got = separators.counts(blocks, 2, span=4).collect()
+    assert Counter(r["n_tokens"] for r in got) == Counter(len(sp.encode(t or "")) for _, t, _ in rows)
+    # documents of a file follow each other, with one end id between
+    for file in {r["file"] for r in got}:
+        at = 0
+        for k, r in enumerate(sorted((r for r in got if r["file"] == file), key=lambda r: r["document"])):
+            assert (r["document"], r["start"]) == (k, at)
+            at += r["n_tokens"] + 1
+    assert separators.token_counts(docs(spark, []), MODEL, 2).count() == 0
+
+
+def test_separators_of_open_files(spark):
+    ids = lambda *x: np.array(x, dtype="<u2").tobytes()
+    rows = [(0, 0, ids(5, 6)), (0, 1, ids(7)), (0, 2, ids(2, 2)), (0, 3, ids(9)), (1, 0, None), (2, 0, ids(2))]
+    got = separators.counts(spark.createDataFrame(rows, separators.BLOCKS), 2, span=2).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 0, 3), (0, 1, 4, 0), (0, 2, 5, 1), (2, 0, 0, 0)]
+
+
+def targets(sizes):
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        rest = total - sum(3 * sizes[s] for s in full)
+        free = [s for s in names if s not in full]
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return {s: 3.0 * sizes[s] if s in full else share[s] for s in names}
+        full |= over
+
+
+def test_mix(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(30), rng.choices(["a", "b", "c", "d", None], [300, 3, 20, 5, 10])[0]) for i in range(1500)] + AWKWARD
+    frame = docs(spark, rows)
+    got = mixing.mixed(frame).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(split(t))
+    want = targets(sizes)
+    by_size = {(sizes[s], round(want[s], 4)) for s in sizes}
+    assert {(r["source_size"], round(r["target"], 4)) for r in got} == by_size and len(got) == len(rows)
+    for source_size, target in by_size:
+        own = [r for r in got if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own)
+    assert all(r["taken"] == r["size"] * r["copies"] and 0 <= r["copies"] <= 3 for r in got)
+    again = mixing.mixed(frame.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    mix = mixing.taken_documents(frame)
+    assert mix.columns == frame.columns
+    assert sum(len(split(r["text"])) for r in mix.collect()) == sum(r["taken"] for r in got)
+    assert mixing.mixed(docs(spark, [])).count() == 0
+
+
+def test_settling_keeps_the_sum():
+    rng = np.random.default_rng(7)
+    sizes, p = rng.integers(1, 50, 500).astype(float), rng.random(500)
+    out = mixing.settle(np.arange(500), sizes, p, 3)
+    assert ((out > 0) & (out < 1)).sum() <= 1
+    assert (out * sizes).sum() == pytest.approx((p * sizes).sum())

@@ -1,0 +1,39 @@
+"""The pipeline's stages on the smallest tables, each held against its own input."""
+
+from collections import Counter
+
+import corpus_pipeline
+import sentencepiece
+from conftest import SF
+
+from pulsegrid.llm import fingerprints, order_minhash, quality
+from pulsegrid.llm.queries import tokenizer_file
+from pulsegrid.llm.storage import saved
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = saved(stage(spark, before, SF), "stage")
+        ids = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+        seen[name] = (before, docs, ids)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+    (before, docs, ids) = seen["quality classifier"]
+    want = quality.scored(before, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()
+    assert set(ids) == {r["doc_id"] for r in want} and 0 < len(ids) < before.count()
+    (before, docs, ids) = seen["MinHash near-dedup"]
+    classes = {r["class_id"] for r in order_minhash.near_classes(before).collect()}
+    assert set(ids) == classes and max(ids.values()) == 1
+    (before, docs, ids) = seen["substring dedup"]
+    words = {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect()}
+    facts = {r["doc_id"]: r["n_words"] - r["n_removed"] for r in fingerprints.deduplicated(before).collect()}
+    assert words == facts
+    (before, docs, ids) = seen["mixing sources to target weights"]
+    assert max(ids.values()) <= 3 and docs.distinct().count() == len(ids)
+    (before, docs, ids) = seen["SentencePiece encoding and decoding"]
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    tokens = Counter((r["doc_id"], len(model.encode(r["text"] or ""))) for r in before.collect())
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in docs.collect()) == tokens
