@@ -1,40 +1,47 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A state of the tree is a context of up to ``DEPTH`` words.  A context is a
-candidate where its share of all tokens is at least ``CONTEXT_SHARE``, and is kept
-where its next-word distribution diverges from that of its longest kept suffix.
-Next-word distributions are smoothed by absolute discounting towards that suffix,
-down to the additively smoothed word frequencies at the root.  A token is scored
-in the state of the longest kept suffix of the words before it.
-
-How the work is spread: counts of words and of (context, next word) pairs are made
-per task, added by a shuffle and grow with the corpus.  Only what passes a minimum
-share of all tokens reaches the driver and is broadcast, so each such table has at
-most 1 / share rows at any size of corpus: frequent words, contexts and edges.  The
-exact counts of all other words are joined to the documents by a shuffle.
+A state of the tree is a context of up to ``DEPTH`` words, of which the first may be
+the beginning of the text.  A context is kept where its next-word distribution
+diverges from that of its longest kept suffix.  Next-word distributions are smoothed
+by absolute discounting towards that suffix, down to the additively smoothed word
+frequencies at the root.  A token is scored in the state of the longest kept suffix
+of the words before it.
+
+How the work is spread: all (context, next word) pairs that occur ``LEAST_EDGE``
+times, at any size of corpus, are kept in written tables keyed by the hash of the
+run of words, a gram.  The log-probability of a token is a sum over the grams that
+end at it and before it, so one table of (gram, value) is joined to the documents.
+Only to save work, words and grams above a share of all tokens are broadcast, and so
+is a bit field of at most ``FILTER_BITS`` that holds every other gram of a table: a
+gram that is not in it need not be counted or joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.storage import saved
+from pulsegrid.llm.storage import freed, saved
 from pulsegrid.llm.words import Words, mix, word_slices
 
-DEPTH = 2
-#: Shares of all tokens: of words that are broadcast, of contexts, of (context, next word) edges.
-WORD_SHARE, CONTEXT_SHARE, EDGE_SHARE = 5e-7, 5e-5, 5e-6
+DEPTH = 3
+#: Shares of all tokens from which words and grams are broadcast; all others are joined.
+WORD_SHARE, EDGE_SHARE = 5e-7, 5e-6
 #: Least divergence in nats a token, and in all, from the longest kept suffix.
 LEAST_DIVERGENCE, LEAST_GAIN = 0.01, 10.0
 DISCOUNT, LEAST_EDGE, ADDED = 0.75, 2, 0.1
 #: The end of a text as a word; no word's bytes hash to a chosen value.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
+#: The beginning of a text as a context.
+START = np.uint64(0x51A7751A7751A775)
+#: Most bits of a filter, and bits for each of its keys below that.
+FILTER_BITS, KEY_BITS = 1 << 28, 16
 #: Pairs counted in a task before they are handed on.
 HELD = 2_000_000
 _SLOT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -80,54 +87,50 @@ class Index:
         return out
 
 
+class Filter:
+    """A bit field of keys: what is not in it is no key, what is in it may be one."""
+
+    def __init__(self, keys: DataFrame, count: int):
+        self.bits = int(np.clip(np.ceil(np.log2(max(count, 1) * KEY_BITS)), 10, np.log2(FILTER_BITS)))
+        self.field = np.zeros(1 << (self.bits - 6), dtype=np.uint64)
+        bits = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = Filter.places(b.column(0).to_numpy().view(np.uint64), bits).ravel()
+                part = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(part)], ["at", "part"])
+
+        with freed(keys.sparkSession):
+            got = keys.select("key").mapInArrow(run, "at int, part long").groupBy("at").agg(F.bit_or("part").alias("part")).toArrow()
+        self.field[got.column("at").to_numpy()] = got.column("part").to_numpy().view(np.uint64)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        return np.stack([(keys * odd) >> np.uint64(64 - bits) for odd in _SLOT[:2]])
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(keys), dtype=bool)
+        for at in self.places(keys, self.bits):
+            ok &= (self.field[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return ok
+
+
 @dataclass
 class Model:
-    """The broadcast part of the tree; node 0 is the root.
-
-    ``parent`` is the longest kept suffix; ``back`` is log10 of the mass a node
-    leaves to it.  ``edges`` are keys of (node, word) with log10 of the ratio
-    between the word's probability there and at the root.
-    """
+    """The broadcast part of the tree: frequent words and grams, and what other grams to join."""
 
     tokens: int
     distinct: int
     words: Index
     counts: np.ndarray
-    contexts: list[Index] = field(default_factory=list)  # by depth: first over words, then over (node, word)
-    nodes: list[np.ndarray] = field(default_factory=list)  # by depth: node of each entry of contexts
-    kept: np.ndarray = field(default_factory=lambda: np.ones(1, dtype=bool))
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
-    total: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    back: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    edges: Index = field(default_factory=lambda: Index(np.zeros(0, dtype=np.uint64)))
-    gains: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    @property
-    def start(self) -> int:
-        """The node of the beginning of a text."""
-        return 1
+    grams: Index | None = None
+    values: np.ndarray | None = None
+    others: Filter | None = None
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADDED) / (self.tokens + ADDED * (self.distinct + 1))
 
-    def edge_key(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return mix(node.astype(np.uint64) * np.uint64(len(self.counts) + 1) + word.astype(np.uint64))
-
-    def gain(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of P(word | node) over P(word | root); word -1 has no edges."""
-        out, node, open_ = np.zeros(len(node)), node.copy(), np.flatnonzero(node > 0)
-        while len(open_):
-            at = np.full(len(open_), -1)
-            known = word[open_] >= 0
-            at[known] = self.edges.find(self.edge_key(node[open_][known], word[open_][known]))
-            hit = at >= 0
-            out[open_[hit]] += self.gains[at[hit]]
-            open_ = open_[~hit]
-            out[open_] += self.back[node[open_]]
-            node[open_] = self.parent[node[open_]]
-            open_ = open_[node[open_] > 0]
-        return out
-
 
 @dataclass
 class Tokens:
@@ -152,26 +155,31 @@ class Tokens:
         return cls(hashes, np.repeat(np.arange(n), sizes), first, n)
 
 
-def states(model: Model, t: Tokens, words: np.ndarray, depth: int) -> list[np.ndarray]:
-    """By depth from 1: the candidate node that ends before each token, -1 where there is none."""
-    out: list[np.ndarray] = []
-    before = np.concatenate(([-1], words[:-1])) if len(words) else words
-    for d in range(depth):
-        node = np.full(len(words), -1, dtype=np.int64)
-        if d == 0:
-            ok = ~t.first & (before >= 0)
-            at = model.contexts[0].find(before[ok].astype(np.uint64))
+def grams(t: Tokens, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length of the context from 0: (positions, key of context and word) of the tokens that have such a context."""
+    at, keys = np.arange(len(t.hashes)), t.hashes
+    out = [(at, keys)]
+    for d in range(1, depth + 1):
+        full = np.zeros(len(t.hashes), dtype=np.uint64)
+        full[at] = keys
+        # what ended before a token is its context; before the first token that is the beginning
+        context = np.roll(full, 1)
+        if d == 1:
+            context[t.first] = START
         else:
-            shorter = np.concatenate(([-1], out[-1][:-1]))  # what ended before the last word
-            ok = ~t.first & (before >= 0) & (shorter >= 0)
-            at = model.contexts[d].find(model.edge_key(shorter[ok], before[ok]))
-        node[ok] = np.where(at >= 0, model.nodes[d][np.maximum(at, 0)], -1) if len(model.nodes[d]) else -1
-        if d == 0:
-            node[t.first] = model.start
-        out.append(node)
+            has = np.zeros(len(full), dtype=bool)
+            has[at] = True
+            at = np.flatnonzero(~t.first & np.roll(has, 1))
+        keys = joined(context[at], t.hashes[at])
+        out.append((at, keys))
     return out
 
 
+def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a context and the word after it."""
+    return mix(mix(context) * _SLOT[0] + word)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
@@ -220,94 +228,120 @@ def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _grown(model: Model, depth: int, keys: np.ndarray, n: np.ndarray, candidates: np.ndarray, suffix: np.ndarray) -> None:
-    """Tests the candidate nodes of one depth and adds their edges to the model.
+def _repeated(texts: DataFrame, d: int, below: Filter) -> DataFrame:
+    """(key, n) of the pairs of a context of ``d`` words and its next word that occur at least ``LEAST_EDGE`` times;
+    both the context and the pair without its first word are in ``below``."""
+    shared = texts.sparkSession.sparkContext.broadcast(below)
 
-    ``keys`` are node * (words + 1) + word of the counted pairs with counts ``n``.
+    def keys(t: Tokens) -> np.ndarray:
+        key, context, shorter = _parts(t, d)
+        ok = shared.value.has(context)
+        ok[ok] = shared.value.has(shorter[ok])
+        return key[ok]
+
+    return _counted(texts, keys).where(F.col("n") >= LEAST_EDGE)
+
+
+def _split(texts: DataFrame, d: int, seen: Filter) -> DataFrame:
+    """(key, context, shorter) of the pairs whose key is in ``seen``; ``shorter`` is the key without the first word."""
+    shared = texts.sparkSession.sparkContext.broadcast(seen)
+
+    def handed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, context, shorter = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, first = np.unique(key, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, context[first], shorter[first])], ["key", "context", "shorter"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for w in word_slices(b.column(0), lower=True):
+                key, context, shorter = _parts(Tokens.of(w), d)
+                ok = np.flatnonzero(shared.value.has(key))
+                key, first = np.unique(key[ok], return_index=True)
+                held.append([key, context[ok[first]], shorter[ok[first]]])
+                size += len(key)
+                if size > HELD:
+                    yield handed(held)
+                    held, size = [], 0
+        if held:
+            yield handed(held)
+
+    found = texts.mapInArrow(run, "key long, context long, shorter long")
+    return found.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"))
+
+
+def _parts(t: Tokens, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, context, key without the first word) of all pairs with a context of ``d`` words."""
+    *_, (before, less), (at, key) = grams(t, d)
+    full = np.zeros(len(t.hashes), dtype=np.uint64)
+    full[before] = less
+    return key, np.where(t.first[at], START, full[at - 1]), full[at]
+
+
+def _tested(pairs: DataFrame, below: DataFrame) -> DataFrame:
+    """(key, n, p, value, context, total, back) of ``pairs`` after the divergence test of their contexts.
+
+    ``below`` has (key, n, p) of the grams one word shorter: the count of a context,
+    and the probability of a word after the longest kept suffix.  ``p`` of the result
+    is that of the word in the context where it is kept, else after its suffix.
+    ``value`` is set in kept contexts, and the last three in one row of each.
     """
-    width = np.uint64(len(model.counts) + 1)
-    node, word = (keys // width).astype(np.int64), (keys % width).astype(np.int64)
-    count = model.total
-    more = len(count) - len(model.kept)
-    model.kept = np.concatenate((model.kept, np.zeros(more, dtype=bool)))
-    model.parent = np.concatenate((model.parent, np.zeros(more, dtype=np.int64)))
-    model.back = np.concatenate((model.back, np.zeros(more)))
-    # the longest kept suffix of each candidate
-    up = suffix.copy()
-    while (loose := ~model.kept[up] & (up > 0)).any():
-        up[loose] = model.parent[up[loose]]
-    model.parent[candidates] = up
-    share = np.maximum(n - DISCOUNT, 0) / np.maximum(count[node], 1)
-    mass = np.bincount(node, share, len(count))
-    rest = np.clip(1 - mass, 1e-6, 1)
-    root = model.root(model.counts[word])
-    above = root * 10 ** model.gain(model.parent[node], word)
-    p = share + rest[node] * above
+    rows = pairs.join(below.select(F.col("key").alias("shorter"), F.col("p").alias("above")), "shorter").drop("shorter")
+    rows = rows.join(below.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+    each = Window.partitionBy("context")
+    rows = rows.withColumn("share", F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total"))
+    rows = rows.withColumn("rest", F.greatest(F.least(1 - F.sum("share").over(each), F.lit(1.0)), F.lit(1e-6)))
+    rows = rows.withColumn("others", F.greatest(1 - F.sum("above").over(each), F.lit(1e-9))).withColumn("one", F.min("key").over(each) == F.col("key"))
+    rows = rows.withColumn("own", F.col("share") + F.col("rest") * F.col("above"))
     # divergence: the explicit words, and all others as one event
-    others = np.maximum(1 - np.bincount(node, above, len(count)), 1e-9)
-    divergence = np.bincount(node, p * np.log(p / above), len(count)) + rest * others * np.log(rest)
-    ok = np.zeros(len(count), dtype=bool)
-    ok[candidates] = (divergence[candidates] >= LEAST_DIVERGENCE) & (divergence[candidates] * count[candidates] >= LEAST_GAIN)
-    model.kept |= ok
-    model.back = np.where(ok, np.log10(rest), model.back)
-    own = ok[node]
-    edge_keys = np.concatenate((model.edges.keys, model.edge_key(node[own], word[own])))
-    model.gains = np.concatenate((model.gains, np.log10(p[own] / root[own])))
-    model.edges = Index(edge_keys)
-
-
-def fit(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame]:
-    """The model and (key, n), the counts of all words, from the rows of ``docs`` that are not held out."""
-    spark = docs.sparkSession
+    explicit = F.sum(F.col("own") * F.log(F.col("own") / F.col("above"))).over(each)
+    rows = rows.withColumn("divergence", explicit + F.col("rest") * F.col("others") * F.log("rest"))
+    kept = (F.col("divergence") >= LEAST_DIVERGENCE) & (F.col("divergence") * F.col("total") >= LEAST_GAIN)
+    one = kept & F.col("one")
+    return rows.select(
+        "key", "n", F.when(kept, F.col("own")).otherwise(F.col("above")).alias("p"),
+        F.when(kept, F.log10(F.col("own") / F.col("above")) - F.log10("rest")).alias("value"),
+        F.when(one, F.col("context")).alias("context"), F.when(one, F.col("total")).alias("total"), F.when(one, F.log10("rest")).alias("back"),
+    )
+
+
+def fit(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model, (key, n) with the counts of all words, and (key, value) of all grams of kept
+    contexts, from the rows of ``docs`` that are not held out.
+
+    In a kept context a word has the ``rest`` of the probability it has after the
+    suffix, or ``p`` where the pair is listed.  A context's value is log10 of its
+    rest, a pair's value log10 of what ``p`` is over that; the log-probability of a
+    token over the root's is the sum of those of its contexts and pairs.
+    """
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string"))
     counts = saved(_counted(texts, lambda t: t.hashes), "suffix-tree-words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     keys, n = _frequent(counts, max(1.0, WORD_SHARE * tokens))
     model = Model(tokens, distinct, Index(keys), n.astype(np.float64))
-    end = model.words.find(np.array([END]))[0]
-    if tokens == 0 or end < 0:
-        return model, counts
-    # depth 1: the beginning of a text, and each frequent word
-    context = np.flatnonzero((model.counts >= CONTEXT_SHARE * tokens) & (np.arange(len(n)) != end))
-    nodes = 2 + np.arange(len(context))
-    model.contexts, model.nodes = [Index(context.astype(np.uint64))], [nodes]
-    model.total = np.concatenate(([float(tokens)], [model.counts[end]], model.counts[context]))
-    candidates, suffix = np.arange(1, 2 + len(context)), np.zeros(1 + len(context), dtype=np.int64)
-    least = max(LEAST_EDGE, EDGE_SHARE * tokens)
+    if tokens == 0:
+        return model, counts, None
+    root = (F.col("n") + ADDED) / F.lit(float(tokens + ADDED * (distinct + 1)))
+    end, start = (F.lit(int(x.view(np.int64))) for x in (END, START))
+    below = counts.where(F.col("n") >= LEAST_EDGE).withColumn("p", root)
+    below = below.unionByName(counts.where(F.col("key") == end).select(start.alias("key"), "n", F.lit(0.0).alias("p")))
+    values, seen = [], Filter(below, below.count())
     for d in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(model)
-
-        def pairs(t: Tokens, d=d, shared=shared, least=least) -> np.ndarray:
-            m = shared.value
-            words = m.words.find(t.hashes)
-            node = states(m, t, words, d)[-1]
-            # an edge is no more frequent than its word
-            ok = (node >= 0) & (words >= 0)
-            ok[ok] = m.counts[words[ok]] >= least
-            return node[ok].astype(np.uint64) * np.uint64(len(m.counts) + 1) + words[ok].astype(np.uint64)
-
-        keys, n = _frequent(_counted(texts, pairs), least)
-        _grown(model, d, keys, n, candidates, suffix)
-        if d == depth:
-            break
-        # the next depth: frequent pairs whose last word is a context itself
-        width = np.uint64(len(model.counts) + 1)
-        before, last = (keys // width).astype(np.int64), (keys % width).astype(np.int64)
-        inner = model.contexts[0].find(last.astype(np.uint64))
-        ok = (n >= CONTEXT_SHARE * tokens) & (inner >= 0)
-        first = len(model.total)
-        suffix = model.nodes[0][inner[ok]]  # at depth 2 the suffix is the last word's node
-        if d > 1:
-            # drop the first word: (suffix of the context before, last word)
-            shorter = model.contexts[d - 1].find(model.edge_key(model.parent[before[ok]], last[ok]))
-            suffix = np.where(shorter >= 0, model.nodes[d - 1][np.maximum(shorter, 0)], suffix)
-        candidates = first + np.arange(int(ok.sum()))
-        model.contexts.append(Index(model.edge_key(before[ok], last[ok])))
-        model.nodes.append(candidates)
-        model.total = np.concatenate((model.total, n[ok].astype(np.float64)))
-        if not len(candidates):
-            break
-    return model, counts
+        n = saved(_repeated(texts, d, seen), "suffix-tree-counts")
+        seen = Filter(n, n.count())
+        level = saved(_tested(_split(texts, d, seen).join(n, "key"), below), "suffix-tree-level")
+        values.append(level.where("value IS NOT NULL").select("key", "n", "value"))
+        values.append(level.where("context IS NOT NULL").select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("back").alias("value")))
+        below = level.select("key", "n", "p")
+    table = reduce(DataFrame.unionByName, values).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+    table = saved(table, "suffix-tree-values")
+    least = max(1.0, EDGE_SHARE * tokens)
+    head = table.where(F.col("n") >= least).toArrow()
+    tail = table.where(F.col("n") < least)
+    model.grams = Index(head.column("key").to_numpy().view(np.uint64))
+    model.values = head.column("value").to_numpy()
+    model.others = Filter(tail, tail.count())
+    return model, counts, tail.select("key", "value")
 
 
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -319,10 +353,15 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     * an empty table gives no rows.
     """
     spark = docs.sparkSession
-    model, counts = fit(docs, depth)
+    model, counts, values = fit(docs, depth)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def lists(docs: np.ndarray, keys: np.ndarray, rows: int) -> pa.Array:
+        order = np.argsort(docs, kind="stable")
+        bounds = np.searchsorted(docs[order], np.arange(rows + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[order].view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         logs = np.log10(m.root(m.counts)) if m.tokens else np.zeros(0)
@@ -331,26 +370,29 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 t = Tokens.of(w)
                 words = m.words.find(t.hashes)
                 known = words >= 0
-                base, gain = np.zeros(len(words)), np.zeros(len(words))
+                base = np.zeros(len(words))
                 base[known] = logs[words[known]]
-                if m.contexts:
-                    state = np.zeros(len(words), dtype=np.int64)
-                    for node in states(m, t, words, len(m.contexts)):
-                        ok = node >= 0
-                        ok[ok] = m.kept[node[ok]]
-                        state[ok] = node[ok]
-                    gain = m.gain(state, words)
-                sums = [np.bincount(t.docs, x, t.rows) for x in (known, base, gain)]
+                gain, owners, others = np.zeros(t.rows), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                if m.grams is not None:
+                    starts = (t.docs[t.first], np.full(t.rows, START))
+                    for owner, keys in [starts, *((t.docs[at], keys) for at, keys in grams(t, depth))]:
+                        found = m.grams.find(keys)
+                        hit = found >= 0
+                        gain += np.bincount(owner[hit], m.values[found[hit]], t.rows)
+                        owner, keys = owner[~hit], keys[~hit]
+                        may = m.others.has(keys)
+                        owners.append(owner[may])
+                        others.append(keys[may])
+                sums = [np.bincount(t.docs, x, t.rows) for x in (known, base)]
                 rare = np.flatnonzero(~known)
-                bounds = np.searchsorted(t.docs[rare], np.arange(t.rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(t.hashes[rare].view(np.int64)))
                 part = b.slice(w.first, t.rows)
-                numbers = [pa.array(np.bincount(t.docs, minlength=t.rows)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, lists], names)
+                numbers = [pa.array(np.bincount(t.docs, minlength=t.rows)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(gain)]
+                more = [lists(t.docs[rare], t.hashes[rare], t.rows), lists(np.concatenate(owners), np.concatenate(others), t.rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, *more], names)
 
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare"]
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare", "grams"]
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>, grams array<long>")
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "suffix-tree-rows")
     # the words too rare to be broadcast: their exact counts by a join
     norm = F.lit(float(np.log10(model.tokens + ADDED * (model.distinct + 1))))
@@ -358,9 +400,16 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     rare = rare.join(counts, "key", "left")
     base = F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ADDED)) - norm)
     rare = rare.groupBy("row").agg(F.sum(base).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))).alias("rare_known"))
-    out = rows.drop("rare").join(rare, "row", "left")
+    out = rows.drop("rare", "grams").join(rare, "row", "left")
+    gain = F.col("gain")
+    if values is not None:
+        # and so the values of all other grams
+        more = rows.select("row", F.explode("grams").alias("key"))
+        more = more.join(values, "key").groupBy("row").agg(F.sum("value").alias("more_gain"))
+        out = out.join(more, "row", "left")
+        gain = gain + F.coalesce(F.col("more_gain"), F.lit(0.0))
     whole = F.col("base") + F.coalesce(F.col("rare_base"), F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.col("rare_known"), F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        whole.alias("base_score"), (whole + F.col("gain")).alias("score"),
+        whole.alias("base_score"), (whole + gain).alias("score"),
     )

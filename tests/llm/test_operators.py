@@ -88,6 +88,69 @@ def test_suffix_tree(spark):
     assert suffix_tree.scored(docs(spark, [])).count() == 0
 
 
+def tree_brute(rows, depth, held):
+    """The score of each text by a tree over tuples of words, without hashing."""
+    texts = [(i, [*split(lower(t)), None]) for i, t, _ in rows]
+    grams = [Counter() for _ in range(depth + 2)]  # by length; a gram may begin with the beginning of its text, 0
+    for i, t in texts:
+        if not held(i):
+            s = [0, *t]
+            for size in range(1, depth + 2):
+                grams[size].update(tuple(s[k : k + size]) for k in range(len(s) - size + 1))
+    words = {g[0]: n for g, n in grams[1].items() if g[0] != 0}
+    n, v = sum(words.values()), len(words)
+    kept = {}
+
+    def p(context, word):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (words.get(word, 0) + 0.1) / (n + 0.1 * (v + 1))
+        edges, rest = kept[context]
+        return edges.get(word, 0) + rest * p(context[1:], word)
+
+    for size in range(1, depth + 1):
+        following = {}
+        for g, c in grams[size + 1].items():
+            if c >= 2:
+                following.setdefault(g[:-1], {})[g[-1]] = c
+        found = {}
+        for context, edges in following.items():
+            total = grams[size][context]
+            share = {w: (c - 0.75) / total for w, c in edges.items()}
+            rest = min(max(1 - sum(share.values()), 1e-6), 1)
+            above = {w: p(context[1:], w) for w in edges}
+            own = {w: share[w] + rest * above[w] for w in edges}
+            gap = sum(own[w] * math.log(own[w] / above[w]) for w in edges) + rest * max(1 - sum(above.values()), 1e-9) * math.log(rest)
+            if gap >= 0.01 and gap * total >= 10:
+                found[context] = (share, rest)
+        kept.update(found)
+    return [(str(i), round(sum(math.log10(p(tuple([0, *t][max(0, k + 1 - depth) : k + 1]), w)) for k, w in enumerate(t)), 4)) for i, t in texts]
+
+
+@pytest.mark.parametrize("share", [5e-6, 1.0])
+def test_suffix_tree_scores(spark, monkeypatch, share):
+    """Equal to a brute-force tree, with all grams broadcast or all joined."""
+    monkeypatch.setattr(suffix_tree, "EDGE_SHARE", share)
+    rng = random.Random(12)
+    phrases = ["a b c d e", "x b c q", "over the b c dog", "A rare thing", "b c d", "c e a", *(f"u{k} v{k % 7}" for k in range(40))]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randrange(30))), "s") for i in range(120)] + AWKWARD
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    got = suffix_tree.scored(docs(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got) == sorted(tree_brute(rows, suffix_tree.DEPTH, held))
+
+
+def test_suffix_tree_keeps_what_repeats_at_any_size(spark):
+    """A phrase that occurs 30 times in 1.3 million tokens, of which the common words have no context."""
+    phrase = "zug zwang remis"
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(1300)) + (" " + phrase if i < 30 else ""), "s") for i in range(1000)]
+    rows.append((5000, phrase, "s"))
+    r = suffix_tree.scored(docs(spark, rows)).where("doc_id = 5000").first()
+    # two of its four tokens follow from the one before
+    assert r["score"] - r["base_score"] > 8
+
+
 def kept_brute(rows, window=20):
     order = sorted((i, t) for i, t, _ in rows)
     seen, out = set(), {}
