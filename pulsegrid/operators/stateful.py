@@ -1,15 +1,44 @@
-"""Recurrences that depend on their own results, one keyed group at a time.
+"""Recurrences that depend on their own results, over the rows of each key in order.
 
-Groups are the series of one node or the proposals of one tick, small by nature;
-the functions run in ``applyInPandas`` on the sorted rows of a group.
+The rows are dealt by key and sorted by Spark; a task reads them batch by batch and
+carries nothing over but the small state of the key that it is at, so a key may have
+any number of rows.  The rows of one key follow one another in one task.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def streamed(df: DataFrame, key: str, order: list[str], inputs: list[str], results: dict[str, str], keep: list[str], kinds: str, start: Callable[[], Callable]) -> DataFrame:
+    """The columns ``keep`` of each row and ``results``, which a function of the row's ``inputs`` gives.
+
+    ``start`` makes that function anew for each key; it sees the rows in ``order``.
+    ``kinds`` is the schema of ``keep``, ``results`` the dtypes of the others.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, step = None, None
+        for pdf in frames:
+            rows = []
+            for at, *values in zip(pdf[key], *(pdf[c] for c in inputs), strict=True):
+                at = None if pd.isna(at) else at
+                if step is None or at != last:
+                    last, step = at, start()
+                rows.append(step(*values))
+            made = zip(*rows, strict=True) if rows else [()] * len(results)
+            columns = {c: pd.Series(list(x), index=pdf.index, dtype=t) for (c, t), x in zip(results.items(), made, strict=True)}
+            yield pdf[keep].assign(**columns)
+
+    types = {"int64": "long", "float64": "double", "bool": "boolean"}
+    schema = ", ".join([kinds, *(f"{c} {types[t]}" for c, t in results.items())])
+    dealt = df.repartition(key).sortWithinPartitions(key, *(F.col(c).asc_nulls_last() for c in order))
+    return dealt.mapInPandas(run, schema)
 
 
 class BucketWindow:
@@ -45,16 +74,17 @@ class BucketWindow:
 def bucketised(df: DataFrame, key: str, ms: str, tie: str, value: str, window_ms: int, bucket_ms: int) -> DataFrame:
     """(key, ms, tie, buckets, total) after each row."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ms, tie])
-        w, sizes, totals = BucketWindow(window_ms, bucket_ms), [], []
-        for at, v in zip(pdf[ms], pdf[value], strict=True):
+    def start() -> Callable:
+        w = BucketWindow(window_ms, bucket_ms)
+
+        def step(at: int, v: float) -> tuple[int, float]:
             w.add(at, v)
-            sizes.append(len(w.buckets))
-            totals.append(w.total())
-        return pdf[[key, ms, tie]].assign(buckets=sizes, total=totals)
+            return len(w.buckets), w.total()
 
-    return df.select(key, ms, tie, value).groupBy(key).applyInPandas(run, f"{key} long, {ms} long, {tie} long, buckets long, total double")
+        return step
+
+    rows, kinds = df.select(key, ms, tie, value), f"{key} long, {ms} long, {tie} long"
+    return streamed(rows, key, [ms, tie], [ms, value], {"buckets": "int64", "total": "float64"}, [key, ms, tie], kinds, start)
 
 
 DAY_MS = 86_400_000
@@ -66,10 +96,11 @@ def alarms(
 ) -> DataFrame:
     """(key, ms, tie, healthy): an alarm that goes off after enough bad days and heals when both monitors are empty."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ms, tie])
-        near, far, healthy, out = BucketWindow(*day), BucketWindow(*week), True, []
-        for at, bad in zip(pdf[ms], pdf[issue], strict=True):
+    def start() -> Callable:
+        near, far, healthy = BucketWindow(*day), BucketWindow(*week), True
+
+        def step(at: int, bad: bool) -> tuple[bool]:
+            nonlocal healthy
             if bad:
                 near.add(at, 1.0)
                 if near.size(at) >= day_breaches:
@@ -78,21 +109,23 @@ def alarms(
                 healthy = far.size(at) < week_breaches
             else:
                 healthy = near.size(at) == 0 and far.size(at) == 0
-            out.append(healthy)
-        return pdf[[key, ms, tie]].assign(healthy=out)
+            return (healthy,)
 
-    return df.select(key, ms, tie, issue).groupBy(key).applyInPandas(run, f"{key} long, {ms} long, {tie} long, healthy boolean")
+        return step
+
+    rows, kinds = df.select(key, ms, tie, issue), f"{key} long, {ms} long, {tie} long"
+    return streamed(rows, key, [ms, tie], [ms, issue], {"healthy": "bool"}, [key, ms, tie], kinds, start)
 
 
 def collection_cycles(df: DataFrame, key: str, ms: str, tie: str, used: str, full_gc: str) -> DataFrame:
     """(key, ms, tie, promoted, reclaimed): what was promoted since the last full collection
     and, at one, the reclaimed share of it; null where that is not between 0 and 1."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ms, tie])
+    def start() -> Callable:
         top = before = promoted = 0.0
-        rows = []
-        for now, gc in zip(pdf[used], pdf[full_gc], strict=True):
+
+        def step(now: float, gc: float) -> tuple[float, float | None]:
+            nonlocal top, before, promoted
             top, share = max(top, now), None
             if now >= before:
                 promoted += now - before
@@ -101,10 +134,12 @@ def collection_cycles(df: DataFrame, key: str, ms: str, tie: str, used: str, ful
                 share = part if 0 <= part <= 1 else None
                 promoted, top = 0.0, now
             before = now
-            rows.append((promoted, share))
-        return pdf[[key, ms, tie]].assign(promoted=[p for p, _ in rows], reclaimed=pd.Series([s for _, s in rows], index=pdf.index, dtype="float64"))
+            return promoted, share
 
-    return df.select(key, ms, tie, used, full_gc).groupBy(key).applyInPandas(run, f"{key} long, {ms} long, {tie} long, promoted double, reclaimed double")
+        return step
+
+    rows, kinds = df.select(key, ms, tie, used, full_gc), f"{key} long, {ms} long, {tie} long"
+    return streamed(rows, key, [ms, tie], [used, full_gc], {"promoted": "float64", "reclaimed": "float64"}, [key, ms, tie], kinds, start)
 
 
 def collated(actions: DataFrame) -> DataFrame:
@@ -117,28 +152,34 @@ def collated(actions: DataFrame) -> DataFrame:
     """
     UP, DOWN = "INCREASES_PRESSURE", "DECREASES_PRESSURE"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def start() -> Callable:
         lowering: dict[tuple[str, str], int] = {}
-        rows = []
-        for row in pdf.sort_values("action_id").itertuples():
-            impacts = [(i["node"], i["dimension"], i["impact"]) for i in row.impacts]
-            down = sum(i[2] == DOWN for i in impacts)
-            up = sum(i[2] == UP for i in impacts)
-            rows.append((down, -up, row.action_id, impacts))
-            for node, dimension, impact in impacts:
-                if impact == DOWN:
-                    lowering[node, dimension] = lowering.get((node, dimension), 0) + 1
-        kept = []
-        for _, _, action, impacts in sorted(rows, key=lambda r: r[:3]):
+
+        def step(node: str, dimension: str, lowered: int, impacts) -> tuple[bool]:
+            if impacts is None:  # how many actions of the tick lower a pressure comes before its actions
+                lowering[node, dimension] = int(lowered)
+                return (False,)
+            impacts = [(i["node"], i["dimension"], i["impact"]) for i in impacts]
             if any(impact == UP and lowering.get((node, dimension), 0) > 0 for node, dimension, impact in impacts):
                 for node, dimension, impact in impacts:
                     if impact == DOWN:
                         lowering[node, dimension] -= 1
-            else:
-                kept.append(action)
-        return pd.DataFrame({"tick": [pdf["tick"].iloc[0]] * len(kept), "action_id": kept}).astype("int64")
+                return (False,)
+            return (True,)
+
+        return step
+
+    def count(impact: str):
+        return F.size(F.filter("impacts", lambda i: i["impact"] == impact))
 
-    return actions.groupBy("tick").applyInPandas(run, "tick long, action_id long")
+    actions = actions.withColumn("impacts", F.coalesce("impacts", F.array()))
+    ranked = actions.select("tick", "action_id", "impacts", F.lit(1).alias("part"), count(DOWN).alias("down"), (-count(UP)).alias("up"))
+    each = actions.select("tick", F.explode("impacts").alias("i")).where(F.col("i.impact") == DOWN)
+    each = each.groupBy("tick", F.col("i.node").alias("node"), F.col("i.dimension").alias("dimension")).agg(F.count("*").alias("lowered"))
+    rows = ranked.unionByName(each.withColumns({"part": F.lit(0), "action_id": F.lit(0)}), allowMissingColumns=True)
+    inputs = ["node", "dimension", "lowered", "impacts"]
+    kept = streamed(rows, "tick", ["part", "down", "up", "action_id"], inputs, {"kept": "bool"}, ["tick", "action_id"], "tick long, action_id long", start)
+    return kept.where("kept").select("tick", "action_id")
 
 
 def published(actions: DataFrame, window_ms: int = 3_600_000) -> DataFrame:
@@ -147,16 +188,9 @@ def published(actions: DataFrame, window_ms: int = 3_600_000) -> DataFrame:
     Rows: node, dimension, ms, action_id, impact.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "action_id"])
-        lowered, out = None, []
-        for at, impact in zip(pdf["ms"], pdf["impact"], strict=True):
-            ok = not (impact == "INCREASES_PRESSURE" and lowered is not None and at - lowered <= window_ms)
-            if ok and impact == "DECREASES_PRESSURE":
-                lowered = at
-            out.append(ok)
-        return pdf[["node", "dimension", "ms", "action_id", "impact"]].assign(published=out)
-
-    return actions.select("node", "dimension", "ms", "action_id", "impact").groupBy("node", "dimension").applyInPandas(
-        run, "node long, dimension string, ms long, action_id long, impact string, published boolean"
-    )
+    # what lowers a pressure is never held back, so the last such action is all there is to know
+    before = Window.partitionBy("node", "dimension").orderBy(F.col("ms").asc_nulls_last(), F.col("action_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    lowered = F.last(F.when(F.col("impact") == "DECREASES_PRESSURE", F.col("ms")), ignorenulls=True).over(before)
+    held = (F.col("impact") == "INCREASES_PRESSURE") & (F.col("ms") - lowered <= window_ms)
+    rows = actions.select(F.col("node").cast("long"), "dimension", F.col("ms").cast("long"), F.col("action_id").cast("long"), "impact")
+    return rows.withColumn("published", ~F.coalesce(held, F.lit(False)))

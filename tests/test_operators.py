@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
-from collections import deque
+import random
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,68 @@ def test_flip_flop_needs_a_published_decrease(spark):
     assert {r.action_id for r in stateful.published(df).where("published").collect()} == {1, 3, 4}
 
 
+def test_series_are_streamed(spark):
+    """Keys of many batches: equal to plain Python, and no operator takes the rows of a key at once."""
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(4_000_000), n, float(rng.randrange(100)), n % 9 == 0) for k in (1, 2, None) for n in range(250)]
+    df = spark.createDataFrame(rows, "host long, ms long, event_id long, value double, bad boolean")
+    series = {k: sorted((r[1:] for r in rows if r[0] == k), key=lambda r: r[:2]) for k in (1, 2, None)}
+    gc = df.withColumn("gc", F.lit(1))
+    kind = "tick long, action_id long, impacts array<struct<node:string,dimension:string,impact:string>>"
+    sides = ["INCREASES_PRESSURE", "DECREASES_PRESSURE"]
+    actions = [(t, a, [(rng.choice("no"), rng.choice("CH"), sides[rng.random() < 0.4]) for _ in range(rng.randrange(3))]) for t in (1, 2) for a in range(60)]
+    proposals = spark.createDataFrame(actions, kind)
+    pairs = df.select(F.col("host").alias("node"), F.lit("HEAP").alias("dimension"), "ms", F.col("event_id").alias("action_id"), F.when(F.col("value") > 60, sides[0]).otherwise(sides[1]).alias("impact"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        sums = stateful.bucketised(df, "host", "ms", "event_id", "value", 600_000, 60_000)
+        alarms = stateful.alarms(df, "host", "ms", "event_id", "bad", 3, 2, (600_000, 60_000), (1_200_000, 300_000))
+        cycles = stateful.collection_cycles(gc, "host", "ms", "event_id", "value", "gc")
+        kept, shown = stateful.collated(proposals), stateful.published(pairs, 9000)
+        for out in (sums, alarms, cycles, kept, shown):
+            assert "InPandas" not in out._jdf.queryExecution().toString().replace("MapInPandas", "")
+        got = [{(r["host"], r["ms"], r["event_id"]): tuple(r)[3:] for r in out.collect()} for out in (sums, alarms, cycles)]
+        kept, shown = {tuple(r) for r in kept.collect()}, {(r["node"], r["action_id"]): r["published"] for r in shown.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for k, one in series.items():
+        want = bucket_reference([(ms, v) for ms, _, v, _ in one], 600_000, 60_000)
+        assert [got[0][k, ms, n] for ms, n, _, _ in one] == want
+        near, far, healthy = stateful.BucketWindow(600_000, 60_000), stateful.BucketWindow(1_200_000, 300_000), True
+        top = last = promoted = 0.0
+        lowered = None
+        for ms, n, v, bad in one:
+            if bad:
+                near.add(ms, 1.0)
+                if near.size(ms) >= 3:
+                    far.add(ms, 1.0)
+            healthy = far.size(ms) < 2 if healthy else near.size(ms) == far.size(ms) == 0
+            assert got[1][k, ms, n] == (healthy,)
+            top, share = max(top, v), None
+            if v >= last:
+                promoted += v - last
+            elif promoted > 0:
+                share = (top - v) / promoted
+                share = share if 0 <= share <= 1 else None
+                promoted, top = 0.0, v
+            last = v
+            assert got[2][k, ms, n] == (promoted, share)
+            ok = v <= 60 or lowered is None or ms - lowered > 9000
+            lowered = ms if v <= 60 else lowered
+            assert shown[k, n] == ok
+    want = set()
+    for t in (1, 2):
+        mine = sorted((sum(i[2] == sides[1] for i in x), -sum(i[2] == sides[0] for i in x), a, x) for u, a, x in actions if u == t)
+        down = Counter((i[0], i[1]) for *_, x in mine for i in x if i[2] == sides[1])
+        for _, _, a, x in mine:
+            if any(i[2] == sides[0] and down[i[:2]] > 0 for i in x):
+                down.subtract(i[:2] for i in x if i[2] == sides[1])
+            else:
+                want.add((t, a))
+    assert kept == want and 0 < len(want) < len(actions)
+
+
 def test_generation_ratio(spark):
     df = spark.createDataFrame([(50.0, True), (5.0, True), (50.0, False), (4.5, False), (3.5, False)], "r double, shrink boolean")
     got = df.select(decisions.generation_ratio(F.col("r"), F.lit(1.0), F.col("shrink")).alias("n")).collect()
