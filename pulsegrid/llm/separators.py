@@ -11,6 +11,7 @@ and a document may span any number of them.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,14 @@ BLOCKS = "file long, block long, ids binary"
 
 
 def write(docs: DataFrame, model_file: str, end: int, path: str, block_ids: int = BLOCK_IDS) -> None:
-    """Token files of all texts, one a partition, cut into blocks, as a table of ``BLOCKS``."""
+    """Token files of all texts, one a partition, cut into blocks, as a table of ``BLOCKS``.
+
+    Two more columns are beside them, of no use to the scan: ``doc_ids`` of the
+    documents that end in a block, and in ``first`` the number of the first of them.
+    """
     name = shipped(docs.sparkSession, model_file)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    arrow = docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
     stop = np.array([end], dtype="<u2").tobytes()
     size = 2 * block_ids
 
@@ -38,15 +45,24 @@ def write(docs: DataFrame, model_file: str, end: int, path: str, block_ids: int
         with open(SparkFiles.get(name), "rb") as f:
             chunks = Chunks(f.read(), packed=True)
         file, block, held = TaskContext.get().partitionId(), 0, bytearray()
+        first, open_ = 0, deque()  # documents of earlier blocks; (end, doc_id) of those after them
 
         def row(data: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "ids"])
+            nonlocal first
+            ending = []
+            while open_ and open_[0][0] <= block * size + len(data):
+                ending.append(open_.popleft()[1])
+            first += len(ending)
+            numbers = [pa.array([x], pa.int64()) for x in (file, block, first - len(ending))]
+            return pa.RecordBatch.from_arrays([*numbers[:2], pa.array([data], pa.binary()), numbers[2], pa.array([ending], pa.list_(arrow))], names)
 
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
-                for ids, _, _ in chunks.encoded(whole.column(0).slice(i, 2000)):
+                doc_ids = whole.column(1).slice(i, 2000).to_pylist()
+                for (ids, _, _), doc_id in zip(chunks.encoded(whole.column(0).slice(i, 2000)), doc_ids, strict=True):
                     held += ids
                     held += stop
+                    open_.append((block * size + len(held), doc_id))
                     while len(held) >= size:
                         yield row(bytes(held[:size]))
                         del held[:size]
@@ -54,7 +70,8 @@ def write(docs: DataFrame, model_file: str, end: int, path: str, block_ids: int
         if held:
             yield row(bytes(held))
 
-    docs.select(F.col("text").cast("string")).mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
+    names = ["file", "block", "ids", "first", "doc_ids"]
+    docs.select(F.col("text").cast("string"), "doc_id").mapInArrow(run, f"{BLOCKS}, first long, doc_ids array<{kind}>").write.option("compression", "zstd").parquet(path)
 
 
 def blocks_of_files(files: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -141,8 +158,14 @@ def counts(blocks: DataFrame, end: int, span: int = SPAN) -> DataFrame:
 def token_counts(docs: DataFrame, model_file: str, end: int) -> DataFrame:
     """Writes the texts of ``docs`` as token files in the shared folder and counts by scanning them.
 
+    (file, document, start, n_tokens, doc_id) of each row of ``docs``.
+
     A null or empty text is a document of 0 ids; an empty table gives no rows.
     """
     path = new_folder(docs.sparkSession, "token-files")
     write(docs, model_file, end, path)
-    return counts(docs.sparkSession.read.schema(BLOCKS).parquet(path), end)
+    read = docs.sparkSession.read
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    beside = read.schema(f"file long, first long, doc_ids array<{kind}>").parquet(path).select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id"))
+    beside = beside.select("file", (F.col("first") + F.col("i")).alias("document"), "doc_id")
+    return counts(read.schema(BLOCKS).parquet(path), end).join(beside, ["file", "document"], "left")

@@ -293,6 +293,15 @@ def test_separators(spark, tmp_path):
     assert separators.token_counts(docs(spark, []), MODEL, 2).count() == 0
 
 
+def test_separators_name_documents(spark, monkeypatch):
+    """Each document's count under its own doc_id, also where texts span blocks and blocks hold many."""
+    monkeypatch.setattr(separators.write, "__defaults__", (16,))
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = AWKWARD + [(100 + i, "some text " * (i % 7), "s") for i in range(40)]
+    got = separators.token_counts(docs(spark, rows).repartition(3), MODEL, 2).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(sp.encode(t or ""))) for i, t, _ in rows)
+
+
 def test_separators_of_open_files(spark):
     ids = lambda *x: np.array(x, dtype="<u2").tobytes()
     rows = [(0, 0, ids(5, 6)), (0, 1, ids(7)), (0, 2, ids(2, 2)), (0, 3, ids(9)), (1, 0, None), (2, 0, ids(2))]
