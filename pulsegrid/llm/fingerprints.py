@@ -9,10 +9,11 @@ long window can be repeated only if its fingerprint is.
 The index is a list of immutable runs, sorted tables of (hash, count) that are
 bucketed alike.  A new batch becomes a run, is merge-joined with each older run
 without a shuffle, and gives the fingerprints that are repeated with it; runs of
-one level are then compacted into a run of the next.
+one level are then compacted into a run of the next.  A manifest beside the runs
+lists them, so another session opens the index and adds to it.
 
-Verification: only long windows with a repeated fingerprint are compared, by 96
-bits of two independent hashes of all their words.  Each text drops its own later
+Verification: only long windows with a repeated fingerprint are compared, by two
+independent 64-bit hashes of all their words.  Each text drops its own later
 copies of a window; for the rest the smallest document of each window comes from
 an aggregation that is combined before its shuffle, so a passage that a third of
 all documents share is no group of rows.
@@ -26,18 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.storage import freed, new_folder, saved
-from pulsegrid.llm.suffix_tree import Index
-from pulsegrid.llm.words import Words, gram_hashes, mix, word_slices
+from pulsegrid.llm.words import Words, fold, gram_hashes, hash_spans, joined_words, word_slices
 
 WINDOW, ANCHOR = 20, 8
 BATCHES = 3
-#: Repeated fingerprints are broadcast up to this many (8 bytes each, 32 MB); beyond it they are joined by shuffles.
-BROADCAST_HASHES = 4_000_000
-_SECOND = np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def selected(grams: np.ndarray, width: int) -> np.ndarray:
@@ -63,34 +61,52 @@ def windows(w: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.nd
     return start, at, grams[at]
 
 
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """(h, n): partial counts of the fingerprints of the column ``text``."""
+def fingerprints(nodes: DataFrame) -> DataFrame:
+    """(h, node, n): how often each fingerprint is in each text of ``nodes`` (node long, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in word_slices(b.column(0)):
-                _, at, h = windows(w)
+            node = b.column(0).to_numpy()
+            for w in word_slices(b.column(1)):
+                start, at, h = windows(w)
                 new = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
-                values, counts = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["h", "n"])
+                docs, h = w.docs[start[new]], h[new]
+                _, first, n = np.unique(fold(docs.astype(np.uint64), h), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(node[w.first + docs[first]]), pa.array(n)], ["h", "node", "n"])
 
-    return texts.select(F.col("text").cast("string")).mapInArrow(run, "h long, n long")
+    return nodes.select("node", F.col("text").cast("string")).mapInArrow(run, "h long, node long, n long")
 
 
 class FingerprintIndex:
-    """Runs of fingerprints in the shared folder."""
+    """Runs of fingerprints in a folder that every executor sees.
+
+    ``FingerprintIndex(spark, path)`` starts one in a new folder; ``FingerprintIndex.open``
+    goes on with one that another session has left there.
+    """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        rows = spark.read.schema("version long, place int, level int, name string, buckets int").json(f"{path.rstrip('/')}/manifest-*")
+        last = rows.agg(F.max("version")).first()[0]
+        kept = rows.where(F.col("version") == last).orderBy("place").collect()
+        index = cls(spark, path, kept[0]["buckets"])
+        index.version, index.runs = last, [(r["level"], r["name"]) for r in kept]
+        for _, name in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, n BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {index.buckets} BUCKETS LOCATION '{index.path}/{name}'")
+        return index
 
     def _write(self, prints: DataFrame) -> str:
         """A sorted run of (h, n) rows, summed by h."""
         name = f"fingerprints_{uuid.uuid4().hex}"
         rows = prints.groupBy("h").agg(F.sum("n").alias("n")).repartition(self.buckets, "h")
         with freed(self.spark):
-            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", new_folder(self.spark, "run")).saveAsTable(name)
+            rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def add(self, prints: DataFrame) -> DataFrame:
@@ -107,62 +123,70 @@ class FingerprintIndex:
             self.runs.append((level + 1, self._write(self.spark.table(a).unionByName(self.spark.table(b)))))
             for old in (a, b):
                 self.spark.sql(f"DROP TABLE {old}")
+        self.version += 1
+        rows = [(self.version, k, level, run, self.buckets) for k, (level, run) in enumerate(self.runs)]
+        listed = self.spark.createDataFrame(rows, "version long, place int, level int, name string, buckets int")
+        listed.coalesce(1).write.json(f"{self.path}/manifest-{self.version:06d}")
         return found
 
     def close(self) -> None:
-        """Forgets the runs; their files stay in the shared folder."""
+        """Forgets the runs; their files stay in the folder."""
         for _, name in self.runs:
             self.spark.sql(f"DROP TABLE {name}")
         self.runs = []
 
 
-def repeated_fingerprints(nodes: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(h) from adding ``nodes`` (node, text) to an index in batches of ascending node."""
-    cuts = nodes.agg(F.percentile_approx("node", [(i + 1) / batches for i in range(batches - 1)], 1000)).first()[0] if batches > 1 else []
+def repeated_fingerprints(prints: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(h) from adding ``prints`` (h, node, n) to an index in batches of ascending node."""
+    cuts = prints.agg(F.percentile_approx("node", [(i + 1) / batches for i in range(batches - 1)], 1000)).first()[0] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    index, found = FingerprintIndex(nodes.sparkSession), None
+    index, found = FingerprintIndex(prints.sparkSession, new_folder(prints.sparkSession, "fingerprints")), None
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        part = nodes
+        part = prints
         if low is not None:
             part = part.where(F.col("node") > low)
         if high is not None:
             part = part.where(F.col("node") <= high)
-        new = index.add(fingerprints(part))
+        new = index.add(part)
         found = new if found is None else found.unionByName(new)
     found = saved(found.distinct(), "repeated")
     index.close()
     return found
 
 
-class _Repeated:
-    """Tells which windows of a text have a repeated fingerprint."""
+def _in_lists(docs: np.ndarray, h: np.ndarray, lists: pa.Array, check: np.ndarray | None = None) -> np.ndarray:
+    """Which of the hashes are in the list of their document; lists of (hash, check) where ``check`` is given."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    owners = np.repeat(np.arange(len(lists), dtype=np.uint64), sizes)
+    flat = lists.flatten()
+    own = (flat if check is None else flat.field(0)).to_numpy().view(np.uint64)
+    keys = fold(owners, own)
+    if not len(keys):
+        return np.zeros(len(h), dtype=bool)
+    order = np.argsort(keys)
+    sought = fold(docs.astype(np.uint64), h)
+    at = order[np.minimum(np.searchsorted(keys, sought, sorter=order), len(keys) - 1)]
+    ok = (keys[at] == sought) & (own[at] == h)
+    return ok if check is None else ok & (flat.field(1).to_numpy().view(np.uint64)[at] == check)
 
-    def __init__(self, shared):
-        self.index = Index(shared.value) if shared is not None else None
 
-    def __call__(self, h: np.ndarray, docs: np.ndarray, per_doc: list | None) -> np.ndarray:
-        if self.index is not None:
-            return self.index.find(h) >= 0
-        out = np.zeros(len(h), dtype=bool)
-        bounds = np.searchsorted(docs, np.arange(len(per_doc) + 1))
-        for i, own in enumerate(per_doc):
-            if own is not None and bounds[i] < bounds[i + 1]:
-                out[bounds[i] : bounds[i + 1]] = np.isin(h[bounds[i] : bounds[i + 1]], np.asarray(own, dtype=np.int64).view(np.uint64))
-        return out
+def _candidates(w: Words, repeated: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, document, hash, second hash, whether the first of its text) of the windows to verify.
 
-
-def _candidates(w: Words, repeated: _Repeated, per_doc: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, document, hash, whether the first of its text) of the windows to verify."""
+    ``repeated`` has the list of repeated fingerprints of each document.
+    """
     start, _, h = windows(w)
     docs = w.docs[start]
-    ok = repeated(h, docs, per_doc)
+    ok = _in_lists(docs, h, repeated)
     start, docs = start[ok], docs[ok]
     if not len(start):
-        return start, docs, np.zeros(0, np.uint64), np.zeros(0, bool)
+        none = np.zeros(0, np.uint64)
+        return start, docs, none, none, np.zeros(0, bool)
     grams = gram_hashes(w.hashes, WINDOW)[start]
+    check = gram_hashes(hash_spans(w.data, w.starts, w.ends, seed=1), WINDOW)[start]
     first = np.zeros(len(start), dtype=bool)
-    first[np.unique(mix(docs.astype(np.uint64)) + grams, return_index=True)[1]] = True
-    return start, docs, grams, first
+    first[np.unique(fold(fold(docs.astype(np.uint64), grams), check), return_index=True)[1]] = True
+    return start, docs, grams, check, first
 
 
 def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -> DataFrame:
@@ -196,47 +220,33 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
         keyed = docs.withColumns(key)
         nodes = keyed.join(ids, keyed["_id"].eqNullSafe(ids["_id"]) & (keyed["_t"] == ids["_t"])).select(*[keyed[c] for c in docs.columns], "node")
         nodes = saved(nodes, "numbered")
-    plain = nodes.select("node", "text")
-    repeated = repeated_fingerprints(plain, batches)
-    shared, flagged = None, None
-    if repeated.count() <= BROADCAST_HASHES:
-        shared = spark.sparkContext.broadcast(repeated.toArrow().column("h").to_numpy().view(np.uint64))
-    else:
-        flagged = saved(_prints_of_nodes(plain).join(repeated, "h").groupBy("node").agg(F.collect_set("h").alias("hs")), "flagged")
+    # each text with its repeated fingerprints, the only places where a window can be repeated
+    prints = saved(fingerprints(nodes.select("node", "text")), "prints")
+    repeated = repeated_fingerprints(prints, batches)
+    flagged = saved(prints.join(repeated, "h").groupBy("node").agg(F.collect_list("h").alias("hs")), "flagged")
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Repeated(shared)
         for b in rows:
             node = b.column(0).to_numpy()
             for w in word_slices(b.column(1)):
-                n = len(w.bounds) - 1
-                per_doc = None if shared is not None else b.column(2).slice(w.first, n).to_pylist()
-                start, of, h, first = _candidates(w, known, per_doc)
-                start, of, h = start[first], of[first], h[first]
-                check = gram_hashes(mix(w.hashes + _SECOND), WINDOW)[start] if len(start) else h
-                made = [pa.array(h.view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(node[w.first + of])]
+                _, of, h, check, first = _candidates(w, b.column(2).slice(w.first, len(w.bounds) - 1))
+                made = [pa.array(h[first].view(np.int64)), pa.array(check[first].view(np.int64)), pa.array(node[w.first + of[first]])]
                 yield pa.RecordBatch.from_arrays(made, ["h", "check", "node"])
 
-    source = plain if flagged is None else plain.join(flagged, "node", "left")
-    seen = source.mapInArrow(emit, "h long, check int, node long")
+    seen = nodes.select("node", "text").join(flagged, "node").mapInArrow(emit, "h long, check long, node long")
     # equal texts have equal windows, so the smallest node is enough to tell the first
-    firsts = seen.groupBy("h", "check").agg(F.min("node").alias("node")).groupBy("node").agg(F.collect_list("h").alias("firsts"))
+    firsts = seen.groupBy("h", "check").agg(F.min("node").alias("node")).groupBy("node").agg(F.collect_list(F.struct("h", "check")).alias("firsts"))
     firsts = saved(firsts, "first-windows")
-    rows = nodes.select("node", F.col("text").alias("_text"), *fixed)
-    rows = rows.join(firsts, "node", "left") if flagged is None else rows.join(firsts, "node", "left").join(flagged, "node", "left")
-    rows = rows.select("_text", "firsts", *([] if flagged is None else ["hs"]), *fixed)
+    rows = nodes.select("node", F.col("text").alias("_text"), *fixed).join(flagged.join(firsts, "node", "left"), "node", "left").select("_text", "hs", "firsts", *fixed)
 
     def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Repeated(shared)
         for b in batches_:
-            firsts_of, hs = b.column(1), None if shared is not None else b.column(2)
             for w in word_slices(b.column(0)):
                 n = len(w.bounds) - 1
-                per_doc = None if hs is None else hs.slice(w.first, n).to_pylist()
-                removed = _removed(w, known, per_doc, firsts_of.slice(w.first, n))
-                lost = np.bincount(w.docs, removed, n).astype(np.int64)
                 own = b.slice(w.first, n)
-                kept = _kept(w, removed)
+                removed = _removed(w, own.column(1), own.column(2))
+                lost = np.bincount(w.docs, removed, n).astype(np.int64)
+                kept = joined_words(w, ~removed)
                 passed = [own.column(own.num_columns - len(fixed) + i) for i in range(len(fixed))]
                 if texts:
                     # a text that loses nothing stays as it is, the others shrink
@@ -252,46 +262,11 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
     return rows.mapInArrow(finish, f"doc_id {schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
-def _prints_of_nodes(plain: DataFrame) -> DataFrame:
-    """(h, node): the fingerprints of each text, once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = b.column(0).to_numpy()
-            for w in word_slices(b.column(1)):
-                start, at, h = windows(w)
-                new = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(node[w.first + w.docs[start[new]]])], ["h", "node"])
-
-    return plain.mapInArrow(run, "h long, node long").distinct()
-
-
-def _removed(w: Words, known: _Repeated, per_doc: list | None, firsts: pa.Array) -> np.ndarray:
-    """Which words are covered by a window that also starts earlier."""
-    start, docs, h, first = _candidates(w, known, per_doc)
+def _removed(w: Words, repeated: pa.Array, firsts: pa.Array) -> np.ndarray:
+    """Which words are covered by a window that also starts earlier; ``firsts`` has the windows that each document is the first to hold."""
+    start, docs, h, check, first = _candidates(w, repeated)
     cover = np.zeros(len(w.hashes) + 1, dtype=np.int64)
-    bounds = np.searchsorted(docs, np.arange(len(firsts) + 1))
-    for i in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[i], bounds[i + 1]
-        own = firsts[i].values
-        mine = own.to_numpy().view(np.uint64) if own is not None else np.zeros(0, np.uint64)
-        again = start[a:b][~(first[a:b] & np.isin(h[a:b], mine))]
-        cover[again] += 1
-        cover[again + WINDOW] -= 1
+    again = start[~(first & _in_lists(docs, h, firsts, check))]
+    cover[again] += 1  # starts are distinct
+    cover[again + WINDOW] -= 1
     return np.cumsum(cover)[:-1] > 0
-
-
-def _kept(w: Words, removed: np.ndarray) -> list[bytes]:
-    """The words of each text that are not removed, joined by one space."""
-    n = len(w.data)
-    inside = np.zeros(n + 1, dtype=np.int32)
-    keep = ~removed
-    inside[w.starts[keep]] += 1
-    # up to the byte behind a word, if that still belongs to its text
-    stop = np.minimum(w.ends[keep] + 1, w.offsets[1:][w.docs[keep]])
-    np.subtract.at(inside, stop, 1)
-    mask = np.cumsum(inside)[:n] > 0
-    data = np.where(w.data <= 32, np.where((w.data == 32) | ((w.data >= 9) & (w.data <= 13)), np.uint8(32), w.data), w.data)
-    at = np.concatenate(([0], np.cumsum(mask)))[w.offsets]
-    out = data[mask].tobytes()
-    return [out[a:b].removesuffix(b" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

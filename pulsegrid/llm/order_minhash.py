@@ -14,42 +14,50 @@ components of the links.
 Equal word sequences become one node first, however many copies there are.
 Within a bucket of equal sketches not all pairs are made.  Each member meets the
 bucket's leader, the member whose sketches are the most common of all, which
-joins most copies of one original.  A member that stays outside can be similar to
-another one only if both deviate from the leader in the same shingles; such pairs
-are found by a join on deviations and verified too, so no candidate link is lost.
+joins most copies of one original.  What could still link members of different
+components deviates from the leader in the same shingles: such members are found
+by the rarest of their deviations, and verified too.  Where many share one
+deviation they become a group with a leader of its own, and so on, so that no
+candidate link is lost and a group of n members never makes more than a multiple
+of n pairs.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pulsegrid.llm.components import components
 from pulsegrid.llm.storage import new_folder, saved
-from pulsegrid.llm.words import gram_hashes, mix, word_slices
+from pulsegrid.llm.words import Words, gram_hashes, joined_words, mix, word_slices
 
 SHINGLE, SKETCHES, WIDTH = 5, 12, 3
 SIMILARITY = 0.8
-#: Row ids broadcast at most, 8 bytes each; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A shared deviation pairs members directly where at most so many of them ask for it; else a leader is elected among them.
+FEW = 8
 _LABEL = np.uint64(0xA24BAED4963EE407)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingles(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word hashes, shingle hashes) of each text; a text of fewer words than ``size`` is one shingle."""
+def _shingled(w: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text of a slice; a text of fewer words than ``size`` is one shingle."""
+    grams = gram_hashes(w.hashes, size)
+    b = w.bounds.tolist()
+    for x, y in zip(b[:-1], b[1:], strict=True):
+        yield grams[x : y - size + 1] if y - x >= size else gram_hashes(w.hashes[x:y], y - x)
+
+
+def shingles(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text."""
     for w in word_slices(column, lower=True):
-        grams = gram_hashes(w.hashes, size)
-        b = w.bounds.tolist()
-        for x, y in zip(b[:-1], b[1:], strict=True):
-            own = w.hashes[x:y]
-            yield own, grams[x : y - size + 1] if y - x >= size else gram_hashes(own, y - x) if y > x else own
+        yield from _shingled(w, size)
 
 
 def labelled(grams: np.ndarray) -> np.ndarray:
@@ -105,45 +113,50 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     both = np.minimum(np.bincount(ia, minlength=len(values)), np.bincount(ib, minlength=len(values)))
     if found + int(both.sum()) < need:
         return False
-    # longest increasing run of matching positions (i, j) with |i - j| in the band
-    spots: dict[int, list[int]] = {}
-    for j, v in enumerate(ib.tolist()):
-        if both[v]:
-            spots.setdefault(v, []).append(j)
-    ends: list[int] = []
-    for i, v in enumerate(ia.tolist()):
-        for j in reversed(spots.get(v, ())):
-            if abs(i - j) <= band:
-                at = bisect_left(ends, j)
-                if at == len(ends):
-                    ends.append(j)
-                else:
-                    ends[at] = j
-    return found + len(ends) >= need
-
-
-_NODES = "row long, doc_id {}, text string, h1 long, h2 long, words long, shingles long, bands array<long>"
+    return found + banded_lcs(ia.tolist(), ib.tolist(), band) >= need
+
+
+def banded_lcs(a: list[int], b: list[int], band: int) -> int:
+    """The most matches of an alignment of ``a`` and ``b`` that stays within ``band`` of the diagonal.
+
+    One row of the alignment is a bit field of the band, so a row costs a few
+    operations on integers, however often values repeat.
+    """
+    places: dict[int, int] = {}
+    for i, v in enumerate(a):
+        places[v] = places.get(v, 0) | 1 << i
+    width, low, matched = 2 * band + 1, 0, 0
+    full = (1 << width) - 1
+    row = full  # a zero is a place of ``a`` at which the count of matches grows
+    for j, v in enumerate(b):
+        if j > band:  # the band moves on by one place
+            matched += ~row & 1
+            row, low = row >> 1 | 1 << (width - 1), low + 1
+        hits = row & (places.get(v, 0) >> low)
+        row = ((row + hits) | (row - hits)) & full
+    return matched + width - row.bit_count()
+
+
+_NODES = "row long, doc_id {}, text string, h1 long, h2 long, shingles long, bands array<long>"
 
 
 def _nodes(docs: DataFrame, row: str | None) -> DataFrame:
-    """The rows of ``docs`` with a row number, a 128-bit hash of their words, and their sketches."""
+    """The rows of ``docs`` with a row number, a 128-bit digest of their lower-case words, and their sketches."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2, words, counts, bands = [], [], [], [], []
-            for own, grams in shingles(b.column(2)):
-                n = len(own)
-                h1.append(gram_hashes(own, n)[0] if n else 0)
-                h2.append(gram_hashes(mix(own + _LABEL), n)[0] if n else 0)
-                words.append(n)
-                counts.append(len(grams))
-                bands.append(sketches(grams).view(np.int64) if len(grams) else np.zeros(0, np.int64))
-            made = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in (h1, h2)]
-            made += [pa.array(x, pa.int64()) for x in (words, counts)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made, pa.array(bands, pa.list_(pa.int64()))], names)
-
-    names = ["row", "doc_id", "text", "h1", "h2", "words", "shingles", "bands"]
+            digests, counts, bands = [], [], []
+            for w in word_slices(b.column(2), lower=True):
+                digests += [blake2b(x, digest_size=16).digest() for x in joined_words(w)]
+                for grams in _shingled(w):
+                    counts.append(len(grams))
+                    bands.append(sketches(grams).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+            halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            made = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names)
+
+    names = ["row", "doc_id", "text", "h1", "h2", "shingles", "bands"]
     rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(run, _NODES.format(kind))
     path = new_folder(docs.sparkSession, "near-nodes")
@@ -159,7 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(0, whole.num_rows, 1000):
                 b = whole.slice(i, 1000)
                 left, right = shingles(b.column(2)), shingles(b.column(3))
-                ok = [similar(x, y) for (_, x), (_, y) in zip(left, right, strict=True)]
+                ok = [similar(x, y) for x, y in zip(left, right, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
@@ -174,65 +187,106 @@ def deviations(leader: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.setdiff1d(y, x), np.setdiff1d(x, y)
 
 
-def _deviating(family: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components among the followers of a leader that can be similar at all.
-
-    ``family`` has (a, row, root, a_root): a leader, a follower, and their components.
+def _elements(family: DataFrame, texts: DataFrame) -> DataFrame:
+    """(g, row, root, outside, lacks, p, n, b, e, missing): the deviations e of each row of ``family`` from its leader.
 
-    Of two followers in different components one, C, is outside of the leader's.
-    Where C lacks too much of the leader P's content, b(C) > (p + c) / 9 with b the
-    number of deviations from P, a follower A can be similar to C only if they
-    share more than b(A) / 2 + (p - a) / 18 deviations.  So one shared deviation is
-    among any b(A) - floor(b(A) / 2 + (p - a) / 18) of A's: A is found under that many,
-    those that only A has first, and C asks with all of its own.  An A of which more
-    than a fifth is not in P needs fewer: similar texts share 0.8 a of A's shingles,
-    so one of any floor(0.2 a) + 1 of those that only A has.  Where C has the
-    content of P but in another order, it is compared with all followers.
-
-    With |A & C| = (a + c - b(A) - b(C)) / 2 + s for s shared deviations, similar
-    texts have s >= (b(A) + b(C)) / 2 - (a + c) / 18.  Deviations have one order for
-    each leader, so from the first shared one on both must have that many left; a
-    match that leaves fewer is no first one and is not emitted.
+    ``family`` has (g, a, row, root, a_root): a group, its leader, a follower, and their components.
+    ``p`` and ``n`` are the shingles of leader and follower, ``b`` counts the deviations; a
+    follower without deviations has one row with e null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                outside = (b.column(2).to_numpy() != b.column(3).to_numpy()).tolist()
-                at, e, asks, found, sizes, left = [], [], [], [], [], []
-                for k, ((_, x), (_, y)) in enumerate(zip(shingles(b.column(4)), shingles(b.column(5)), strict=True)):
-                    novel, missing = deviations(x, y)
-                    own = np.concatenate(([np.uint64(0)], novel, mix(missing ^ _LABEL)))
-                    n = len(own) - 1
-                    under = max(0, min(n, n - int(np.floor(n / 2 + (len(x) - len(y)) / 18))))
-                    if len(novel) > (fifth := len(y) // 5):
-                        under = min(under, fifth + 1)
-                    listed = np.arange(n + 1) <= under
-                    lacks = 9 * n > len(x) + len(y)
-                    asking = np.full(n + 1, outside[k] and lacks)
-                    asking[0] = outside[k] and not lacks
-                    use = listed | asking
-                    at.append(np.full(int(use.sum()), k))
-                    e.append(own[use])
-                    asks.append(asking[use])
-                    found.append(listed[use])
-                    sizes.append((len(y), n))
-                    left.append((n - np.arange(-1, n))[use])
+                at, e, missing, sizes = [], [], [], []
+                for k, (x, y) in enumerate(zip(shingles(b.column(4)), shingles(b.column(5)), strict=True)):
+                    novel, lost = deviations(x, y)
+                    own = np.concatenate((novel, mix(lost ^ _LABEL)))
+                    n = max(1, len(own))
+                    at.append(np.full(n, k))
+                    e.append(pa.array(own.view(np.int64)) if len(own) else pa.nulls(1, pa.int64()))
+                    missing.append(np.arange(n) >= len(novel))
+                    sizes.append((len(x), len(y), len(own)))
                 if at:
                     of = pa.array(np.concatenate(at))
                     rows = [b.column(c).take(of) for c in (0, 1, 2)]
-                    yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate(e).view(np.int64)), pa.array(np.concatenate(asks)), pa.array(np.concatenate(found)), *(pa.array(x, pa.int64()).take(of) for x in zip(*sizes, strict=True)), pa.array(np.concatenate(left))], names)
+                    outside = pa.array(b.column(2).to_numpy() != b.column(3).to_numpy()).take(of)
+                    numbers = [pa.array(x, pa.int64()).take(of) for x in zip(*sizes, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*rows, outside, *numbers, pa.concat_arrays(e), pa.array(np.concatenate(missing))], names)
 
-    names = ["a", "row", "root", "e", "asks", "found", "n", "b", "left"]
+    names = ["g", "row", "root", "outside", "p", "n", "b", "e", "missing"]
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
-    joined = family.join(texts, "row").join(one, "a").select("a", "row", "root", "a_root", "ta", "text")
-    elements = saved(joined.mapInArrow(run, "a long, row long, root long, e long, asks boolean, found boolean, n long, b long, left long"), "near-deviations")
-    asked = elements.where("asks").select("a", "e", *[F.col(x).alias(y) for x, y in (("row", "c"), ("root", "c_root"), ("n", "cn"), ("b", "cb"), ("left", "c_left"))])
+    joined = family.join(texts, "row").join(one, "a").select("g", "row", "root", "a_root", "ta", "text")
+    return joined.mapInArrow(run, "g long, row long, root long, outside boolean, p long, n long, b long, e long, missing boolean")
+
+
+def _deviating(family: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What in ``family`` (see :func:`_elements`) can be similar though of different components:
+    pairs (a, b), and groups (g, row, n, asks) that are to elect a leader.
+
+    Of two followers in different components one, C, is outside of the leader's.
+    With b deviations each and s of them shared, similar texts A and C have
+    s >= (b(A) + b(C)) / 2 - (a + c) / 18.  Where C lacks too much of the leader P's
+    content, b(C) > (p + c) / 9, it follows that s > b(A) / 2 + (p - a) / 18, and, from
+    b(A) >= b(C) - (a + c) / 9 and a <= c / 0.8, that s >= b(C) - c / 4.  Deviations have one
+    order in a group, the rarest first, so the first b - s + 1 of A's and of C's have
+    one in common: A is found under its own, C asks with its own.  From the first
+    shared one on both must have s left.
+
+    Where C has the content of P, but in another order, it asks all followers:
+    that is e = 0.
+    """
+    elements = saved(_elements(family, texts), "near-deviations")
+    real = elements.where("e IS NOT NULL")
+    lacks = 9 * F.col("b") > F.col("p") + F.col("n")
+    common = real.groupBy("g", "e").agg(F.count("*").alias("times")).where("times > 1")
+    # what no other follower has is the rarest, links nothing and only takes up places
+    place = F.row_number().over(Window.partitionBy("g", "row").orderBy("times", "missing", "e"))
+    ranked = real.join(common, ["g", "e"]).withColumn("left", F.count("*").over(Window.partitionBy("g", "row")) - place + 1)
+    from_found = F.floor(F.col("b") / 2 + (F.col("p") - F.col("n")) / 18) + 1
+    from_asks = F.ceil(F.col("b") - F.col("n") / 4)
+    ranked = ranked.withColumn("found", F.col("left") >= from_found).withColumn("asks", F.col("outside") & lacks & (F.col("left") >= from_asks)).where("found OR asks")
+    columns = ["g", "row", "root", "n", "b", "e", "left", "found", "asks"]
+    # each follower once for the groups in which one has the leader's content
+    each = elements.select("g", "row", "root", "n", "b", "outside", lacks.alias("lacks")).distinct()
+    same = each.where("outside AND NOT lacks")
+    each = each.join(same.select("g").distinct(), "g", "left_semi")
+    asking = F.col("outside") & ~F.col("lacks")
+    each = each.select("g", "row", "root", "n", "b", F.lit(0).cast("long").alias("e"), F.lit(None).cast("long").alias("left"), F.lit(True).alias("found"), asking.alias("asks"))
+    rows = saved(ranked.select(columns).unionByName(each.select(columns)), "near-asked")
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    sizes = rows.groupBy("g", "e").agg(count("asks").alias("asked"), (F.min("root") != F.max("root")).alias("open")).where("open AND asked > 0")
+    rows = saved(rows.join(sizes.select("g", "e", "asked"), ["g", "e"]), "near-asked")
+    few = rows.where(F.col("asked") <= FEW)
+    asked = few.where("asks").select("g", "e", *[F.col(x).alias(y) for x, y in (("row", "c"), ("root", "c_root"), ("n", "cn"), ("b", "cb"), ("left", "c_left"))])
     fit = F.least("n", "cn") >= F.lit(SIMILARITY) * F.greatest("n", "cn")
-    enough = 18 * F.least("left", "c_left") >= 9 * (F.col("b") + F.col("cb")) - F.col("n") - F.col("cn")
-    met = elements.where("found").join(asked, ["a", "e"]).where(F.col("root") != F.col("c_root")).where(fit & enough)
-    return met.select(F.greatest("row", "c").alias("a"), F.least("row", "c").alias("b")).distinct()
+    enough = F.coalesce(18 * F.least("left", "c_left") >= 9 * (F.col("b") + F.col("cb")) - F.col("n") - F.col("cn"), F.lit(True))
+    met = few.where("found").join(asked, ["g", "e"]).where(F.col("root") != F.col("c_root")).where(fit & enough)
+    pairs = met.select(F.greatest("row", "c").alias("a"), F.least("row", "c").alias("b")).distinct()
+    many = rows.where(F.col("asked") > FEW).select(F.xxhash64("g", "e").alias("g"), "row", "n", "asks")
+    return saved(pairs, "near-pairs"), saved(many, "near-groups")
+
+
+def _open(groups: DataFrame, by: list[str], roots: DataFrame) -> DataFrame:
+    """(by, a, row, root, a_root): the rows that differ from their leader, of the ``groups`` that hold two components."""
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    state = groups.join(named("row"), "row", "left").withColumn("root", F.coalesce("row_root", "row"))
+    open_ = state.groupBy(*by).agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
+    state = state.join(open_, by, "left_semi").where("row <> a").select(*by, "a", "row", "root")
+    return state.join(named("a"), "a", "left").withColumn("a_root", F.coalesce("a_root", "a")).select(*by, "a", "row", "root", "a_root")
+
+
+def _led(groups: DataFrame, by: list[str], rank: Column) -> DataFrame:
+    """(by, row, n, a, an): each member with the leader of its group, the first by ``rank``."""
+    leads = groups.groupBy(*by).agg(F.max_by(F.struct("row", "n"), rank).alias("p")).select(*by, F.col("p.row").alias("a"), F.col("p.n").alias("an"))
+    return groups.select(*by, "row", "n").join(leads, by)
+
+
+def _with_leader(led: DataFrame) -> DataFrame:
+    """(a, b): the members of a size that can be similar to their leader's, with it."""
+    fit = F.least("n", "an") >= F.lit(SIMILARITY) * F.greatest("n", "an")
+    return led.where(fit & (F.col("row") != F.col("a"))).select("a", F.col("row").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -253,7 +307,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, row: str | None) -> DataFrame:
     """(row, doc_id, class_id, first) of each row of ``docs``; ``row`` names its row number, if it has one."""
     nodes = _nodes(docs, row)
-    copies = ["h1", "h2", "words"]
+    copies = ["h1", "h2"]
     one = nodes.groupBy(*copies).agg(F.min("row").alias("node"))
     members = saved(nodes.select("row", "doc_id", *copies).join(one, copies).select("row", "doc_id", "node"), "near-members")
     # one node a text from here on
@@ -262,30 +316,27 @@ def _classes(docs: DataFrame, row: str | None) -> DataFrame:
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = saved(banded.join(sizes, ["band", "key"]), "near-buckets")
     # how common a text's sketches are: the texts that others derive from lead
-    common = buckets.groupBy("row").agg(F.sum("size").alias("weight"))
-    buckets = saved(buckets.drop("size").join(common, "row"), "near-buckets")
-    wanted = saved(common.select("row"), "near-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = saved(nodes.select("row", "text").join(wanted, "row", "left_semi"), "near-texts")
+    common = saved(buckets.groupBy("row").agg(F.sum("size").alias("weight")), "near-wanted")
+    buckets = buckets.drop("size").join(common, "row")
+    texts = saved(nodes.select("row", "text").join(common, "row", "left_semi"), "near-texts")
 
     # every member of a bucket meets the member whose sketches are the most common
-    lead = F.struct(F.col("weight"), -F.col("row"), F.col("n"))
-    leads = buckets.groupBy("band", "key").agg(F.max(lead).alias("p")).select("band", "key", (-F.col("p.col2")).alias("a"), F.col("p.n").alias("an"))
-    led = saved(buckets.drop("weight").join(leads, ["band", "key"]), "near-led")
-    fit = F.least("n", "an") >= F.lit(SIMILARITY) * F.greatest("n", "an")
-    pairs = saved(led.where(fit & (F.col("row") != F.col("a"))).select("a", F.col("row").alias("b")).distinct(), "near-pairs")
-    links = saved(_verified(pairs, texts), "near-links")
-    roots = saved(components(links), "near-roots")
-    # members outside of their leader's component, and what could still link them
-    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    state = led.join(named("row"), "row", "left").withColumn("root", F.coalesce("row_root", "row"))
-    open_ = state.groupBy("band", "key").agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
-    family = state.join(open_, ["band", "key"], "left_semi").where("row <> a").select("a", "row", "root").distinct()
-    family = saved(family.join(named("a"), "a", "left").withColumn("a_root", F.coalesce("a_root", "a")), "near-family")
-    if not family.isEmpty():
-        more = saved(_verified(saved(_deviating(family, texts), "near-pairs"), texts), "near-links")
-        roots = components(links.unionByName(more))
+    by = ["band", "key"]
+    led = saved(_led(buckets, by, F.struct(F.col("weight"), -F.col("row"))), "near-led")
+    links = [saved(_verified(saved(_with_leader(led), "near-pairs"), texts), "near-links")]
+    roots = saved(components(links[0]), "near-roots")
+    # what could still link members of different components: one family a leader
+    family = _open(led, by, roots).select(F.col("a").alias("g"), "a", "row", "root", "a_root").distinct()
+    family = saved(family, "near-family")
+    while not family.isEmpty():
+        pairs, many = _deviating(family, texts)
+        links.append(saved(_verified(pairs, texts), "near-links"))
+        # where too many share one deviation, one of those that ask for it leads; it stays out of the next groups
+        groups = many.groupBy("g", "row", "n").agg(F.max("asks").alias("asks")).join(common, "row")
+        led = saved(_led(groups, ["g"], F.struct(F.col("asks"), F.col("weight"), -F.col("row"))), "near-led")
+        links.append(saved(_verified(saved(_with_leader(led), "near-pairs"), texts), "near-links"))
+        roots = saved(components(reduce(DataFrame.unionByName, links)), "near-roots")
+        family = saved(_open(led, ["g"], roots), "near-family")
     grouped = members.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("class"))
     named = grouped.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
     return grouped.join(named, "class").select("row", "doc_id", "class_id", "first")

@@ -1,25 +1,28 @@
 """Vectorised word hashing over Arrow string columns.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, the same as
-``[^\\x20\\x09-\\x0D]+`` over UTF-8.  Every word gets a 64-bit polynomial hash of
-its bytes, computed for a whole slice of documents with prefix sums, so no
-Python code runs per word.
+``[^\\x20\\x09-\\x0D]+`` over UTF-8.  Words are hashed eight bytes at a time for a
+whole slice of documents, each step a bijection of the state that is not linear
+in the bytes, so no arrangement of few letters or words makes texts collide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at a time; a longer text forms a slice of its own.
-SLICE_BYTES = 4 << 20
-_BASE = 0x9E3779B97F4A7C15
+SLICE_BYTES = 1 << 20
+#: Spans of more bytes are hashed one by one by a library function.
+LONG_SPAN = 128
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_TAILS = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,27 +32,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@cache
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        steps = np.full(max(n, SLICE_BYTES) + 1, base % 2**64, dtype=np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps)
-        if len(have) > SLICE_BYTES + 1:
-            return have[: n + 1]  # an unusually long text: not kept
-        _powers[base] = have
-    return have[: n + 1]
-
-
 @dataclass
 class Words:
     """The words of the documents ``first`` .. ``first + len(bounds) - 2`` of a column.
@@ -101,13 +83,22 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).view(np.uint8) << np.uint8(5))
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of ``data[start:end]`` for every span."""
-    n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_byte_values()[data] * powers(_BASE, n)[:n], out=total[1:])
-    inverse = powers(pow(_BASE, -1, 2**64), n)
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of ``data[start:end]`` for every span; hashes of two seeds are independent."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each byte on
+    length = ends - starts
+    h = mix(length.astype(np.uint64) + np.uint64(seed) * _ODD)
+    at = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    place, left = starts[at], length[at]
+    while len(at):
+        h[at] = mix(h[at] ^ (eight[place] & _TAILS[np.minimum(left, 8)]))
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    salt = seed.to_bytes(8, "little")
+    for k in np.flatnonzero(length > LONG_SPAN).tolist():
+        h[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]], digest_size=8, salt=salt).digest(), "little")
+    return h
 
 
 def word_slices(column: pa.Array, lower: bool = False) -> Iterator[Words]:
@@ -127,15 +118,38 @@ def word_slices(column: pa.Array, lower: bool = False) -> Iterator[Words]:
         yield Words(i, part, np.searchsorted(starts, offs), starts, ends, hash_spans(part, starts, ends), offs)
 
 
-_STEP = 0xD1342543DE82EF95
+def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what ``a`` and then ``b`` are hashes of."""
+    return mix(mix(a) * _ODD + b)
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """The hash of every run of ``size`` words (len(words) - size + 1 of them)."""
-    n = len(words)
-    if n < size:
+    """The hash of every run of ``size`` words (len(words) - size + 1 of them), from runs of powers of two."""
+    n = len(words) - size + 1
+    if n <= 0 or size == 0:
         return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * powers(_STEP, n)[:n], out=total[1:])
-    inverse = powers(pow(_STEP, -1, 2**64), n)
-    return mix((total[size:] - total[: n - size + 1]) * inverse[: n - size + 1])
+    runs, width, out, have = words, 1, None, 0
+    while True:
+        if size & width:
+            out = runs[:n] if out is None else fold(out, runs[have : have + n])
+            have += width
+        if have == size:
+            return mix(out)
+        runs = fold(runs[:-width], runs[width:])
+        width *= 2
+
+
+def joined_words(w: Words, keep: np.ndarray | None = None) -> list[bytes]:
+    """The words of each text (those in ``keep``), joined by one space."""
+    n = len(w.data)
+    starts, ends, docs = (w.starts, w.ends, w.docs) if keep is None else (w.starts[keep], w.ends[keep], w.docs[keep])
+    inside = np.zeros(n + 1, dtype=np.int8)
+    inside[starts] += 1
+    # up to the byte behind a word, if that still belongs to its text
+    stop = np.minimum(ends + 1, w.offsets[1:][docs])
+    np.subtract.at(inside, stop, 1)
+    mask = np.cumsum(inside, dtype=np.int8)[:n] > 0
+    data = np.where((w.data >= 9) & (w.data <= 13), np.uint8(32), w.data)
+    at = np.concatenate(([0], np.cumsum(mask)))[w.offsets]
+    out = data[mask].tobytes()
+    return [out[a:b].removesuffix(b" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

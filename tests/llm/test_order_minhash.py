@@ -11,7 +11,7 @@ SCHEMA = "doc_id long, text string, node string, first string"
 
 def brute(rows):
     """doc_id -> smallest doc_id of its class, from all pairs."""
-    grams = [g for _, g in order_minhash.shingles(pa.array([r[1] for r in rows], pa.string()))]
+    grams = list(order_minhash.shingles(pa.array([r[1] for r in rows], pa.string())))
     parent = list(range(len(rows)))
 
     def root(i):

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from pulsegrid.llm import fingerprints, mixing, mpeg, pieces, quality, separators, suffix_tree, topk, warc
+from pulsegrid.llm import fingerprints, mixing, mpeg, order_minhash, pieces, quality, separators, suffix_tree, topk, warc
 from pulsegrid.llm.queries import tokenizer_file
 
 MODEL = tokenizer_file("piece_bpe_32k.model")
@@ -167,9 +167,7 @@ def kept_brute(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [4_000_000, 0])
-def test_fingerprints(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(fingerprints, "BROADCAST_HASHES", broadcast)
+def test_fingerprints(spark):
     rng = random.Random(3)
     passages = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(15, 45))] for _ in range(6)]
     rows = []
@@ -193,6 +191,45 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_fingerprint_index_goes_on_in_another_session(spark, tmp_path):
+    """Two batches, the second after the index is closed and opened, give what one build gives."""
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{shared} u{i}" if i % 3 else " ".join(f"x{i}y{k}" for k in range(50)), "s") for i in range(20)]
+    prints = fingerprints.fingerprints(docs(spark, rows).withColumnRenamed("node", "n").withColumnRenamed("doc_id", "node"))
+    first, second = prints.where("node < 9"), prints.where("node >= 9")
+    index = fingerprints.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=3)
+    found = {r["h"] for r in index.add(first).collect()}
+    index.close()
+    other = fingerprints.FingerprintIndex.open(spark.newSession(), f"file://{tmp_path}/index")
+    found |= {r["h"] for r in other.add(second).collect()}
+    assert [level for level, _ in other.runs] == [1] and other.buckets == 3
+    total = Counter()
+    for r in prints.collect():
+        total[r["h"]] += r["n"]
+    assert found == {h for h, n in total.items() if n > 1} and found
+    other.close()
+
+
+def thue_morse(k, a, b):
+    """The sequence on which every polynomial hash modulo a power of two collides with its complement."""
+    bits = [0]
+    for _ in range(k):
+        bits += [1 - x for x in bits]
+    return [a if x else b for x in bits], [b if x else a for x in bits]
+
+
+def test_words_and_texts_that_collide_in_polynomials(spark):
+    one, two = ("".join(x) for x in thue_morse(11, "a", "b"))
+    rows = [(i, t, "s") for i, t in enumerate([one, two, *(" ".join(x) for x in thue_morse(11, "yes", "no"))])]
+    frame = docs(spark, rows)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = [(i, hashlib.sha256(",".join(map(str, model.encode(t))).encode()).hexdigest()) for i, t, _ in rows]
+    assert sorted((r["doc_id"], r["ids_sha256"]) for r in pieces.encoded(frame, MODEL).collect()) == want
+    assert {r["doc_id"]: tuple(r)[1:] for r in fingerprints.deduplicated(frame).collect()} == kept_brute(rows)
+    assert len({r["class_id"] for r in order_minhash.near_classes(frame).where("doc_id < 2").collect()}) == 2
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in suffix_tree.scored(frame).collect()) == sorted(tree_brute(rows, suffix_tree.DEPTH, lambda i: zlib.crc32(str(i).encode()) % 10 == 0))
+
+
 def test_mpeg_round_trip(spark):
     got = mpeg.round_trip(docs(spark, AWKWARD)).collect()
     want = []
