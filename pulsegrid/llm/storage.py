@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests on
-    one machine) a folder under the local temp directory."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, on one machine only, a
+    folder under the local temp directory."""
     given = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
+    if not given and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{SETTING} must name a folder that all executors share")
     return (given or os.path.join(tempfile.gettempdir(), "pulsegrid-shared")).rstrip("/")
 
 
@@ -45,4 +48,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     with freed(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of tables that :func:`saved` returned and no later query reads."""
+    for table in tables:
+        if table is not None:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

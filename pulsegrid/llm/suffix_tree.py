@@ -9,11 +9,17 @@ of the words before it.
 
 How the work is spread: all (context, next word) pairs that occur ``LEAST_EDGE``
 times, at any size of corpus, are kept in written tables keyed by the hash of the
-run of words, a gram.  The log-probability of a token is a sum over the grams that
-end at it and before it, so one table of (gram, value) is joined to the documents.
+run of words, a gram.  A gram's key is made from the keys of the two grams one word
+shorter, so a pair travels as two keys and a count, packed into arrays of many pairs
+that are dealt over buckets.  The number of buckets follows the size of the texts,
+so a bucket holds a bounded number of distinct pairs, and each task counts what it
+has read before it hands it on.
+
+The log-probability of a token is a sum over the grams that end at it and before
+it.  Texts send the keys they need to the buckets of the values and get their sums.
 Only to save work, words and grams above a share of all tokens are broadcast, and so
 is a bit field of at most ``FILTER_BITS`` that holds every other gram of a table: a
-gram that is not in it need not be counted or joined.
+gram that is not in it need not be counted or looked up.
 """
 
 from __future__ import annotations
@@ -27,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.storage import freed, saved
+from pulsegrid.llm.storage import discard, freed, new_folder, saved
 from pulsegrid.llm.words import Words, mix, word_slices
 
 DEPTH = 3
-#: Shares of all tokens from which words and grams are broadcast; all others are joined.
-WORD_SHARE, EDGE_SHARE = 5e-7, 5e-6
+#: Share of all tokens from which a word or gram is broadcast (at most 1 / share of each length); all others are looked up.
+HEAD_SHARE = 2e-6
 #: Least divergence in nats a token, and in all, from the longest kept suffix.
 LEAST_DIVERGENCE, LEAST_GAIN = 0.01, 10.0
 DISCOUNT, LEAST_EDGE, ADDED = 0.75, 2, 0.1
@@ -42,49 +48,25 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 START = np.uint64(0x51A7751A7751A775)
 #: Most bits of a filter, and bits for each of its keys below that.
 FILTER_BITS, KEY_BITS = 1 << 28, 16
-#: Pairs counted in a task before they are handed on.
-HELD = 2_000_000
+#: Pairs counted in a task before they are handed on, the most in one packed row, and the bytes of text for each bucket.
+HELD, PIECE, BUCKET_BYTES = 1_000_000, 512, 8 << 20
+#: Makes the key under which a word's own count is looked up, apart from its key as a context.
+_AS_WORD = np.uint64(0x3C6EF372FE94F82B)
 _SLOT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 class Index:
-    """Positions of 64-bit keys, looked up for whole arrays at once."""
+    """Positions of sorted 64-bit keys, looked up for whole arrays at once."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys.astype(np.uint64)
-        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 4))))
-        self.tables = []
-        rest = np.arange(len(keys))
-        while len(rest):
-            slot = self._slot(self.keys[rest], len(self.tables))
-            table = np.full(1 << self.bits, -1, dtype=np.int32)
-            table[slot] = rest
-            self.tables.append(table)
-            rest = rest[table[slot] != rest]
-
-    def _slot(self, keys: np.ndarray, level: int) -> np.ndarray:
-        odd = _SLOT[level % 4] + np.uint64(2 * (level // 4))
-        return ((keys * odd) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The position of each key, -1 for others."""
-        keys = keys.astype(np.uint64)
-        out = np.full(len(keys), -1, dtype=np.int64)
-        todo = None
-        for level, table in enumerate(self.tables):
-            sought = keys if todo is None else keys[todo]
-            at = table[self._slot(sought, level)]
-            hit = at >= 0
-            hit[hit] = self.keys[at[hit]] == sought[hit]
-            if todo is None:
-                out[hit] = at[hit]
-                todo = np.flatnonzero(~hit & (at >= 0))
-            else:
-                out[todo[hit]] = at[hit]
-                todo = todo[~hit & (at >= 0)]
-            if not len(todo):
-                break
-        return out
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 class Filter:
@@ -96,10 +78,14 @@ class Filter:
         bits = self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(1 << (bits - 6), dtype=np.uint64)
             for b in batches:
                 at = Filter.places(b.column(0).to_numpy().view(np.uint64), bits).ravel()
-                part = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(part)], ["at", "part"])
+                np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), at & np.uint64(63)))
+            at = np.flatnonzero(own)
+            for i in range(0, len(at), 100_000):
+                part = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(own[part].view(np.int64))], ["at", "part"])
 
         with freed(keys.sparkSession):
             got = keys.select("key").mapInArrow(run, "at int, part long").groupBy("at").agg(F.bit_or("part").alias("part")).toArrow()
@@ -155,127 +141,139 @@ class Tokens:
         return cls(hashes, np.repeat(np.arange(n), sizes), first, n)
 
 
-def grams(t: Tokens, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By length of the context from 0: (positions, key of context and word) of the tokens that have such a context."""
-    at, keys = np.arange(len(t.hashes)), t.hashes
-    out = [(at, keys)]
+def grams(t: Tokens, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of the context from 1: (positions, key, context, shorter) of the tokens that have such a context;
+    ``shorter`` is the key of the gram without its first word, ``context`` of that without its last."""
+    full, at, out = t.hashes, np.arange(len(t.hashes)), []
     for d in range(1, depth + 1):
-        full = np.zeros(len(t.hashes), dtype=np.uint64)
-        full[at] = keys
         # what ended before a token is its context; before the first token that is the beginning
-        context = np.roll(full, 1)
         if d == 1:
+            context = np.roll(full, 1)
             context[t.first] = START
+            shorter = full
         else:
             has = np.zeros(len(full), dtype=bool)
             has[at] = True
             at = np.flatnonzero(~t.first & np.roll(has, 1))
-        keys = joined(context[at], t.hashes[at])
-        out.append((at, keys))
+            context, shorter = full[at - 1], full[at]
+        key = joined(context, shorter)
+        full = np.zeros(len(t.hashes), dtype=np.uint64)
+        full[at] = key
+        out.append((at, key, context, shorter))
     return out
 
 
-def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a context and the word after it."""
-    return mix(mix(context) * _SLOT[0] + word)
+def joined(context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """The key of a gram from those without its last and without its first word."""
+    return mix(mix(context) * _SLOT[0] + shorter)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
+def packed(keys: np.ndarray, buckets: int, columns: list[np.ndarray]) -> list[pa.Array]:
+    """The bucket of each piece of at most ``PIECE`` entries, and its part of each column as bytes."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.arange(len(bucket))
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else at
+    since = at - np.repeat(begin, np.diff(np.concatenate((begin, [len(bucket)]))))
+    begin = np.flatnonzero(since % PIECE == 0)
+    bounds = np.concatenate((begin, [len(bucket)])).astype(np.int32)
+    out = [pa.array(bucket[begin])]
+    for c in columns:
+        sizes = pa.py_buffer((bounds * c.itemsize).astype(np.int32))
+        out.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, sizes, pa.py_buffer(np.ascontiguousarray(c[order]))]))
+    return out
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All entries of a column of packed rows."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b"".join(c.to_pylist()), dtype=kind) for c in chunks)])
+
+
 class _Counter:
-    """Counts of 64-bit keys in one task."""
+    """Counts of grams in one task: columns of keys, of which the first two (or one) make the gram's key."""
 
-    def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size = 0
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.held, self.size = buckets, [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
-        self.size += len(k)
+    def add(self, key: np.ndarray, *parts: np.ndarray) -> None:
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        self.held.append((key, n, *(x[first] for x in parts)))
+        self.size += len(key)
 
     def batch(self) -> pa.RecordBatch:
-        k, back = np.unique(np.concatenate([*self.keys, np.zeros(0, np.uint64)]), return_inverse=True)
-        c = np.bincount(back, np.concatenate([*self.counts, np.zeros(0)]), len(k)).astype(np.int64)
-        self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["key", "n"])
+        key, n, *parts = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        key, n, parts = summed(key, n, parts)
+        self.held, self.size = [], 0
+        columns = packed(key, self.buckets, [n.astype(np.uint32), *(parts or [key])])
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "n", *(("context", "shorter") if parts else ("key",))])
+
+
+def summed(key: np.ndarray, n: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    key, first, back = np.unique(key, return_index=True, return_inverse=True)
+    return key, np.bincount(back, n, len(key)).astype(np.int64), [x[first] for x in parts]
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, n) summed over all texts; ``keys_of`` gives the keys of a slice."""
+def _counted(texts: DataFrame, buckets: int, parts_of) -> DataFrame:
+    """Sums over all texts of what ``parts_of`` gives for the tokens of a slice: (key, n) of (key,), or
+    (key, context, shorter, n) with n >= ``LEAST_EDGE`` of (key, context, shorter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
+        counter = _Counter(buckets)
         for b in batches:
             for w in word_slices(b.column(0), lower=True):
-                counter.add(keys_of(Tokens.of(w)))
+                counter.add(*parts_of(Tokens.of(w)))
                 if counter.size > HELD:
                     yield counter.batch()
-        yield counter.batch()
+        if counter.held:
+            yield counter.batch()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def words(table: pa.Table) -> pa.Table:
+        key, n, _ = summed(unpacked(table["key"], np.uint64), unpacked(table["n"], np.uint32), [])
+        return pa.table({"key": key.view(np.int64), "n": n})
 
+    def pairs(table: pa.Table) -> pa.Table:
+        context, shorter = unpacked(table["context"], np.uint64), unpacked(table["shorter"], np.uint64)
+        key, n, (context, shorter) = summed(joined(context, shorter), unpacked(table["n"], np.uint32), [context, shorter])
+        ok = n >= LEAST_EDGE
+        return pa.table({k: v[ok].view(np.int64) for k, v in (("key", key), ("context", context), ("shorter", shorter), ("n", n))})
 
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and counts of the rows of at least ``least``: no more than 1 / share of them."""
-    got = counts.where(F.col("n") >= F.lit(float(least))).toArrow()
-    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    if parts_of is _words:
+        return texts.mapInArrow(run, "bucket int, n binary, key binary").groupBy("bucket").applyInArrow(words, "key long, n long")
+    rows = texts.mapInArrow(run, "bucket int, n binary, context binary, shorter binary")
+    return rows.groupBy("bucket").applyInArrow(pairs, "key long, context long, shorter long, n long")
 
 
-def _repeated(texts: DataFrame, d: int, below: Filter) -> DataFrame:
-    """(key, n) of the pairs of a context of ``d`` words and its next word that occur at least ``LEAST_EDGE`` times;
-    both the context and the pair without its first word are in ``below``."""
-    shared = texts.sparkSession.sparkContext.broadcast(below)
-
-    def keys(t: Tokens) -> np.ndarray:
-        key, context, shorter = _parts(t, d)
-        ok = shared.value.has(context)
-        ok[ok] = shared.value.has(shorter[ok])
-        return key[ok]
+def _words(t: Tokens) -> tuple[np.ndarray]:
+    return (t.hashes,)
 
-    return _counted(texts, keys).where(F.col("n") >= LEAST_EDGE)
 
+def _head(table: DataFrame, columns: list[str], least: float) -> list[np.ndarray]:
+    """``columns`` of the rows with n of at least ``least``, in order of the first: no more than 1 / share of each length."""
+    got = table.where(F.col("n") >= F.lit(float(least))).select(columns).toArrow()
+    made = [got.column(c).to_numpy() for c in columns]
+    made[0] = made[0].view(np.uint64)
+    order = np.argsort(made[0])
+    return [x[order] for x in made]
 
-def _split(texts: DataFrame, d: int, seen: Filter) -> DataFrame:
-    """(key, context, shorter) of the pairs whose key is in ``seen``; ``shorter`` is the key without the first word."""
-    shared = texts.sparkSession.sparkContext.broadcast(seen)
 
-    def handed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        key, context, shorter = (np.concatenate(x) for x in zip(*held, strict=True))
-        key, first = np.unique(key, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, context[first], shorter[first])], ["key", "context", "shorter"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for w in word_slices(b.column(0), lower=True):
-                key, context, shorter = _parts(Tokens.of(w), d)
-                ok = np.flatnonzero(shared.value.has(key))
-                key, first = np.unique(key[ok], return_index=True)
-                held.append([key, context[ok[first]], shorter[ok[first]]])
-                size += len(key)
-                if size > HELD:
-                    yield handed(held)
-                    held, size = [], 0
-        if held:
-            yield handed(held)
-
-    found = texts.mapInArrow(run, "key long, context long, shorter long")
-    return found.groupBy("key").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"))
+def _pairs(texts: DataFrame, buckets: int, d: int, below: Filter) -> DataFrame:
+    """(key, context, shorter, n) of the pairs of a context of ``d`` words and its next word that occur at least
+    ``LEAST_EDGE`` times; both the context and the pair without its first word are in ``below``."""
+    shared = texts.sparkSession.sparkContext.broadcast(below)
 
+    def parts(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        _, key, context, shorter = grams(t, d)[-1]
+        at = np.flatnonzero(shared.value.has(context))
+        at = at[shared.value.has(shorter[at])]
+        return key[at], context[at], shorter[at]
 
-def _parts(t: Tokens, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, context, key without the first word) of all pairs with a context of ``d`` words."""
-    *_, (before, less), (at, key) = grams(t, d)
-    full = np.zeros(len(t.hashes), dtype=np.uint64)
-    full[before] = less
-    return key, np.where(t.first[at], START, full[at - 1]), full[at]
+    return _counted(texts, buckets, parts)
 
 
 def _tested(pairs: DataFrame, below: DataFrame) -> DataFrame:
@@ -305,43 +303,121 @@ def _tested(pairs: DataFrame, below: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, DataFrame | None]:
-    """The model, (key, n) with the counts of all words, and (key, value) of all grams of kept
-    contexts, from the rows of ``docs`` that are not held out.
+def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, DataFrame | None, int]:
+    """The model, (key, n) with the counts of all words, (key, n, value) of all grams of kept
+    contexts, and the number of buckets, from the rows of ``texts`` (text).
 
     In a kept context a word has the ``rest`` of the probability it has after the
     suffix, or ``p`` where the pair is listed.  A context's value is log10 of its
     rest, a pair's value log10 of what ``p`` is over that; the log-probability of a
     token over the root's is the sum of those of its contexts and pairs.
     """
-    texts = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string"))
-    counts = saved(_counted(texts, lambda t: t.hashes), "suffix-tree-words")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = 1 + size // BUCKET_BYTES
+    counts = saved(_counted(texts, buckets, _words), "suffix-tree-words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keys, n = _frequent(counts, max(1.0, WORD_SHARE * tokens))
+    keys, n = _head(counts, ["key", "n"], max(1.0, HEAD_SHARE * tokens))
     model = Model(tokens, distinct, Index(keys), n.astype(np.float64))
     if tokens == 0:
-        return model, counts, None
+        return model, counts, None, buckets
     root = (F.col("n") + ADDED) / F.lit(float(tokens + ADDED * (distinct + 1)))
     end, start = (F.lit(int(x.view(np.int64))) for x in (END, START))
     below = counts.where(F.col("n") >= LEAST_EDGE).withColumn("p", root)
     below = below.unionByName(counts.where(F.col("key") == end).select(start.alias("key"), "n", F.lit(0.0).alias("p")))
-    values, seen = [], Filter(below, below.count())
+    values, seen, level = [], Filter(below, below.count()), None
     for d in range(1, depth + 1):
-        n = saved(_repeated(texts, d, seen), "suffix-tree-counts")
-        seen = Filter(n, n.count())
-        level = saved(_tested(_split(texts, d, seen).join(n, "key"), below), "suffix-tree-level")
-        values.append(level.where("value IS NOT NULL").select("key", "n", "value"))
-        values.append(level.where("context IS NOT NULL").select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("back").alias("value")))
+        pairs = saved(_pairs(texts, buckets, d, seen), "suffix-tree-pairs")
+        above, level = level, saved(_tested(pairs, below), "suffix-tree-level")
+        discard(pairs, above)
+        kept = level.where("value IS NOT NULL").select("key", "n", "value")
+        backs = level.where("context IS NOT NULL").select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("back").alias("value"))
+        values.append(saved(kept.unionByName(backs), "suffix-tree-values"))
         below = level.select("key", "n", "p")
+        if d < depth:
+            seen = Filter(below, below.count())
     table = reduce(DataFrame.unionByName, values).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
     table = saved(table, "suffix-tree-values")
-    least = max(1.0, EDGE_SHARE * tokens)
-    head = table.where(F.col("n") >= least).toArrow()
+    discard(level, *values)
+    least = max(1.0, HEAD_SHARE * tokens)
+    keys, found = _head(table, ["key", "value"], least)
+    model.grams, model.values = Index(keys), found
     tail = table.where(F.col("n") < least)
-    model.grams = Index(head.column("key").to_numpy().view(np.uint64))
-    model.values = head.column("value").to_numpy()
     model.others = Filter(tail, tail.count())
-    return model, counts, tail.select("key", "value")
+    return model, counts, tail, buckets
+
+
+def _values(rows: DataFrame, buckets: int, words: bool) -> DataFrame:
+    """(bucket, kind, first, keys, owners, values) of (key, value) rows, packed; kind 0 tells words, 1 grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy().view(np.uint64)
+            key = key ^ _AS_WORD if words else key
+            bucket, keys, values = packed(key, buckets, [key, b.column(1).to_numpy()])
+            n = len(bucket)
+            kind = pa.array(np.full(n, int(not words), np.int32))
+            yield pa.RecordBatch.from_arrays([bucket, kind, pa.nulls(n, pa.int64()), keys, pa.nulls(n, pa.binary()), values], NEEDED)
+
+    return rows.select("key", "value").mapInArrow(run, PACKED)
+
+
+NEEDED = ["bucket", "kind", "first", "keys", "owners", "values"]
+PACKED = "bucket int, kind int, first long, keys binary, owners binary, values binary"
+
+
+def _sums(needs: DataFrame, values: DataFrame) -> DataFrame:
+    """(row, base, known, gain): what the values of the keys in ``needs`` add to each row of text.
+
+    A bucket's values, of which each key has one, are held; the needs stream past them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, table = None, [], None
+        done: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def handed() -> pa.RecordBatch:
+            row, *sums = (np.concatenate(x) for x in zip(*done, strict=True))
+            row, back = np.unique(row, return_inverse=True)
+            base, known, gain = (np.bincount(back, x, len(row)) for x in sums)
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(base), pa.array(known.astype(np.int64)), pa.array(gain)], ["row", "base", "known", "gain"])
+
+        for b in batches:
+            bucket, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                if i == j:
+                    continue
+                part = b.slice(i, j - i)
+                if bucket[i] != now:
+                    now, held, table = bucket[i], [], None
+                key = unpacked(part.column(3), np.uint64)
+                if kind[i] < 2:
+                    held.append((key, unpacked(part.column(5), np.float64), np.full(len(key), kind[i] == 0)))
+                    continue
+                if table is None:
+                    none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool))
+                    keys, vals, words = (np.concatenate(x) for x in zip(none, *held, strict=True))
+                    order = np.argsort(keys)
+                    table, held = (Index(keys[order]), vals[order], words[order]), []
+                sizes = np.array([len(x) // 4 for x in part.column(4).to_pylist()])
+                row = np.repeat(part.column(2).to_numpy(), sizes) + unpacked(part.column(4), np.uint32)
+                at = table[0].find(key)
+                hit = at >= 0
+                row, at = row[hit], at[hit]
+                row, back = np.unique(row, return_inverse=True)
+                value, word = table[1][at], table[2][at]
+                done.append((row, *(np.bincount(back, x, len(row)) for x in (value * word, word, value * ~word))))
+                size += len(row)
+                if size > HELD:
+                    yield handed()
+                    done, size = [], 0
+        if done:
+            yield handed()
+
+    rows = needs.unionByName(values).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    rows = rows.mapInArrow(run, "row long, base double, known long, gain double")
+    return rows.groupBy("row").agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("gain").alias("gain"))
 
 
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -353,63 +429,70 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     * an empty table gives no rows.
     """
     spark = docs.sparkSession
-    model, counts, values = fit(docs, depth)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    path = new_folder(spark, "suffix-tree-texts")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    model, counts, tail, buckets = fit(rows.where(~F.col("held_out")).select("text"), depth)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    norm = float(np.log10(model.tokens + ADDED * (model.distinct + 1)))
 
-    def lists(docs: np.ndarray, keys: np.ndarray, rows: int) -> pa.Array:
-        order = np.argsort(docs, kind="stable")
-        bounds = np.searchsorted(docs[order], np.arange(rows + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[order].view(np.int64)))
+    def heads(m: Model, t: Tokens) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The place of each word in the model, and (text, key) of all grams, contexts among them."""
+        parts = [(t.docs[t.first], np.full(t.rows, START)), (t.docs, t.hashes)] if m.grams is not None else []
+        parts += [(t.docs[at], key) for at, key, _, _ in grams(t, depth)] if m.grams is not None else []
+        return m.words.find(t.hashes), parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        logs = np.log10(m.root(m.counts)) if m.tokens else np.zeros(0)
+        logs = np.log10(m.counts + ADDED) - norm
         for b in batches:
-            for w in word_slices(b.column(2), lower=True):
+            for w in word_slices(b.column(3), lower=True):
                 t = Tokens.of(w)
-                words = m.words.find(t.hashes)
+                words, parts = heads(m, t)
                 known = words >= 0
-                base = np.zeros(len(words))
+                base = np.full(len(words), np.log10(ADDED) - norm)
                 base[known] = logs[words[known]]
-                gain, owners, others = np.zeros(t.rows), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-                if m.grams is not None:
-                    starts = (t.docs[t.first], np.full(t.rows, START))
-                    for owner, keys in [starts, *((t.docs[at], keys) for at, keys in grams(t, depth))]:
-                        found = m.grams.find(keys)
-                        hit = found >= 0
-                        gain += np.bincount(owner[hit], m.values[found[hit]], t.rows)
-                        owner, keys = owner[~hit], keys[~hit]
-                        may = m.others.has(keys)
-                        owners.append(owner[may])
-                        others.append(keys[may])
-                sums = [np.bincount(t.docs, x, t.rows) for x in (known, base)]
-                rare = np.flatnonzero(~known)
+                gain = np.zeros(t.rows)
+                for owner, keys in parts:
+                    found = m.grams.find(keys)
+                    hit = found >= 0
+                    gain += np.bincount(owner[hit], m.values[found[hit]], t.rows)
                 part = b.slice(w.first, t.rows)
-                numbers = [pa.array(np.bincount(t.docs, minlength=t.rows)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(gain)]
-                more = [lists(t.docs[rare], t.hashes[rare], t.rows), lists(np.concatenate(owners), np.concatenate(others), t.rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, *more], names)
-
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare", "grams"]
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double, rare array<long>, grams array<long>")
-    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), "suffix-tree-rows")
-    # the words too rare to be broadcast: their exact counts by a join
-    norm = F.lit(float(np.log10(model.tokens + ADDED * (model.distinct + 1))))
-    rare = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
-    rare = rare.join(counts, "key", "left")
-    base = F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ADDED)) - norm)
-    rare = rare.groupBy("row").agg(F.sum(base).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))).alias("rare_known"))
-    out = rows.drop("rare", "grams").join(rare, "row", "left")
-    gain = F.col("gain")
-    if values is not None:
-        # and so the values of all other grams
-        more = rows.select("row", F.explode("grams").alias("key"))
-        more = more.join(values, "key").groupBy("row").agg(F.sum("value").alias("more_gain"))
-        out = out.join(more, "row", "left")
-        gain = gain + F.coalesce(F.col("more_gain"), F.lit(0.0))
-    whole = F.col("base") + F.coalesce(F.col("rare_base"), F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.col("rare_known"), F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        whole.alias("base_score"), (whole + gain).alias("score"),
+                numbers = [np.bincount(t.docs, minlength=t.rows), np.bincount(t.docs, known, t.rows).astype(np.int64), np.bincount(t.docs, base, t.rows), gain]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, numbers)], names)
+
+    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            row = b.column(0).to_numpy()
+            for w in word_slices(b.column(1), lower=True):
+                t = Tokens.of(w)
+                words, parts = heads(m, t)
+                rare = np.flatnonzero(words < 0)
+                owners, sought = [t.docs[rare]], [t.hashes[rare] ^ _AS_WORD]
+                for owner, keys in parts:
+                    may = np.flatnonzero(m.others.has(keys))
+                    may = may[m.grams.find(keys[may]) < 0]
+                    owners.append(owner[may])
+                    sought.append(keys[may])
+                owner, key = np.concatenate(owners), np.concatenate(sought)
+                bucket, keys, owners_ = packed(key, buckets, [key, (row[w.first + owner] - row[w.first]).astype(np.uint32)])
+                n = len(bucket)
+                yield pa.RecordBatch.from_arrays([bucket, pa.array(np.full(n, 2, np.int32)), pa.array(np.full(n, row[w.first])), keys, owners_, pa.nulls(n, pa.binary())], NEEDED)
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain"]
+    head = rows.mapInArrow(facts, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double")
+    # what is too rare to be broadcast: exact counts of words, and the values of grams
+    rare = counts.select("key", "n", (F.log10(F.col("n") + F.lit(ADDED)) - F.log10(F.lit(ADDED))).alias("value")).where(F.col("n") < max(1.0, HEAD_SHARE * model.tokens))
+    values = _values(rare, buckets, words=True)
+    if tail is not None:
+        values = values.unionByName(_values(tail, buckets, words=False))
+    more = _sums(rows.select("row", "text").mapInArrow(needs, PACKED), values)
+    more = saved(more.select("row", *[F.col(c).alias(f"more_{c}") for c in ("base", "known", "gain")]), "suffix-tree-sums")
+    both = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))
+    return head.join(more, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", both("known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        both("base").alias("base_score"), (both("base") + both("gain")).alias("score"),
     )

@@ -128,10 +128,10 @@ def tree_brute(rows, depth, held):
     return [(str(i), round(sum(math.log10(p(tuple([0, *t][max(0, k + 1 - depth) : k + 1]), w)) for k, w in enumerate(t)), 4)) for i, t in texts]
 
 
-@pytest.mark.parametrize("share", [5e-6, 1.0])
+@pytest.mark.parametrize("share", [2e-6, 1.0])
 def test_suffix_tree_scores(spark, monkeypatch, share):
-    """Equal to a brute-force tree, with all grams broadcast or all joined."""
-    monkeypatch.setattr(suffix_tree, "EDGE_SHARE", share)
+    """Equal to a brute-force tree, with all grams broadcast or all looked up."""
+    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", share)
     rng = random.Random(12)
     phrases = ["a b c d e", "x b c q", "over the b c dog", "A rare thing", "b c d", "c e a", *(f"u{k} v{k % 7}" for k in range(40))]
     rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randrange(30))), "s") for i in range(120)] + AWKWARD
