@@ -58,8 +58,14 @@ def test_topk_stops_early():
     vectors = np.zeros((1000, 3), dtype=np.int64)
     vectors[:, 0] = np.arange(1000)
     shard = topk.Shard(np.arange(1000), vectors)
-    ids, scores = shard.search(-1, np.array([2, 0, 0]), 3)
-    assert ids.tolist() == [999, 998, 997] and scores.tolist() == [1998, 1996, 1994]
+    at, ids, scores = shard.search(np.array([-1, 998]), np.array([[2, 0, 0], [3, 0, 0]]), 3)
+    assert at.tolist() == [0, 0, 0, 1, 1, 1] and ids.tolist() == [999, 998, 997, 999, 997, 996] and scores.tolist()[:3] == [1998, 1996, 1994]
+    assert shard.scored == 2 * 8
+    # a bar above all of a shard's vectors: none is scored
+    assert len(shard.search(np.array([-1]), np.array([[2, 0, 0]]), 3, np.array([2000]))[0]) == 0 and shard.scored == 2 * 8
+    # no floats where products are too large for them
+    huge = topk.Shard(np.arange(3), np.array([[2**40, 1], [2**40, 2], [2**40, 3]]))
+    assert huge.search(np.array([-1]), np.array([[2**20, 1]]), 2)[1].tolist() == [2, 1]
 
 
 def lower(text):
