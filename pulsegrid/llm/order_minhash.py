@@ -14,12 +14,15 @@ components of the links.
 Equal word sequences become one node first, however many copies there are.
 Within a bucket of equal sketches not all pairs are made.  Each member meets the
 bucket's leader, the member whose sketches are the most common of all, which
-joins most copies of one original.  What could still link members of different
-components deviates from the leader in the same shingles: such members are found
-by the rarest of their deviations, and verified too.  Where many share one
-deviation they become a group with a leader of its own, and so on, so that no
-candidate link is lost and a group of n members never makes more than a multiple
-of n pairs.
+joins most copies of one original.  What else could link members of different
+components is found by content: similar texts share four fifths of the shingles
+of either, so they meet at one of the rarest fifth of the one's and the rarest
+ninth of the other's.  A shingle that only one component holds links nothing and
+comes first in that order, and one that very many texts share comes last, so a
+passage that a third of all documents share brings no pairs together unless the
+texts are little else.  There one member of each component comes first, so that
+large ones are joined by few pairs; then all pairs of what is still apart are
+verified: no candidate link is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -40,8 +43,6 @@ from pulsegrid.llm.words import Words, gram_hashes, joined_words, mix, word_slic
 
 SHINGLE, SKETCHES, WIDTH = 5, 12, 3
 SIMILARITY = 0.8
-#: A shared deviation pairs members directly where at most so many of them ask for it; else a leader is elected among them.
-FEW = 8
 _LABEL = np.uint64(0xA24BAED4963EE407)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -181,104 +182,60 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def deviations(leader: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(labelled shingles that only the other has, labelled shingles that only the leader has)."""
-    x, y = labelled(leader), labelled(other)
-    return np.setdiff1d(y, x), np.setdiff1d(x, y)
+def _elements(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, root, n, e): the labelled shingles e of each row of ``open_`` (row, root), n of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                own = [labelled(x) for x in shingles(b.column(2))]
+                sizes = np.array([len(x) for x in own], dtype=np.int64)
+                of = pa.array(np.repeat(np.arange(len(own)), sizes))
+                e = np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(sizes).take(of), pa.array(e)], ["row", "root", "n", "e"])
 
-def _elements(family: DataFrame, texts: DataFrame) -> DataFrame:
-    """(g, row, root, outside, lacks, p, n, b, e, missing): the deviations e of each row of ``family`` from its leader.
+    return open_.join(texts, "row").select("row", "root", "text").mapInArrow(run, "row long, root long, n long, e long")
 
-    ``family`` has (g, a, row, root, a_root): a group, its leader, a follower, and their components.
-    ``p`` and ``n`` are the shingles of leader and follower, ``b`` counts the deviations; a
-    follower without deviations has one row with e null.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
-                at, e, missing, sizes = [], [], [], []
-                for k, (x, y) in enumerate(zip(shingles(b.column(4)), shingles(b.column(5)), strict=True)):
-                    novel, lost = deviations(x, y)
-                    own = np.concatenate((novel, mix(lost ^ _LABEL)))
-                    n = max(1, len(own))
-                    at.append(np.full(n, k))
-                    e.append(pa.array(own.view(np.int64)) if len(own) else pa.nulls(1, pa.int64()))
-                    missing.append(np.arange(n) >= len(novel))
-                    sizes.append((len(x), len(y), len(own)))
-                if at:
-                    of = pa.array(np.concatenate(at))
-                    rows = [b.column(c).take(of) for c in (0, 1, 2)]
-                    outside = pa.array(b.column(2).to_numpy() != b.column(3).to_numpy()).take(of)
-                    numbers = [pa.array(x, pa.int64()).take(of) for x in zip(*sizes, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*rows, outside, *numbers, pa.concat_arrays(e), pa.array(np.concatenate(missing))], names)
-
-    names = ["g", "row", "root", "outside", "p", "n", "b", "e", "missing"]
-    one = texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
-    joined = family.join(texts, "row").join(one, "a").select("g", "row", "root", "a_root", "ta", "text")
-    return joined.mapInArrow(run, "g long, row long, root long, outside boolean, p long, n long, b long, e long, missing boolean")
+def _ranked(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row, n, e, left): the shingles by which each text of ``open_`` (row, root) can meet one of another component.
 
+    Similar texts of n >= m shingles share s >= 4 (n + m) / 9 of them, that is at
+    least 4 n / 5 and 8 m / 9.  Shingles have one order, those of one component
+    first and then the rarest.  From the first shared one on each text must have s
+    left.
+    """
+    elements = saved(_elements(open_, texts), "near-elements")
+    common = elements.groupBy("e").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e", "times")
+    shared = saved(elements.join(common, "e").select("row", "n", "e", "times"), "near-shared")
+    enough = shared.groupBy("row").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("5 * k >= 4 * n").select("row", "k")
+    place = F.row_number().over(Window.partitionBy("row").orderBy("times", "e"))
+    return saved(shared.join(enough, "row").withColumn("left", F.col("k") - place + 1).where("5 * left >= 4 * n").select("row", "n", "e", "left"), "near-ranked")
 
-def _deviating(family: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What in ``family`` (see :func:`_elements`) can be similar though of different components:
-    pairs (a, b), and groups (g, row, n, asks) that are to elect a leader.
 
-    Of two followers in different components one, C, is outside of the leader's.
-    With b deviations each and s of them shared, similar texts A and C have
-    s >= (b(A) + b(C)) / 2 - (a + c) / 18.  Where C lacks too much of the leader P's
-    content, b(C) > (p + c) / 9, it follows that s > b(A) / 2 + (p - a) / 18, and, from
-    b(A) >= b(C) - (a + c) / 9 and a <= c / 0.8, that s >= b(C) - c / 4.  Deviations have one
-    order in a group, the rarest first, so the first b - s + 1 of A's and of C's have
-    one in common: A is found under its own, C asks with its own.  From the first
-    shared one on both must have s left.
+def _meeting(ranked: DataFrame, roots: DataFrame, one_each: bool) -> DataFrame:
+    """(a, b): pairs of texts of different components that can be similar by their content, all or by one text of each component.
 
-    Where C has the content of P, but in another order, it asks all followers:
-    that is e = 0.
+    The longer text looks at all shingles with 4 n / 5 left, the shorter is found under all with 8 m / 9 left.
     """
-    elements = saved(_elements(family, texts), "near-deviations")
-    real = elements.where("e IS NOT NULL")
-    lacks = 9 * F.col("b") > F.col("p") + F.col("n")
-    common = real.groupBy("g", "e").agg(F.count("*").alias("times")).where("times > 1")
-    # what no other follower has is the rarest, links nothing and only takes up places
-    place = F.row_number().over(Window.partitionBy("g", "row").orderBy("times", "missing", "e"))
-    ranked = real.join(common, ["g", "e"]).withColumn("left", F.count("*").over(Window.partitionBy("g", "row")) - place + 1)
-    from_found = F.floor(F.col("b") / 2 + (F.col("p") - F.col("n")) / 18) + 1
-    from_asks = F.ceil(F.col("b") - F.col("n") / 4)
-    ranked = ranked.withColumn("found", F.col("left") >= from_found).withColumn("asks", F.col("outside") & lacks & (F.col("left") >= from_asks)).where("found OR asks")
-    columns = ["g", "row", "root", "n", "b", "e", "left", "found", "asks"]
-    # each follower once for the groups in which one has the leader's content
-    each = elements.select("g", "row", "root", "n", "b", "outside", lacks.alias("lacks")).distinct()
-    same = each.where("outside AND NOT lacks")
-    each = each.join(same.select("g").distinct(), "g", "left_semi")
-    asking = F.col("outside") & ~F.col("lacks")
-    each = each.select("g", "row", "root", "n", "b", F.lit(0).cast("long").alias("e"), F.lit(None).cast("long").alias("left"), F.lit(True).alias("found"), asking.alias("asks"))
-    rows = saved(ranked.select(columns).unionByName(each.select(columns)), "near-asked")
-    count = lambda c: F.sum(F.col(c).cast("long"))
-    sizes = rows.groupBy("g", "e").agg(count("asks").alias("asked"), (F.min("root") != F.max("root")).alias("open")).where("open AND asked > 0")
-    rows = saved(rows.join(sizes.select("g", "e", "asked"), ["g", "e"]), "near-asked")
-    few = rows.where(F.col("asked") <= FEW)
-    asked = few.where("asks").select("g", "e", *[F.col(x).alias(y) for x, y in (("row", "c"), ("root", "c_root"), ("n", "cn"), ("b", "cb"), ("left", "c_left"))])
-    fit = F.least("n", "cn") >= F.lit(SIMILARITY) * F.greatest("n", "cn")
-    enough = F.coalesce(18 * F.least("left", "c_left") >= 9 * (F.col("b") + F.col("cb")) - F.col("n") - F.col("cn"), F.lit(True))
-    met = few.where("found").join(asked, ["g", "e"]).where(F.col("root") != F.col("c_root")).where(fit & enough)
-    pairs = met.select(F.greatest("row", "c").alias("a"), F.least("row", "c").alias("b")).distinct()
-    many = rows.where(F.col("asked") > FEW).select(F.xxhash64("g", "e").alias("g"), "row", "n", "asks")
-    return saved(pairs, "near-pairs"), saved(many, "near-groups")
-
-
-def _open(groups: DataFrame, by: list[str], roots: DataFrame) -> DataFrame:
-    """(by, a, row, root, a_root): the rows that differ from their leader, of the ``groups`` that hold two components."""
-    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    state = groups.join(named("row"), "row", "left").withColumn("root", F.coalesce("row_root", "row"))
-    open_ = state.groupBy(*by).agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
-    state = state.join(open_, by, "left_semi").where("row <> a").select(*by, "a", "row", "root")
-    return state.join(named("a"), "a", "left").withColumn("a_root", F.coalesce("a_root", "a")).select(*by, "a", "row", "root", "a_root")
-
-
-def _led(groups: DataFrame, by: list[str], rank: Column) -> DataFrame:
-    """(by, row, n, a, an): each member with the leader of its group, the first by ``rank``."""
+    rows = ranked.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    several = rows.groupBy("e").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("e")
+    rows = rows.join(several, "e")
+    if one_each:
+        one = F.max_by(F.struct("row", "n", "left"), F.struct("left", "row")).alias("one")
+        rows = rows.groupBy("e", "root").agg(one).select("e", "root", "one.row", "one.n", "one.left")
+    rows = saved(rows.select("e", "root", "row", "n", "left"), "near-meeting")
+    found = rows.where("9 * left >= 8 * n").select("e", *[F.col(x).alias(y) for x, y in (("row", "b"), ("root", "b_root"), ("n", "m"), ("left", "b_left"))])
+    shorter = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("row") > F.col("b")))
+    fits = (5 * F.col("m") >= 4 * F.col("n")) & (9 * F.least("left", "b_left") >= 4 * (F.col("n") + F.col("m")))
+    met = rows.join(found, "e").where((F.col("root") != F.col("b_root")) & shorter & fits)
+    return saved(met.select(F.col("row").alias("a"), "b").distinct(), "near-pairs")
+
+
+def _led(groups: DataFrame, by: list[str]) -> DataFrame:
+    """(by, row, n, a, an): each member with the leader of its group, the one of the most weight."""
+    rank = F.struct(F.col("weight"), -F.col("row"))
     leads = groups.groupBy(*by).agg(F.max_by(F.struct("row", "n"), rank).alias("p")).select(*by, F.col("p.row").alias("a"), F.col("p.n").alias("an"))
     return groups.select(*by, "row", "n").join(leads, by)
 
@@ -322,21 +279,18 @@ def _classes(docs: DataFrame, row: str | None) -> DataFrame:
 
     # every member of a bucket meets the member whose sketches are the most common
     by = ["band", "key"]
-    led = saved(_led(buckets, by, F.struct(F.col("weight"), -F.col("row"))), "near-led")
-    links = [saved(_verified(saved(_with_leader(led), "near-pairs"), texts), "near-links")]
+    links = [saved(_verified(saved(_with_leader(_led(buckets, by)), "near-pairs"), texts), "near-links")]
     roots = saved(components(links[0]), "near-roots")
-    # what could still link members of different components: one family a leader
-    family = _open(led, by, roots).select(F.col("a").alias("g"), "a", "row", "root", "a_root").distinct()
-    family = saved(family, "near-family")
-    while not family.isEmpty():
-        pairs, many = _deviating(family, texts)
-        links.append(saved(_verified(pairs, texts), "near-links"))
-        # where too many share one deviation, one of those that ask for it leads; it stays out of the next groups
-        groups = many.groupBy("g", "row", "n").agg(F.max("asks").alias("asks")).join(common, "row")
-        led = saved(_led(groups, ["g"], F.struct(F.col("asks"), F.col("weight"), -F.col("row"))), "near-led")
-        links.append(saved(_verified(saved(_with_leader(led), "near-pairs"), texts), "near-links"))
-        roots = saved(components(reduce(DataFrame.unionByName, links)), "near-roots")
-        family = saved(_open(led, ["g"], roots), "near-family")
+    # the members of buckets that hold several components: what else could link them
+    state = buckets.select(*by, "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    several = state.groupBy(*by).agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
+    open_ = saved(state.join(several, by, "left_semi").select("row", "root").distinct(), "near-open")
+    if not open_.isEmpty():
+        ranked = _ranked(open_, texts)
+        for one_each in (True, False):
+            links.append(saved(_verified(_meeting(ranked, roots, one_each), texts), "near-links"))
+            if not links[-1].isEmpty():
+                roots = saved(components(reduce(DataFrame.unionByName, links)), "near-roots")
     grouped = members.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("class"))
     named = grouped.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
     return grouped.join(named, "class").select("row", "doc_id", "class_id", "first")
