@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.storage import freed, new_folder, saved
+from pulsegrid.llm.storage import discard, freed, new_folder, removed, saved
 from pulsegrid.llm.words import Words, fold, gram_hashes, hash_spans, joined_words, word_slices
 
 WINDOW, ANCHOR = 20, 8
@@ -118,15 +118,19 @@ class FingerprintIndex:
             found = found.unionByName(batch.join(self.spark.table(run).select("h").hint("merge"), "h").select("h"))
         found = saved(found.distinct(), "repeated")
         self.runs.append((0, name))
+        merged: list[str] = []
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             (level, a), (_, b) = self.runs.pop(), self.runs.pop()
             self.runs.append((level + 1, self._write(self.spark.table(a).unionByName(self.spark.table(b)))))
-            for old in (a, b):
-                self.spark.sql(f"DROP TABLE {old}")
+            merged += [a, b]
         self.version += 1
         rows = [(self.version, k, level, run, self.buckets) for k, (level, run) in enumerate(self.runs)]
         listed = self.spark.createDataFrame(rows, "version long, place int, level int, name string, buckets int")
         listed.coalesce(1).write.json(f"{self.path}/manifest-{self.version:06d}")
+        # no manifest to come lists what was compacted
+        for old in merged:
+            self.spark.sql(f"DROP TABLE {old}")
+            removed(self.spark, f"{self.path}/{old}")
         return found
 
     def close(self) -> None:
@@ -151,6 +155,7 @@ def repeated_fingerprints(prints: DataFrame, batches: int = BATCHES) -> DataFram
         found = new if found is None else found.unionByName(new)
     found = saved(found.distinct(), "repeated")
     index.close()
+    removed(index.spark, index.path)
     return found
 
 
@@ -224,6 +229,7 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
     prints = saved(fingerprints(nodes.select("node", "text")), "prints")
     repeated = repeated_fingerprints(prints, batches)
     flagged = saved(prints.join(repeated, "h").groupBy("node").agg(F.collect_list("h").alias("hs")), "flagged")
+    discard(prints, repeated)
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -244,9 +250,9 @@ def deduplicated(docs: DataFrame, texts: bool = False, batches: int = BATCHES) -
             for w in word_slices(b.column(0)):
                 n = len(w.bounds) - 1
                 own = b.slice(w.first, n)
-                removed = _removed(w, own.column(1), own.column(2))
-                lost = np.bincount(w.docs, removed, n).astype(np.int64)
-                kept = joined_words(w, ~removed)
+                gone = _removed(w, own.column(1), own.column(2))
+                lost = np.bincount(w.docs, gone, n).astype(np.int64)
+                kept = joined_words(w, ~gone)
                 passed = [own.column(own.num_columns - len(fixed) + i) for i in range(len(fixed))]
                 if texts:
                     # a text that loses nothing stays as it is, the others shrink

@@ -53,10 +53,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder whose tables no later query reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes the files of tables that :func:`saved` returned and no later query reads."""
     for table in tables:
         if table is not None:
-            spark = table.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(table.saved_at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(table.sparkSession, table.saved_at)
