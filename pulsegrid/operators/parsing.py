@@ -170,6 +170,35 @@ def cluster_nodes(events: DataFrame) -> DataFrame:
     return rows.select("epoch", F.col("j.ID").alias("node"), F.col("j.HOST_ADDRESS").alias("host"), F.col("j.ROLE").alias("role"), F.col("j.IS_MASTER_NODE").alias("is_master"))
 
 
+def config_overrides(events: DataFrame) -> DataFrame:
+    """(epoch, enable, disable, updated): the overrides of the configuration, of the topology's line that has no node id; as JSON texts."""
+    of = lambda line, name: F.get_json_object(line, f"$.{name}")
+    lines = F.filter(F.split("value", "\n"), lambda x: of(x, "ID").isNull() & of(x, "lastUpdatedTimestamp").isNotNull())
+    line = F.col("_line")
+    rows = events.withColumn("_line", F.try_element_at(lines, F.lit(1))).where(line.isNotNull())
+    return rows.select("epoch", of(line, "enable").alias("enable"), of(line, "disable").alias("disable"), of(line, "lastUpdatedTimestamp").cast("long").alias("updated"))
+
+
+# Dimensions and values of the families of node metrics, by the key of their events.
+NODE_FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "circuit_breaker": (("CBType",), ("CB_EstimatedSize", "CB_TrippedEvents", "CB_ConfiguredSize")),
+    "heap_metrics": (("MemType",), ("GC_Collection_Event", "GC_Collection_Time", "Heap_Committed", "Heap_Init", "Heap_Max", "Heap_Used")),
+    "disk_metrics": (("DiskName",), ("Disk_Utilization", "Disk_WaitTime", "Disk_ServiceRate")),
+    "tcp_metrics": (("DestAddr",), ("Net_TCP_NumFlows", "Net_TCP_TxQ", "Net_TCP_RxQ", "Net_TCP_Lost", "Net_TCP_SendCWND", "Net_TCP_SSThresh")),
+    "ip_metrics": (("Direction",), ("Net_PacketRate4", "Net_PacketDropRate4", "Net_PacketRate6", "Net_PacketDropRate6", "Net_Throughput")),
+    "thread_pool": (("ThreadPoolType",), ("ThreadPool_QueueSize", "ThreadPool_RejectedReqs", "ThreadPool_TotalThreads", "ThreadPool_ActiveThreads", "ThreadPool_QueueLatency", "ThreadPool_QueueCapacity")),
+    "pending_tasks": (("Master_PendingTaskType",), ("Master_PendingQueueSize",)),
+    "cache_config": (("CacheType",), ("Cache_MaxSize",)),
+    "election_term": ((), ("Election_Term",)),
+    "cluster_applier_service": ((), ("ClusterApplierService_Latency", "ClusterApplierService_Failure")),
+    "publish_cluster_state": ((), ("PublishClusterState_Latency", "PublishClusterState_Failure")),
+    "shard_indexing_pressure": (
+        ("IndexingStage", "IndexName", "ShardID"),
+        ("Indexing_Pressure_Rejection_Count", "Indexing_Pressure_Current_Bytes", "Indexing_Pressure_Current_Limits", "Indexing_Pressure_Average_Window_Throughput", "Indexing_Pressure_Last_Successful_Timestamp"),
+    ),
+}
+
+
 def node_metric_rows(events: DataFrame, dims: list[str], values: list[str]) -> DataFrame:
     """The JSON lines of one metric family with its dimensions and values; index and shard come from the key where it has them."""
     schema = ", ".join([*(f"{d} string" for d in dims), *(f"{v} double" for v in values)])

@@ -57,6 +57,16 @@ def latency_by(requests: DataFrame, dims: list[str], docs: str | None = None) ->
     return completed(requests).groupBy(*dims).agg(*quartet("lat", "lat_"), F.count("*").alias("requests"), *extra)
 
 
+def http_latency(events: DataFrame) -> DataFrame:
+    """Latency and document quartets and the number of requests by operation, status, indices and exception.
+
+    Rows: operation, rid, st, et, indices, status, exception, docs; a start and a finish are one request.
+    """
+    of_start, of_finish = ("indices", "docs"), ("status", "exception")
+    pairs = events.groupBy("operation", "rid").agg(F.max("st").alias("st"), F.max("et").alias("et"), *[F.max(c).alias(c) for c in (*of_start, *of_finish)])
+    return completed(pairs).groupBy("operation", "status", "indices", "exception").agg(*quartet("lat", "lat_"), *quartet("docs", "docs_"), F.count("*").alias("requests"))
+
+
 def master_tasks(tasks: DataFrame, window_start: int, window_end: int) -> DataFrame:
     """Queue and run time quartets by insert order; a task without finish runs to the end of the window.
 

@@ -194,3 +194,26 @@ def published(actions: DataFrame, window_ms: int = 3_600_000) -> DataFrame:
     held = (F.col("impact") == "INCREASES_PRESSURE") & (F.col("ms") - lowered <= window_ms)
     rows = actions.select(F.col("node").cast("long"), "dimension", F.col("ms").cast("long"), F.col("action_id").cast("long"), "impact")
     return rows.withColumn("published", ~F.coalesce(held, F.lit(False)))
+
+
+def published_actions(actions: DataFrame, window_ms: int = 3_600_000) -> DataFrame:
+    """(cluster, ms, action_id, published) for rows cluster, ms, action_id and impacts, an array of (node, dimension, impact).
+
+    An action is held back whole where any pressure that it raises on a node was
+    lowered within the window by a published action; one held back counts for nothing.
+    """
+
+    def start() -> Callable:
+        lowered: dict[tuple[str, str], int] = {}
+
+        def step(ms: int, impacts) -> tuple[bool]:
+            each = [(i["node"], i["dimension"], i["impact"]) for i in (impacts if impacts is not None else ())]
+            if any(impact == "INCREASES_PRESSURE" and (n, dim) in lowered and ms - lowered[n, dim] <= window_ms for n, dim, impact in each):
+                return (False,)
+            lowered.update({(n, dim): ms for n, dim, impact in each if impact == "DECREASES_PRESSURE"})
+            return (True,)
+
+        return step
+
+    rows = actions.select("cluster", "ms", "action_id", "impacts")
+    return streamed(rows, "cluster", ["ms", "action_id"], ["ms", "impacts"], {"published": "bool"}, ["cluster", "ms", "action_id"], "cluster long, ms long, action_id long", start)

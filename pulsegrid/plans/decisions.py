@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import clamped, linear_bucket, ratio, usage_bucket
+from pulsegrid.operators.stateful import alarms
 
 # Cool-off of each action in ms, and the pressures that it changes.
 COOL_OFF = {"ModifyQueueCapacity": 300_000, "ModifyCacheMaxSize": 300_000, "CacheClear": 1_800_000, "HeapSizeIncreaseAction": 259_200_000, "AdmissionControlAction": 900_000, "JvmGenAction": 300_000}
@@ -127,6 +128,53 @@ def heap_increase(nodes: DataFrame, percent: float = 50.0) -> DataFrame:
     return got.withColumn("increase", F.coalesce(ratio(F.col("unhealthy") * 100, F.col("total")) >= percent, F.lit(False)))
 
 
+# What each of these signals says about the size of the young generation.
+TOO_SMALL, TOO_LARGE = ("promotion_rate", "full_gc_pause"), ("minor_gc_pause", "old_gen_usage")
+
+
+def generation_tuning(issues: DataFrame, key: str, ms: str, tie: str) -> DataFrame:
+    """(key, ms, tie, ratio): the ratios of old to young generation to set, from rows of signals in order.
+
+    Columns: key, ms, tie, ``signal`` (null where there is no issue), and the sizes ``old`` and ``young``.  Signals
+    of either kind feed an alarm of their own; too large a young generation goes before too small a one.
+    """
+    of = lambda names, name: alarms(issues.withColumn("_issue", F.coalesce(F.col("signal").isin(*names), F.lit(False))), key, ms, tie, "_issue").withColumnRenamed("healthy", name)
+    both = of(TOO_LARGE, "fits").join(of(TOO_SMALL, "suffices"), [key, ms, tie]).where("NOT fits OR NOT suffices")
+    sizes = issues.select(key, ms, tie, "old", "young")
+    ratios = both.join(sizes, [key, ms, tie]).select(key, ms, tie, generation_ratio(F.col("old"), F.col("young"), ~F.col("fits")).alias("ratio"))
+    return ratios.where("ratio >= 1")
+
+
+def heap_size_policy(issues: DataFrame, key: str, ms: str, tie: str, issue: str, percent: float = 50.0) -> DataFrame:
+    """:func:`heap_increase` over the alarms of all nodes as they are after their last row."""
+    after = alarms(issues, key, ms, tie, issue, day_breaches=8, week_breaches=3)
+    last = after.groupBy(key).agg(F.max_by("healthy", F.struct(ms, tie)).alias("healthy"))
+    return heap_increase(last, percent)
+
+
+# Least and largest size and step of each cache as parts of the heap.
+CACHE_BOUNDS = {"field-data": (0.1, 0.4, 0.015), "shard-request": (0.01, 0.05, 0.002)}
+
+
+def cache_size_actions(nodes: DataFrame) -> DataFrame:
+    """Adds ``desired``, ``current``, ``cool_off_ms``, ``can_update``, ``impact`` and the JSON ``summary`` to steps of cache sizes.
+
+    Columns: node, host, cache, current_bytes, heap_bytes, steps (null sets the least size).  A current size of -1
+    is the whole heap; without a known size or heap both are -1 and nothing is updated.
+    """
+    bound = lambda i: F.coalesce(*[F.when(F.col("cache") == c, F.lit(b[i])) for c, b in CACHE_BOUNDS.items()])
+    heap, size = F.col("heap_bytes"), F.col("current_bytes")
+    part = lambda i: (bound(i) * heap).cast("long")
+    current = F.when(size == -1, heap).otherwise(size)
+    known = size.isNotNull() & heap.isNotNull()
+    wanted = F.when(F.col("steps").isNull(), part(0)).otherwise(current + F.col("steps") * part(2))
+    rows = nodes.withColumns({"current": F.when(known, current).otherwise(F.lit(-1)).cast("long"), "desired": F.when(known, clamped(wanted, part(0), part(1))).otherwise(F.lit(-1)).cast("long"), "cool_off_ms": F.lit(COOL_OFF["ModifyCacheMaxSize"])})
+    impact = F.when(F.col("desired") > F.col("current"), "INCREASES_PRESSURE").when(F.col("desired") < F.col("current"), "DECREASES_PRESSURE")
+    rows = rows.withColumns({"can_update": known & (F.col("desired") != F.col("current")), "impact": impact})
+    named = [("Id", "node"), ("Ip", "host"), ("resource", "cache"), ("desiredCacheMaxSizeInBytes", "desired"), ("currentCacheMaxSizeInBytes", "current"), ("coolOffPeriodInMillis", "cool_off_ms"), ("canUpdate", "can_update")]
+    return rows.withColumn("summary", F.to_json(F.struct(*[F.col(c).alias(n) for n, c in named])))
+
+
 def heap_health(level_actions: DataFrame, sizing: DataFrame, generations: DataFrame) -> DataFrame:
     """Actions (node, action) of the old generation and heap size, and of generation tuning only where no heap grows."""
     grow = sizing.where("increase").select(F.lit("all").alias("node"), F.lit("HeapSizeIncreaseAction").alias("action"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.metrics import AGGREGATES, DIMENSIONS, UNITS
@@ -82,18 +82,23 @@ def check_range(start: int, end: int, period: int, now: int, retention_minutes:
 def sampled_range(rows: DataFrame, start: int, end: int, period: int) -> DataFrame:
     """The rows of the first window there is in each sampling period of [start, end)."""
     inside = rows.where((F.col("window_start") >= start) & (F.col("window_start") < end))
-    first = inside.groupBy(floor_bucket(F.col("window_start"), period).alias("_p")).agg(F.min("window_start").alias("window_start"))
-    return inside.join(first.select("window_start"), "window_start", "left_semi")
+    first = F.min("window_start").over(Window.partitionBy(floor_bucket(F.col("window_start"), period)))
+    return inside.withColumn("_first", first).where("window_start = _first").drop("_first")
 
 
 def batch(rows: DataFrame, metrics: list[str], start: int, end: int, period: int, limit: int = DATAPOINTS) -> DataFrame:
-    """Sampled rows of several metrics; raises where they are more than ``limit``."""
+    """Sampled rows of several metrics; the query fails where they are more than ``limit``.
+
+    The count is part of the plan, so the rows are made once; at most one more than
+    ``limit`` of them meet for it.
+    """
     if limit <= 0:
         raise InvalidQuery("the limit must be positive")
     out = sampled_range(rows.where(F.col("metric").isin(metrics)), start, end, period)
-    if out.limit(limit + 1).count() > limit:
-        raise InvalidQuery(f"the result has more than {limit} values; ask for a shorter range or a longer period")
-    return out
+    count = F.count("*").over(Window.partitionBy(F.lit(0)))
+    message = f"the result has more than {limit} values; ask for a shorter range or a longer period"
+    out = out.limit(limit + 1).withColumn("_count", count)
+    return out.withColumn("_count", F.when(F.col("_count") > limit, F.raise_error(F.lit(message)).cast("long")).otherwise(F.col("_count"))).where("_count > 0").drop("_count")
 
 
 def as_json(result: DataFrame) -> DataFrame:

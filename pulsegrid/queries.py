@@ -178,17 +178,27 @@ def warm_up(spark: SparkSession, d: str) -> DataFrame:
     return align.warmed_up(_hourly(spark, d), "window_start", 4)
 
 
-@registered("SELECT unnest(['CPU_Utilization', 'Heap_Max', 'Latency', 'Disk_Utilization']) AS metric, unnest(['cores', 'B', 'ms', '%']) AS unit")
+#: Metrics that the kinds of events stand for, in order of their names.
+_OF_EVENTS = {"click": "CPU_Utilization", "error": "Heap_Max", "purchase": "Latency", "signup": "Disk_Utilization", "view": "IO_TotThroughput"}
+
+
+@registered("""
+    WITH m(event_type, metric, unit) AS (VALUES ('click', 'CPU_Utilization', 'cores'), ('error', 'Heap_Max', 'B'), ('purchase', 'Latency', 'ms'), ('signup', 'Disk_Utilization', '%'), ('view', 'IO_TotThroughput', 'B/s'))
+    SELECT metric, unit, count(*) AS samples FROM events JOIN m USING (event_type) GROUP BY ALL
+""")
 def metric_units(spark: SparkSession, d: str) -> DataFrame:
-    wanted = ("CPU_Utilization", "Heap_Max", "Latency", "Disk_Utilization")
-    return spark.createDataFrame([(m, u) for m, u in query.units().items() if m in wanted], "metric string, unit string")
+    """The unit of every metric that the samples hold."""
+    metric = F.create_map(*[F.lit(x) for pair in _OF_EVENTS.items() for x in pair])[F.col("event_type")]
+    held = samples(spark, d).groupBy(metric.alias("metric")).agg(F.count("*").alias("samples"))
+    units = spark.createDataFrame(list(query.units().items()), "metric string, unit string")
+    return held.join(F.broadcast(units), "metric").select("metric", "unit", "samples")
 
 
 @registered(f"""
-    WITH {_HOURLY} SELECT to_json([metric, window_start::VARCHAR, host::VARCHAR])::VARCHAR AS record FROM h WHERE metric = 'error' AND host = 3
+    WITH {_HOURLY} SELECT to_json([metric, window_start::VARCHAR, host::VARCHAR])::VARCHAR AS record FROM h
 """)
 def json_records(spark: SparkSession, d: str) -> DataFrame:
-    return query.as_json(_hourly(spark, d).where("metric = 'error' AND host = 3").select("metric", "window_start", "host"))
+    return query.as_json(_hourly(spark, d).select("metric", "window_start", "host"))
 
 
 # Requests
@@ -314,35 +324,33 @@ def shard_state_emission(spark: SparkSession, d: str) -> DataFrame:
 # Alignment
 
 
-def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int, int]:
-    mid, end = T0 + 15 * DAY, T0 + 30 * DAY
+def _halves(spark: SparkSession, d: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     e = samples(spark, d)
-    half = lambda a, b: e.where((F.col("ms") >= a) & (F.col("ms") < b)).groupBy("user_id", "event_type").agg(F.avg("value").alias("cpu"), F.max("value").alias("rss"), F.max("ms").alias("lastUpdateTime"))
-    return half(T0, mid), half(mid, end), mid - 5 * DAY, mid + 5 * DAY
+    half = lambda a, b: e.where((F.col("ms") >= a) & (F.col("ms") < b)).groupBy(*by).agg(F.avg("value").alias("cpu"), F.max("value").alias("rss"), F.max("ms").alias("lastUpdateTime"))
+    return half(T0, _MID), half(_MID, _END)
 
 
 _MID, _END = T0 + 15 * DAY, T0 + 30 * DAY
-_HALVES = f"""{E}, g AS (SELECT user_id, event_type, ms < {_MID} AS old, avg(value) AS cpu, max(value) AS rss, max(ms) AS t FROM e WHERE ms >= {T0} AND ms < {_END} GROUP BY ALL),
+_HALVES = f"""{E}, g AS (SELECT {{by}}, ms < {_MID} AS old, avg(value) AS cpu, max(value) AS rss, max(ms) AS t FROM e WHERE ms >= {T0} AND ms < {_END} GROUP BY ALL),
     l AS (SELECT * FROM g WHERE old), r AS (SELECT * FROM g WHERE NOT old)"""
 
 
 @registered(f"""
-    WITH {_HALVES}, lp AS (SELECT * FROM l WHERE event_type = 'purchase'), rp AS (SELECT * FROM r WHERE event_type = 'purchase' AND user_id % 7 <> 0)
-    SELECT coalesce(lp.user_id, rp.user_id) AS user_id, round(CASE WHEN lp.user_id IS NULL THEN rp.cpu WHEN rp.user_id IS NULL THEN lp.cpu ELSE ((lp.t - {_MID - 5 * DAY}) * lp.cpu + ({_MID + 5 * DAY} - lp.t) * rp.cpu) / {float(10 * DAY)} END, 4) AS cpu, lp.t AS "lastUpdateTime"
-    FROM lp FULL JOIN rp USING (user_id)
+    WITH {_HALVES.format(by="user_id")}
+    SELECT coalesce(l.user_id, r.user_id) AS user_id, round(CASE WHEN l.user_id IS NULL THEN r.cpu WHEN r.user_id IS NULL THEN l.cpu ELSE ((l.t - {_MID - 5 * DAY}) * l.cpu + ({_MID + 5 * DAY} - l.t) * r.cpu) / {float(10 * DAY)} END, 4) AS cpu, l.t AS "lastUpdateTime"
+    FROM l FULL JOIN r USING (user_id)
 """)
 def os_align_two_windows(spark: SparkSession, d: str) -> DataFrame:
-    left, right, a, b = _halves(spark, d)
-    left, right = left.where("event_type = 'purchase'"), right.where("event_type = 'purchase' AND user_id % 7 <> 0")
-    return rounded(align.aligned_os(left, right, "user_id", ["cpu"], a, b))
+    left, right = _halves(spark, d, ["user_id"])
+    return rounded(align.aligned_os(left, right, "user_id", ["cpu"], _MID - 5 * DAY, _MID + 5 * DAY))
 
 
 @registered(f"""
-    WITH {_HALVES}, u AS (SELECT event_type, cpu, CASE WHEN rss > 60 THEN rss END AS rss, (t - {_MID - 15 * DAY})::DOUBLE AS w FROM l UNION ALL SELECT event_type, cpu, CASE WHEN rss > 60 THEN rss END, ({_MID + 15 * DAY} - t)::DOUBLE FROM r)
+    WITH {_HALVES.format(by="user_id, event_type")}, u AS (SELECT event_type, cpu, CASE WHEN rss > 60 THEN rss END AS rss, (t - {_MID - 15 * DAY})::DOUBLE AS w FROM l UNION ALL SELECT event_type, cpu, CASE WHEN rss > 60 THEN rss END, ({_MID + 15 * DAY} - t)::DOUBLE FROM r)
     SELECT event_type, round(sum(cpu * w) / nullif(sum(w), 0), 4) AS cpu, round(sum(rss * w) / nullif(sum(w), 0), 4) AS rss FROM u GROUP BY 1
 """)
 def node_align_weighted(spark: SparkSession, d: str) -> DataFrame:
-    left, right, _, _ = _halves(spark, d)
+    left, right = _halves(spark, d, ["user_id", "event_type"])
     part = lambda df: df.select("event_type", "cpu", F.when(F.col("rss") > 60, F.col("rss")).alias("rss"), F.col("lastUpdateTime").alias("t"))
     return rounded(align.aligned_weighted(part(left), part(right), ["event_type"], ["cpu", "rss"], _MID - 15 * DAY, _MID + 15 * DAY))
 
@@ -637,6 +645,123 @@ def admission_control_parse(spark: SparkSession, d: str) -> DataFrame:
     return parsing.admission_rows(samples(spark, d).select(F.col("event_id").alias("epoch"), value.alias("value")))
 
 
+def _pairs_as_log(spark: SparkSession, d: str, path: str, start: str, finish: str) -> DataFrame:
+    """Two events in turn as the start and the finish of one thing: {r} is its id in ``path``; {c} are columns in the bodies."""
+    e = samples(spark, d).withColumn("r", F.floor(F.col("event_id") / 2))
+
+    def filled(text: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", text)
+        return F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+    first = F.col("event_id") % 2 == 0
+    key = F.when(first, filled(path + "/start")).otherwise(filled(path + "/finish"))
+    return e.select(F.col("event_id").alias("epoch"), key.alias("key"), F.when(first, filled(start)).otherwise(filled(finish)).alias("value"))
+
+
+_TURNS = f"{E}, a AS (SELECT event_id // 2 AS r, * FROM e WHERE event_id % 2 = 0), b AS (SELECT event_id // 2 AS r, * FROM e WHERE event_id % 2 = 1)"
+
+
+@registered(f"""
+    WITH {_TURNS}, c AS (SELECT 'search' AS operation, CASE WHEN b.value > 50 THEN '500' ELSE '200' END AS status, 'i' || a.host AS indices, b.event_type AS exception, b.ms - a.ms AS lat, trunc(a.value)::BIGINT AS docs FROM a JOIN b USING (r))
+    SELECT operation, status, indices, exception, sum(lat)::BIGINT AS lat_sum, round(avg(lat), 4) AS lat_avg, min(lat) AS lat_min, max(lat) AS lat_max,
+        sum(docs)::BIGINT AS docs_sum, round(avg(docs), 4) AS docs_avg, min(docs) AS docs_min, max(docs) AS docs_max, count(*) AS requests FROM c GROUP BY ALL
+""")
+def http_latency(spark: SparkSession, d: str) -> DataFrame:
+    body = samples(spark, d).select("event_id", F.when(F.col("value") > 50, "500").otherwise("200").alias("status"))
+    log = _pairs_as_log(spark, d, "threads/http/search/{r}", "current_time:{ms}\nStartTime:{ms}\nIndices:i{host}\nHTTP_RequestDocs:{value}", "current_time:{ms}\nFinishTime:{ms}\nException:{event_type}")
+    # request documents come whole, codes depend on the value
+    log = log.join(body, F.col("epoch") == F.col("event_id"))
+    value = F.regexp_replace(F.col("value"), r"(HTTP_RequestDocs:\d+)\.\d+", "$1")
+    log = log.select("epoch", "key", F.when(F.col("key").endswith("finish"), F.concat(value, F.lit("\nHTTPRespCode:"), F.col("status"))).otherwise(value).alias("value"))
+    return rounded(requests.http_latency(parsing.http_events(parsing.routed(log).where("family = 'http'"))))
+
+
+@registered(f"""
+    WITH {E} SELECT ['leader', 'follower'][event_id // 2 % 2 + 1] AS type, (event_id // 2)::VARCHAR AS rid, 'n' || host AS source, CASE WHEN event_id % 2 = 0 THEN 'm' END AS target,
+        CASE WHEN event_id % 2 = 0 THEN ms END AS st, CASE WHEN event_id % 2 = 1 THEN ms END AS et, CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END AS fault FROM e
+""")
+def fault_events_parse(spark: SparkSession, d: str) -> DataFrame:
+    logs = [_pairs_as_log(spark, d, f"fault_detection/{kind}/{{r}}", "StartTime:{ms}\nSourceNodeID:n{host}\nTargetNodeID:m", "FinishTime:{ms}\nSourceNodeID:n{host}\nfault:1").where(F.floor(F.col("epoch") / 2) % 2 == n) for n, kind in enumerate(("leader", "follower"))]
+    return parsing.fault_events(parsing.routed(logs[0].unionByName(logs[1])).where("family = 'fault_detection'"))
+
+
+@registered(f"""
+    WITH {E} SELECT (event_id // 2)::VARCHAR AS insert_order, CASE WHEN event_id % 2 = 0 THEN event_type END AS type, CASE WHEN event_id % 2 = 0 THEN 'URGENT' END AS priority,
+        CASE WHEN event_id % 2 = 0 THEN host::VARCHAR END AS queue_time, CASE WHEN event_id % 2 = 0 THEN ms END AS st, CASE WHEN event_id % 2 = 1 THEN ms END AS et FROM e
+""")
+def master_events_parse(spark: SparkSession, d: str) -> DataFrame:
+    log = _pairs_as_log(spark, d, "threads/7/master_task/{r}", "StartTime:{ms}\nMasterTaskType:{event_type}\nMasterTaskPriority:URGENT\nMasterTaskQueueTime:{host}", "FinishTime:{ms}")
+    return parsing.master_events(parsing.routed(log).where("family = 'master_task'"))
+
+
+def _lines(spark: SparkSession, d: str, key: str, *lines: str) -> DataFrame:
+    """Each event as an event of the log with a line for its time and the JSON ``lines``, in which <c> are columns."""
+    columns = []
+    for line in ('{"current_time":<ms>}', *lines):
+        parts = re.split(r"<(\w+)>", line)
+        columns.append(F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)]))
+    return samples(spark, d).select(F.col("event_id").alias("epoch"), F.lit(key).alias("key"), F.concat_ws("\n", *columns).alias("value"))
+
+
+@registered("SELECT event_id AS epoch, user_id AS retrying, event_id AS throttled FROM events")
+def throttling_parse(spark: SparkSession, d: str) -> DataFrame:
+    log = _lines(spark, d, "master_throttling_metrics", '{"Data_RetryingPendingTasksCount":<user_id>,"Master_ThrottledPendingTasksCount":<event_id>}')
+    return parsing.throttling_rows(parsing.routed(log).where("family = 'master_throttling'"))
+
+
+@registered("SELECT event_id AS epoch, unnest(['OldGen', 'Eden']) AS pool, unnest([event_type, 'young']) AS collector FROM events")
+def gc_info_parse(spark: SparkSession, d: str) -> DataFrame:
+    log = _lines(spark, d, "gc_info", '{"MemoryPool":"OldGen","CollectorName":"<event_type>"}', '{"MemoryPool":"Eden","CollectorName":"young"}')
+    return parsing.gc_rows(parsing.routed(log).where("family = 'gc_info'"))
+
+
+_TOPOLOGY = ('{"enable":{"rack":["<event_type>"]},"lastUpdatedTimestamp":<event_id>}', '{"ID":"n<host>","HOST_ADDRESS":"10.0.0.<host>","ROLE":"DATA","IS_MASTER_NODE":false}', '{"ID":"m","HOST_ADDRESS":"10.0.1.1","ROLE":"ELECTED_MASTER","IS_MASTER_NODE":true}')
+
+
+@registered("""
+    SELECT event_id AS epoch, unnest(['n' || (user_id % 8), 'm']) AS node, unnest(['10.0.0.' || (user_id % 8), '10.0.1.1']) AS host, unnest(['DATA', 'ELECTED_MASTER']) AS role, unnest([false, true]) AS is_master FROM events
+""")
+def cluster_topology_parse(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.cluster_nodes(parsing.routed(_lines(spark, d, "node_metrics", *_TOPOLOGY)).where("family = 'cluster_details'"))
+
+
+@registered("""SELECT event_id AS epoch, '{"rack":["' || event_type || '"]}' AS enable, NULL::VARCHAR AS disable, event_id AS updated FROM events""")
+def config_overrides_parse(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.config_overrides(parsing.routed(_lines(spark, d, "node_metrics", *_TOPOLOGY)).where("family = 'cluster_details'"))
+
+
+@registered("""
+    WITH f(key, family, dims, metrics) AS (VALUES
+        ('circuit_breaker', 'circuit_breaker', ['CBType'], ['CB_EstimatedSize', 'CB_TrippedEvents', 'CB_ConfiguredSize']), ('heap_metrics', 'heap_metrics', ['MemType'], ['GC_Collection_Event', 'GC_Collection_Time', 'Heap_Committed', 'Heap_Init', 'Heap_Max', 'Heap_Used']),
+        ('disk_metrics', 'disk_metrics', ['DiskName'], ['Disk_Utilization', 'Disk_WaitTime', 'Disk_ServiceRate']), ('tcp_metrics', 'tcp_metrics', ['DestAddr'], ['Net_TCP_NumFlows', 'Net_TCP_TxQ', 'Net_TCP_RxQ', 'Net_TCP_Lost', 'Net_TCP_SendCWND', 'Net_TCP_SSThresh']),
+        ('ip_metrics', 'ip_metrics', ['Direction'], ['Net_PacketRate4', 'Net_PacketDropRate4', 'Net_PacketRate6', 'Net_PacketDropRate6', 'Net_Throughput']),
+        ('thread_pool', 'thread_pool', ['ThreadPoolType'], ['ThreadPool_QueueSize', 'ThreadPool_RejectedReqs', 'ThreadPool_TotalThreads', 'ThreadPool_ActiveThreads', 'ThreadPool_QueueLatency', 'ThreadPool_QueueCapacity']),
+        ('pending_tasks/current/metadata', 'pending_tasks', ['Master_PendingTaskType'], ['Master_PendingQueueSize']), ('cache_config', 'cache_config', ['CacheType'], ['Cache_MaxSize']), ('election_term', 'election_term', []::VARCHAR[], ['Election_Term']),
+        ('cluster_applier_service', 'cluster_applier_service', [], ['ClusterApplierService_Latency', 'ClusterApplierService_Failure']), ('publish_cluster_state', 'publish_cluster_state', [], ['PublishClusterState_Latency', 'PublishClusterState_Failure']),
+        ('shard_indexing_pressure', 'shard_indexing_pressure', ['IndexingStage', 'IndexName', 'ShardID'], ['Indexing_Pressure_Rejection_Count', 'Indexing_Pressure_Current_Bytes', 'Indexing_Pressure_Current_Limits', 'Indexing_Pressure_Average_Window_Throughput', 'Indexing_Pressure_Last_Successful_Timestamp'])),
+    m AS (SELECT family, dims, unnest(metrics) AS metric, unnest(range(1, len(metrics) + 1)) AS k FROM f)
+    SELECT family, metric, CASE WHEN len(dims) > 0 THEN array_to_string(list_transform(dims, lambda x: x || '=' || event_type), ',') ELSE '' END AS dims, round(sum(value * k), 4) AS sum, round(avg(value * k), 4) AS avg, round(min(value * k), 4) AS min, round(max(value * k), 4) AS max
+    FROM events, m GROUP BY ALL
+""")
+def node_metric_families(spark: SparkSession, d: str) -> DataFrame:
+    """Quartets of all metrics of the families whose rows hold their dimensions: one line of each family for every event."""
+    out = None
+    for key, (dims, values) in parsing.NODE_FAMILIES.items():
+        named = [f'"{c}":"<event_type>"' for c in dims] + [f'"{v}":<v{k}>' for k, v in enumerate(values, 1)]
+        line = "{" + ",".join(named) + "}"
+        parts = re.split(r"<(\w+)>", line)
+        of = lambda p: F.col("event_type") if p == "event_type" else (F.col("value") * int(p[1:])).cast("string")
+        body = F.concat(F.lit('{"current_time":1}\n'), *[of(p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+        path = "pending_tasks/current/metadata" if key == "pending_tasks" else key
+        log = samples(spark, d).select(F.col("event_id").alias("epoch"), F.lit(path).alias("key"), body.alias("value"))
+        rows = parsing.node_metric_rows(parsing.routed(log).where("family = 'node_metric'"), list(dims), list(values))
+        label = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in dims]) if dims else F.lit("")
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).alias("value")) for v in values]))
+        part = aggregate.quartets(rows.select(label.alias("dims"), each.alias("m")).select(F.lit(key).alias("family"), "m.metric", "dims", "m.value"), ["family", "metric", "dims"], ["value"])
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
 # Root-cause analyses
 
 
@@ -739,10 +864,8 @@ def shard_request_cache(spark: SparkSession, d: str) -> DataFrame:
     SELECT host, CASE WHEN max(bad) = 1 THEN 'UNHEALTHY' ELSE 'HEALTHY' END AS state, coalesce(list_sort(list(resource) FILTER (bad = 1)), []) AS resources FROM s GROUP BY host
 """)
 def hot_node(spark: SparkSession, d: str) -> DataFrame:
-    e = samples(spark, d)
-    kinds = ("click", "error", "purchase", "signup", "view")
-    per = lambda kind: e.where(F.col("event_type") == kind).groupBy("host").agg(F.max("value").alias("v")).select("host", F.lit(kind).alias("resource"), rca.state(F.col("v") > 99).alias("state"))
-    return rca.hot_node([per(k) for k in kinds])
+    per = samples(spark, d).groupBy("host", F.col("event_type").alias("resource")).agg(rca.state(F.max("value") > 99).alias("state"))
+    return rca.hot_node([per])
 
 
 @registered(f"""
@@ -837,14 +960,14 @@ def temperature_shard_independent(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CLUSTER = """
-    v AS (SELECT l_returnflag AS dimension, s_nationkey AS node, sum(l_quantity) AS used FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 6 GROUP BY ALL),
+    v AS (SELECT l_returnflag AS dimension, s_nationkey AS node, sum(l_quantity) AS used FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
     m AS (SELECT dimension, sum(used) AS total, avg(used) AS mean FROM v GROUP BY 1),
     z AS (SELECT dimension, node, used, floor(used * 10 / total)::SMALLINT AS temperature, floor(mean * 10 / total)::SMALLINT AS average FROM v JOIN m USING (dimension))
 """
 
 
 def _cluster_rows(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").join(table(spark, d, "supplier").where("s_nationkey < 6"), F.col("s_suppkey") == F.col("l_suppkey"))
+    s = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     return s.groupBy(F.col("l_returnflag").alias("dimension"), F.col("s_nationkey").alias("node")).agg(F.sum("l_quantity").alias("used"))
 
 
@@ -899,12 +1022,12 @@ def old_gen_level_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""
-    WITH q AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 2 = 0 THEN 'search' ELSE 'write' END AS queue, 100 + c_nationkey * 100 AS capacity, c_acctbal / 100 AS p FROM customer WHERE c_mktsegment = 'BUILDING'),
+    WITH q AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 2 = 0 THEN 'search' ELSE 'write' END AS queue, 100 + c_nationkey * 100 AS capacity, c_acctbal / 100 AS p FROM customer),
     r AS (SELECT node, queue, capacity, greatest(least(capacity + 50, CASE WHEN queue = 'search' THEN 3000 ELSE 1000 END), CASE WHEN queue = 'search' THEN 500 ELSE 50 END) AS desired FROM q WHERE p <= 60)
     SELECT node, queue, capacity AS current, desired, 'ModifyQueueCapacity' AS name FROM r WHERE desired <> capacity
 """)
 def queue_health_actions(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 2 == 0, "search").otherwise("write").alias("queue"), (100 + F.col("c_nationkey") * 100).alias("capacity"), (F.col("c_acctbal") / 100).alias("old_gen_percent"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 2 == 0, "search").otherwise("write").alias("queue"), (100 + F.col("c_nationkey") * 100).alias("capacity"), (F.col("c_acctbal") / 100).alias("old_gen_percent"))
     return decisions.queue_health(c.select("node", "queue"), c.select("node", "queue", "capacity"), c.select("node", "old_gen_percent"))
 
 
@@ -934,6 +1057,25 @@ def jvm_generation_ratio(spark: SparkSession, d: str) -> DataFrame:
 _BAD = "SELECT count(*) FILTER (value > 50) AS unhealthy, count(*) AS total FROM (SELECT user_id % 8, avg(value) AS value FROM events GROUP BY 1)"
 
 
+@registered("""
+    WITH p AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 2 = 0 THEN 'field-data' ELSE 'shard-request' END AS cache, CASE WHEN p_size = 1 THEN -1 WHEN p_size = 2 THEN NULL ELSE p_size * 1000000 END::BIGINT AS size,
+            CASE WHEN p_size = 3 THEN NULL ELSE 2000000000 END::BIGINT AS heap, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN -2 WHEN 2 THEN -1 ELSE 1 END AS steps FROM part),
+    q AS (SELECT *, CASE cache WHEN 'field-data' THEN 0.1 ELSE 0.01 END::DOUBLE AS low, CASE cache WHEN 'field-data' THEN 0.4 ELSE 0.05 END::DOUBLE AS high, CASE cache WHEN 'field-data' THEN 0.015 ELSE 0.002 END::DOUBLE AS step, size IS NOT NULL AND heap IS NOT NULL AS known FROM p),
+    r AS (SELECT *, CASE WHEN NOT known THEN -1 WHEN size = -1 THEN heap ELSE size END::BIGINT AS current FROM q),
+    t AS (SELECT *, CASE WHEN NOT known THEN -1 ELSE greatest(least(CASE WHEN steps IS NULL THEN trunc(low * heap) ELSE current + steps * trunc(step * heap) END, trunc(high * heap)), trunc(low * heap)) END::BIGINT AS desired FROM r)
+    SELECT node, desired, current, known AND desired <> current AS can_update, CASE WHEN desired > current THEN 'INCREASES_PRESSURE' WHEN desired < current THEN 'DECREASES_PRESSURE' END AS impact,
+        '{"Id":"' || node || '","Ip":"10.0.0.1","resource":"' || cache || '","desiredCacheMaxSizeInBytes":' || desired || ',"currentCacheMaxSizeInBytes":' || current || ',"coolOffPeriodInMillis":300000,"canUpdate":' || (known AND desired <> current) || '}' AS summary FROM t
+""")
+def cache_size_actions(spark: SparkSession, d: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    nodes = table(spark, d, "part").select(
+        key.alias("id"), key.cast("string").alias("node"), F.lit("10.0.0.1").alias("host"), F.when(key % 2 == 0, "field-data").otherwise("shard-request").alias("cache"),
+        F.when(size == 1, -1).when(size > 2, size.cast("long") * 1_000_000).cast("long").alias("current_bytes"), F.when(size != 3, F.lit(2_000_000_000)).cast("long").alias("heap_bytes"),
+        F.when(key % 5 == 1, -2).when(key % 5 == 2, -1).when(key % 5 > 2, 1).alias("steps"),
+    )
+    return decisions.cache_size_actions(nodes).select(F.col("id").alias("node"), "desired", "current", "can_update", "impact", "summary")
+
+
 @registered(f"SELECT unhealthy, total, unhealthy * 100.0 / total >= 50 AS increase FROM ({_BAD})")
 def heap_size_increase(spark: SparkSession, d: str) -> DataFrame:
     n = samples(spark, d).groupBy("host").agg((F.avg("value") <= 50).alias("healthy"))
@@ -941,12 +1083,12 @@ def heap_size_increase(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(f"""
-    WITH g AS (SELECT unhealthy * 100.0 / total >= 50 AS grow FROM ({_BAD})), l AS (SELECT p_partkey AS node, p_size FROM part WHERE p_partkey <= 50)
+    WITH g AS (SELECT unhealthy * 100.0 / total >= 50 AS grow FROM ({_BAD})), l AS (SELECT p_partkey AS node, p_size FROM part)
     SELECT node::VARCHAR AS node, 'CacheClear' AS action FROM l WHERE p_size >= 45 UNION ALL SELECT 'all', 'HeapSizeIncreaseAction' FROM g WHERE grow UNION ALL SELECT node::VARCHAR, 'JvmGenAction' FROM l, g WHERE NOT grow AND p_size < 10
 """)
 def heap_health_actions(spark: SparkSession, d: str) -> DataFrame:
     sizing = decisions.heap_increase(samples(spark, d).groupBy("host").agg((F.avg("value") <= 50).alias("healthy")))
-    p = table(spark, d, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("node"), "p_size")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), "p_size")
     level = p.where("p_size >= 45").select(F.col("node").cast("string").alias("node"), F.lit("CacheClear").alias("action"))
     return decisions.heap_health(level, sizing, p.where("p_size < 10").select("node"))
 
@@ -1008,29 +1150,116 @@ def rca_json(spark: SparkSession, d: str) -> DataFrame:
     return results.latest_json(rows)
 
 
-# Order-dependent operators: no SQL; tests hold them against plain Python
+# Order-dependent operators: in SQL a recursion over the rows of each key, in order
 
 
-@registered()
+def _ordered(columns: str, source: str = "e") -> str:
+    return f"o AS (SELECT host, ms, event_id, {columns}, row_number() OVER {_W} AS n FROM {source})"
+
+
+@registered(f"""
+    WITH RECURSIVE {E}, {_ordered("value")}, s AS (
+        SELECT host, ms, event_id, n, [{{'at': ms, 'v': value}}] AS b FROM o WHERE n = 1
+        UNION ALL SELECT o.host, o.ms, o.event_id, o.n, list_filter(CASE WHEN len(b) > 0 AND o.ms - b[-1].at < {HOUR} THEN b[:-2] || [{{'at': b[-1].at, 'v': b[-1].v + value}}] ELSE b || [{{'at': o.ms, 'v': value}}] END,
+            lambda x: (o.ms - x.at) // 1000 <= {6 * HOUR // 1000}) FROM s JOIN o ON o.host = s.host AND o.n = s.n + 1)
+    SELECT host, ms, event_id, len(b) AS buckets, round(list_sum(list_transform(b, lambda x: x.v)), 4) AS total FROM s
+""")
 def bucketized_window(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stateful.bucketised(samples(spark, d), "host", "ms", "event_id", "value", 6 * HOUR, HOUR))
 
 
-@registered()
+def _alarms(issues: dict[str, str], day: int, week: int) -> str:
+    """CTEs o and s: after each row of e whether the alarm ``ok_<name>`` of each issue is healthy."""
+    recent = lambda items, window: f"list_filter({items}, lambda x: (ms - x) // 1000 <= {window // 1000})"
+    put = lambda items, bucket: f"CASE WHEN len({items}) > 0 AND ms - {items}[-1] < {bucket} THEN {items} ELSE {items} || [ms] END"
+    each = lambda text: ", ".join(text(x) for x in issues)
+    near = each(lambda x: recent(f"CASE WHEN bad_{x} THEN {put(f'near_{x}', 1_800_000)} ELSE near_{x} END", DAY) + f" AS near_{x}, far_{x}, ok_{x}, bad_{x}")
+    far = each(lambda x: f"near_{x}, " + recent(f"CASE WHEN bad_{x} AND len(near_{x}) >= {day} THEN {put(f'far_{x}', DAY)} ELSE far_{x} END", 4 * DAY) + f" AS far_{x}, ok_{x}")
+    healed = each(lambda x: f"near_{x}, far_{x}, CASE WHEN ok_{x} THEN len(far_{x}) < {week} ELSE len(near_{x}) = 0 AND len(far_{x}) = 0 END AS ok_{x}")
+    return f"""{_ordered(each(lambda x: f"{issues[x]} AS bad_{x}"))}, s AS (
+        SELECT DISTINCT host, 0::BIGINT AS ms, 0::BIGINT AS event_id, 0::BIGINT AS n, {each(lambda x: f"[]::BIGINT[] AS near_{x}, []::BIGINT[] AS far_{x}, true AS ok_{x}")} FROM o
+        UNION ALL SELECT host, ms, event_id, n, {healed} FROM (SELECT host, ms, event_id, n, {far} FROM (SELECT host, ms, event_id, n, {near} FROM (
+            SELECT o.*, {each(lambda x: f"near_{x}, far_{x}, ok_{x}")} FROM s JOIN o ON o.host = s.host AND o.n = s.n + 1))))"""
+
+
+@registered(f"WITH RECURSIVE {E}, {_alarms({'issue': 'value > 90'}, 5, 2)} SELECT host, ms, event_id, ok_issue AS healthy FROM s WHERE n > 0")
 def alarm_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     return stateful.alarms(samples(spark, d).withColumn("issue", F.col("value") > 90), "host", "ms", "event_id", "issue")
 
 
-@registered()
+@registered(f"""
+    WITH RECURSIVE {E}, {_alarms({"large": "coalesce(value > 60 AND event_type IN ('signup', 'purchase'), false)", "small": "coalesce(value > 80 AND event_type IN ('error', 'view'), false)"}, 5, 2)},
+    r AS (SELECT host, ms, event_id, NOT ok_large AS large, 1.5 + host AS now FROM s WHERE n > 0 AND NOT (ok_large AND ok_small)),
+    a AS (SELECT host, ms, event_id, CASE WHEN large THEN CASE WHEN now <= 5 THEN floor(now + 1) END ELSE CASE WHEN now >= 4 THEN floor(CASE WHEN now > 5 THEN 3.0 ELSE now - 1 END) END END::INTEGER AS ratio FROM r)
+    SELECT host, ms, event_id, ratio FROM a WHERE ratio >= 1
+""")
+def generation_tuning(spark: SparkSession, d: str) -> DataFrame:
+    signals = {"signup": "minor_gc_pause", "purchase": "old_gen_usage", "error": "full_gc_pause", "view": "promotion_rate"}
+    bad = F.col("value") > F.when(F.col("event_type").isin("signup", "purchase"), 60).otherwise(80)
+    of = F.create_map(*[F.lit(x) for pair in signals.items() for x in pair])[F.col("event_type")]
+    issues = samples(spark, d).select("host", "ms", "event_id", F.when(bad, of).alias("signal"), (F.col("host") + 1.5).alias("old"), F.lit(1.0).alias("young"))
+    return decisions.generation_tuning(issues, "host", "ms", "event_id")
+
+
+@registered(f"""
+    WITH RECURSIVE {E}, {_alarms({"issue": "value > 70"}, 8, 3)}, l AS (SELECT host, arg_max(ok_issue, n) AS ok FROM s GROUP BY 1)
+    SELECT count(*) FILTER (NOT ok) AS unhealthy, count(*) AS total, count(*) FILTER (NOT ok) * 100.0 / count(*) >= 50 AS increase FROM l
+""")
+def heap_size_policy(spark: SparkSession, d: str) -> DataFrame:
+    return decisions.heap_size_policy(samples(spark, d).withColumn("issue", F.col("value") > 70), "host", "ms", "event_id", "issue")
+
+
+@registered(f"""
+    WITH RECURSIVE {_HEAP}, {_ordered("old_gen AS now, full_gc AS gc", "h")}, s AS (
+        SELECT host, ms, event_id, n, now AS before, greatest(now, 0) AS top, greatest(now, 0) AS promoted, NULL::DOUBLE AS reclaimed FROM o WHERE n = 1
+        UNION ALL SELECT o.host, o.ms, o.event_id, o.n, now, CASE WHEN now < before AND gc > 0 AND promoted > 0 THEN now ELSE greatest(top, now) END,
+            CASE WHEN now >= before THEN promoted + now - before WHEN gc > 0 AND promoted > 0 THEN 0 ELSE promoted END,
+            CASE WHEN now < before AND gc > 0 AND promoted > 0 AND (greatest(top, now) - now) / promoted BETWEEN 0 AND 1 THEN (greatest(top, now) - now) / promoted END FROM s JOIN o ON o.host = s.host AND o.n = s.n + 1)
+    SELECT host, ms, event_id, round(promoted, 6) AS promoted, round(reclaimed, 6) AS reclaimed FROM s
+""")
 def gc_state_machine(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stateful.collection_cycles(_heap(spark, d), "host", "ms", "event_id", "old_gen", "full_gc"), 6)
 
 
-@registered()
+_DIMENSIONS = "[['HEAP', 'CPU', 'NETWORK'], ['HEAP'], ['HEAP'], ['HEAP'], ['ADMISSION_CONTROL'], []]"
+
+
+@registered(f"""
+    WITH RECURSIVE {E}, p AS (SELECT ms // {6 * HOUR} AS tick, event_id AS action_id, host, value > 50 AS up, {_DIMENSIONS}[event_id % 6 + 1] AS dims FROM e),
+    i AS (SELECT tick, action_id, host, up, unnest(dims) AS dim FROM p),
+    o AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY CASE WHEN up THEN 0 ELSE len(dims) END, CASE WHEN up THEN -len(dims) ELSE 0 END, action_id) AS n FROM p),
+    c AS (SELECT tick, host, dim, list(action_id) AS lowering FROM i WHERE NOT up GROUP BY ALL),
+    m AS (SELECT i.tick, i.action_id, list(c.lowering) AS against FROM i JOIN c USING (tick, host, dim) WHERE i.up GROUP BY ALL),
+    s AS (
+        SELECT DISTINCT tick, 0::BIGINT AS action_id, 0::BIGINT AS n, true AS kept, []::BIGINT[] AS dropped FROM o
+        UNION ALL SELECT tick, action_id, n, kept, CASE WHEN kept THEN dropped ELSE dropped || [action_id] END FROM (
+            SELECT o.tick, o.action_id, o.n, s.dropped, against IS NULL OR len(list_filter(against, lambda x: len(list_filter(x, lambda y: NOT list_contains(s.dropped, y))) > 0)) = 0 AS kept
+            FROM s JOIN o ON o.tick = s.tick AND o.n = s.n + 1 LEFT JOIN m ON m.tick = o.tick AND m.action_id = o.action_id))
+    SELECT tick, action_id FROM s WHERE kept AND n > 0
+""")
 def collator_greedy(spark: SparkSession, d: str) -> DataFrame:
     return stateful.collated(_proposals(spark, d))
 
 
+@registered(f"""
+    WITH RECURSIVE {E}, {_ordered(f"{_DIMENSIONS}[event_id % 6 + 1] AS dims, value > 50 AS up")},
+    s AS (
+        SELECT DISTINCT host, 0::BIGINT AS ms, 0::BIGINT AS event_id, 0::BIGINT AS n, true AS published, -10000000::BIGINT AS heap, -10000000::BIGINT AS cpu, -10000000::BIGINT AS network, -10000000::BIGINT AS admission FROM o
+        UNION ALL SELECT host, ms, event_id, n, published, CASE WHEN published AND 'HEAP' IN dims AND NOT up THEN ms ELSE heap END, CASE WHEN published AND 'CPU' IN dims AND up THEN ms ELSE cpu END,
+            CASE WHEN published AND 'NETWORK' IN dims AND NOT up THEN ms ELSE network END, CASE WHEN published AND 'ADMISSION_CONTROL' IN dims AND NOT up THEN ms ELSE admission END FROM (
+            SELECT o.*, heap, cpu, network, admission, NOT ('HEAP' IN dims AND up AND o.ms - heap <= 3600000 OR 'CPU' IN dims AND NOT up AND o.ms - cpu <= 3600000
+                OR 'NETWORK' IN dims AND up AND o.ms - network <= 3600000 OR 'ADMISSION_CONTROL' IN dims AND up AND o.ms - admission <= 3600000) AS published FROM s JOIN o ON o.host = s.host AND o.n = s.n + 1))
+    SELECT host AS cluster, ms, event_id AS action_id, published FROM s WHERE n > 0
+""")
+def publisher_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Actions that change several pressures, the CPU against the others, one sequence a host."""
+    name = F.element_at(F.array(*map(F.lit, decisions.PRESSURES)), (F.col("event_id") % len(decisions.PRESSURES) + 1).cast("int"))
+    e = samples(spark, d).select(F.col("host").alias("cluster"), "ms", F.col("event_id").alias("action_id"), decisions.impacts(name, F.col("host"), F.col("value") > 50).alias("impacts"))
+    other = lambda i: F.when(i == "INCREASES_PRESSURE", "DECREASES_PRESSURE").otherwise("INCREASES_PRESSURE")
+    mixed = F.transform("impacts", lambda i: F.struct(i["node"].alias("node"), i["dimension"].alias("dimension"), F.when(i["dimension"] == "CPU", other(i["impact"])).otherwise(i["impact"]).alias("impact")))
+    return stateful.published_actions(e.withColumn("impacts", mixed))
+
+
 def _proposals(spark: SparkSession, d: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, decisions.PRESSURES)), (F.col("event_id") % len(decisions.PRESSURES) + 1).cast("int"))
     e = samples(spark, d).select(F.floor(F.col("ms") / (6 * HOUR)).alias("tick"), F.col("event_id").alias("action_id"), "host", "value", name.alias("name"))
@@ -1045,6 +1274,16 @@ def action_order(spark: SparkSession, d: str) -> DataFrame:
     return decisions.sort_by_impact(_proposals(spark, d)).select("tick", "action_id", "position")
 
 
-@registered(f"SELECT count(*) AS metrics, count(DISTINCT u) AS units FROM (SELECT unnest({sorted(catalogue.UNITS)!r}) AS m, unnest({[catalogue.UNITS[m] for m in sorted(catalogue.UNITS)]!r}) AS u)")
+@registered("""
+    WITH e AS (SELECT event_type, count(*) AS samples FROM events GROUP BY 1), d(event_type, dimension) AS (
+        SELECT 'click', unnest(['IndexName', 'Operation', 'ShardRole', 'ShardID']) UNION ALL SELECT 'error', 'MemType' UNION ALL SELECT 'signup', 'DiskName'
+        UNION ALL SELECT 'purchase', unnest(['Operation', 'Exception', 'Indices', 'HTTPRespCode', 'ShardID', 'IndexName', 'ShardRole']) UNION ALL SELECT 'view', unnest(['IndexName', 'Operation', 'ShardRole', 'ShardID']))
+    SELECT dimension, count(*) AS metrics, sum(samples)::BIGINT AS samples FROM e JOIN d USING (event_type) GROUP BY 1
+""")
 def metric_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(catalogue.UNITS.items()), "m string, u string").agg(F.count("m").alias("metrics"), F.count_distinct("u").alias("units"))
+    """By how many metrics, and samples of them, each dimension of the catalogue is used."""
+    metric = F.create_map(*[F.lit(x) for pair in _OF_EVENTS.items() for x in pair])[F.col("event_type")]
+    held = samples(spark, d).groupBy(metric.alias("metric")).agg(F.count("*").alias("samples"))
+    dims = spark.createDataFrame([(m, list(x)) for m, x in catalogue.DIMENSIONS.items()], "metric string, dims array<string>")
+    each = held.join(F.broadcast(dims), "metric").select("metric", "samples", F.explode("dims").alias("dimension"))
+    return each.groupBy("dimension").agg(F.count("*").alias("metrics"), F.sum("samples").alias("samples"))

@@ -66,8 +66,11 @@ def test_range_validation(spark):
         query.check_range(0, 10_000, 5000, 10**9)
     assert query.check_range(11_000, 24_999, 10_000, 30_000) == (10_000, 20_000)
     rows = spark.createDataFrame([("m", w) for w in (0, 5000, 10_000)], "metric string, window_start long")
+    assert query.batch(rows, ["m"], 0, 20_000, 5000, limit=3).count() == 3
+    with pytest.raises(Exception, match="more than 2 values"):
+        query.batch(rows, ["m"], 0, 20_000, 5000, limit=2).collect()
     with pytest.raises(query.InvalidQuery):
-        query.batch(rows, ["m"], 0, 20_000, 5000, limit=2)
+        query.batch(rows, ["m"], 0, 20_000, 5000, limit=0)
 
 
 def test_catalogue():
