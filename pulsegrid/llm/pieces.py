@@ -6,7 +6,9 @@ concatenation of its marked words' segmentations.  A chunk is a run of markers
 and the characters up to the next marker.  The chunks of a batch of texts are
 found by vectorised scans and hashed, each distinct chunk is segmented once by
 the library, and ids come back by position.  Chunks seen before in the same task
-are kept in a table of bounded size.
+are kept in a table of bounded size, in two generations: when the young one is full
+it becomes the old one, and what is asked for again comes back from there, so the
+frequent chunks stay.  Equal hashes count only with a second, independent hash.
 
 A model whose pieces do cross markers, or which normalises text, is refused.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.words import hash_spans, slices, text_buffers
 
 MARK = "▁"
-#: Chunks that a task remembers, and the bytes of the longest chunk remembered.
+#: Chunks that a task remembers at most, and the bytes of the longest chunk remembered.
 REMEMBERED, LONGEST = 500_000, 64
 
 
@@ -56,7 +58,8 @@ class Chunks:
         self.packed = packed
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.anchor = self.processor.piece_to_id("a")
-        self.known: dict[int, tuple[bytes, int, bytes]] = {}
+        self.known: dict[int, tuple[bytes, int, bytes, int]] = {}
+        self.older: dict[int, tuple[bytes, int, bytes, int]] = {}
 
     def segment(self, chunks: list[bytes]) -> list[tuple[bytes, int, bytes]]:
         """(ids, number of ids, decoded bytes) of chunks, each given without its first marker."""
@@ -76,6 +79,17 @@ class Chunks:
         for i, j in slices(offsets):
             yield from self._slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
+    def _remembered(self, key: int, mark: int) -> tuple[bytes, int, bytes, int] | None:
+        row = self.known.get(key)
+        if row is None and (row := self.older.get(key)) is not None:
+            self._remember(key, row)
+        return row if row is not None and row[3] == mark else None
+
+    def _remember(self, key: int, row: tuple[bytes, int, bytes, int]) -> None:
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        self.known[key] = row
+
     def _slice(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[bytes, int, bytes]]:
         n = len(data)
         raw = data.tobytes()
@@ -96,19 +110,21 @@ class Chunks:
         first = head[starts]
         # behind the first marker: a leading chunk's is the dummy prefix, any other's its first space
         begins = np.where(first, starts, starts + 1)
-        hashes = hash_spans(data, begins, ends)
+        hashes, check = hash_spans(data, begins, ends), hash_spans(data, begins, ends, seed=1)
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        rows = [self.known.get(k) for k in keys]
+        if (odd := np.flatnonzero(check != check[at][back])).size:  # two chunks of one hash: each such place for itself
+            back[odd] = len(distinct) + np.arange(len(odd))
+            distinct, at = np.concatenate((distinct, hashes[odd])), np.concatenate((at, odd))
+        keys, marks = distinct.tolist(), check[at].tolist()
+        rows = [self._remembered(k, m) for k, m in zip(keys, marks, strict=True)]
         new = [k for k, r in enumerate(rows) if r is None]
         b, e = begins[at].tolist(), ends[at].tolist()
         for k in range(0, len(new), 50_000):
             group = new[k : k + 50_000]
             for x, r in zip(group, self.segment([raw[b[x] : e[x]] for x in group]), strict=True):
-                rows[x] = r
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.known.update((keys[x], rows[x]) for x in new[:REMEMBERED] if e[x] - b[x] <= LONGEST)
+                rows[x] = (*r, marks[x])
+                if e[x] - b[x] <= LONGEST:
+                    self._remember(keys[x], rows[x])
         ids = np.empty(len(rows), dtype=object)
         plain = np.empty(len(rows), dtype=object)
         ids[:], plain[:] = [r[0] for r in rows], [r[2] for r in rows]
