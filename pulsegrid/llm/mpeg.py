@@ -2,9 +2,10 @@
 
 ``parsed`` reads binary columns that hold MPEG audio.  Frame headers are found
 again after junk (a header counts where the next frame, the end or a trailing
-tag follows at its length, or where it is like the frame that ends before it), ID3v2, ID3v1 and Xing/Info tables are parsed, the
-CRC of protected frames is verified, and durations come from the frames that are
-there, not from a bitrate estimate.
+tag follows at its length, or where it is like the frame that ends before it), ID3v2
+and ID3v1 tags and Xing, Info and VBRI tables are parsed, the CRC of protected frames
+of all three layers is verified over the bits that it covers, and durations come from
+the frames that are there, not from a bitrate estimate.
 
 ``stored`` makes such a column from payloads: a silent layer III stream at 32 kHz
 whose frames carry the payload as ancillary data behind empty granules.
@@ -51,6 +52,7 @@ class Header:
     mono: bool
     size: int
     samples: int
+    bound: int
 
     @property
     def kind(self) -> tuple:
@@ -77,7 +79,9 @@ def header(four: bytes) -> Header | None:
     kbps, rate, pad = KBPS[version == "1", layer][rate_at], RATES[version][rate_of], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == "1" else 576
     size = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
-    return Header(version, layer, not four[1] & 1, kbps, rate, four[3] >> 6 == 3, size, samples)
+    mode = four[3] >> 6
+    bound = 4 * (four[3] >> 4 & 3) + 4 if mode == 1 else 32  # from there on both channels share their allocation
+    return Header(version, layer, not four[1] & 1, kbps, rate, mode == 3, size, samples, bound)
 
 
 @cache
@@ -92,13 +96,51 @@ def _crc_table() -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=4096)
-def crc16(covered: bytes) -> int:
+def crc16(covered: bytes, bits: int | None = None) -> int:
+    """The checksum of the first ``bits`` of ``covered``, of all of it by default."""
     table, value = _crc_table(), 0xFFFF
-    for b in covered:
+    whole, rest = divmod(8 * len(covered) if bits is None else bits, 8)
+    for b in covered[:whole]:
         value = (value << 8 & 0xFF00) ^ table[value >> 8 ^ b]
+    for k in range(rest):
+        top = value >> 15 ^ covered[whole] >> 7 - k & 1
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
     return value
 
 
+# Fixed values of layer II: bits of the allocation of each run of subbands.
+_ALLOCATION_2 = {"full": ((11, 4), (12, 3), (7, 2)), "low": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
+def _allocation_bits(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a layer I or II frame."""
+    if h.layer == 1:
+        return [4] * 32
+    each = h.kbps // (1 if h.mono else 2)
+    if h.version != "1":
+        kind, bands = "lsf", 30
+    elif each < 56:
+        kind, bands = "low", 12 if h.rate == 32000 else 8
+    else:
+        kind, bands = "full", 30 if each >= 96 and h.rate != 48000 else 27
+    return [bits for n, bits in _ALLOCATION_2[kind] for _ in range(n)][:bands]
+
+
+def covered_bits(h: Header, body: bytes) -> int:
+    """How many bits of ``body``, what follows the checksum, it covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    value, total, at, used = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 512, 0, 0
+    for band, bits in enumerate(_allocation_bits(h)):
+        shared = band >= h.bound
+        for _ in range(1 if shared or channels == 1 else 2):
+            code = value >> (total - at - bits) & ((1 << bits) - 1)
+            used += (channels if shared else 1) * (code > 0)
+            at += bits
+    return at + (2 * used if h.layer == 2 else 0)  # layer II: and how scale factors are shared, for what is allocated
+
+
 def _synchsafe(four: bytes) -> int:
     return (four[0] & 127) << 21 | (four[1] & 127) << 14 | (four[2] & 127) << 7 | four[3] & 127
 
@@ -114,7 +156,7 @@ class Stream:
     crc_seen: int = 0
     junk: int = 0
     table: dict[str, int] | None = None
-    toc: bytes = b""
+    toc: list[int] = field(default_factory=list)
 
     @property
     def seconds(self) -> float:
@@ -128,18 +170,53 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     """The length of the ID3v2 tag at ``at``, 0 if there is none."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10:
         return 0
-    major, size = data[at + 3], _synchsafe(data[at + 6 : at + 10])
-    p, end = at + 10, min(at + 10 + size, len(data))
-    while p + 10 <= end and data[p] != 0:
-        name = data[p : p + 4].decode("latin-1")
-        n = _synchsafe(data[p + 4 : p + 8]) if major >= 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        body = data[p + 10 : min(p + 10 + n, end)]
-        if name[:1] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+    major, flags, size = data[at + 3], data[at + 5], _synchsafe(data[at + 6 : at + 10])
+    body = data[at + 10 : at + 10 + size]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    p = 0
+    if flags & 0x40 and len(body) >= 4:  # an extended header: its size counts itself from version 4 on
+        p = _synchsafe(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4], "big")
+    wide = 3 if major == 2 else 4
+    head = 6 if major == 2 else 10
+    while p + head <= len(body) and body[p] != 0:
+        name = body[p : p + wide].decode("latin-1")
+        length = body[p + wide : p + 2 * wide]
+        n = _synchsafe(length) if major >= 4 else int.from_bytes(length, "big")
+        part = body[p + head : p + head + n]
+        if major >= 4 and (flags & 0x80 or body[p + 9] & 2):
+            part = part.replace(b"\xff\0", b"\xff")
+        if major >= 4 and body[p + 9] & 1:
+            part = part[4:]  # the length before unsynchronisation
+        if name[:1] == "T" and part:
+            text = part[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(part[0], "utf-8"), "replace")
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
             tags[key] = value.rstrip("\0")
-        p += 10 + n
-    return 10 + size
+        p += head + n
+    return 10 + size + (10 if flags & 0x10 and major >= 4 else 0)
+
+
+def _vbr_table(data: bytes, at: int, h: Header) -> tuple[dict[str, int], list[int]] | None:
+    """The variable-bitrate table that the frame at ``at`` holds, and its offsets; None for a frame of sound."""
+    p = at + 4 + 2 * h.protected + h.side
+    number = lambda a, n=4: int.from_bytes(data[a : a + n], "big")
+    if (mark := data[p : p + 4]) in (b"Xing", b"Info"):
+        flags, table = number(p + 4), {"vbr": int(mark == b"Xing")}
+        p += 8
+        for bit, key in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                table[key] = number(p)
+                p += 4
+        return table, list(data[p : p + 100]) if flags & 4 else []
+    if data[at + 36 : at + 40] == b"VBRI":
+        p = at + 36
+        entries, scale, wide = number(p + 18, 2), number(p + 20, 2), number(p + 22, 2)
+        toc, seen = [], 0
+        for k in range(entries if 0 < wide <= 4 else 0):
+            seen += number(p + 26 + k * wide, wide) * scale
+            toc.append(seen)
+        return {"vbr": 1, "bytes": number(p + 10), "frames": number(p + 14)}, toc
+    return None
 
 
 def parse(data: bytes) -> Stream:
@@ -168,24 +245,13 @@ def parse(data: bytes) -> Stream:
             out.junk += nxt - at
             at = nxt
             continue
-        body = at + 4
         if h.protected:
             out.crc_seen += 1
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
-            if h.layer == 3 and crc16(covered) != int.from_bytes(data[at + 4 : at + 6], "big"):
-                out.crc_wrong += 1
-            body += 2
-        mark = data[body + h.side : body + h.side + 4]
-        if not out.offsets and out.table is None and mark in (b"Xing", b"Info"):
-            p = body + h.side + 8
-            flags = int.from_bytes(data[p - 4 : p], "big")
-            out.table = {"vbr": int(mark == b"Xing")}
-            for bit, key in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    out.table[key] = int.from_bytes(data[p : p + 4], "big")
-                    p += 4
-            if flags & 4:
-                out.toc = data[p : p + 100]
+            body = data[at + 6 : after]
+            bits = covered_bits(h, body)
+            out.crc_wrong += crc16(data[at + 2 : at + 4] + body[: (bits + 7) // 8], 16 + bits) != int.from_bytes(data[at + 4 : at + 6], "big")
+        if not out.offsets and out.table is None and (held := _vbr_table(data, at, h)) is not None:
+            out.table, out.toc = held
         else:
             out.offsets.append(at)
             out.headers.append(h)
@@ -279,6 +345,20 @@ def stored(docs: DataFrame) -> DataFrame:
     return _map(rows, docs.schema["doc_id"].dataType.simpleString(), [("media", pa.binary(), "binary")], lambda text: (write(*padded(text)),))
 
 
+SEEK = pa.list_(pa.struct([("sample", pa.int64()), ("offset", pa.int64())]))
+SEEK_SQL = "array<struct<sample:long,offset:long>>"
+
+
+def seek_points(s: Stream) -> tuple[int, list[dict[str, int]]]:
+    """(samples in all, (first sample, byte offset) of every ``SEEK_EVERY``-th frame)."""
+    samples, seek = 0, []
+    for i, (a, h) in enumerate(zip(s.offsets, s.headers, strict=True)):
+        if i % SEEK_EVERY == 0:
+            seek.append({"sample": samples, "offset": a})
+        samples += h.samples
+    return samples, seek
+
+
 def parsed(media: DataFrame) -> DataFrame:
     """One row of facts for each row of ``media`` (doc_id, media); null media is empty.
 
@@ -287,26 +367,21 @@ def parsed(media: DataFrame) -> DataFrame:
 
     def facts(data: bytes | None) -> tuple:
         s = parse(data or b"")
-        samples, seek = 0, []
-        for i, (a, h) in enumerate(zip(s.offsets, s.headers, strict=True)):
-            if i % SEEK_EVERY == 0:
-                seek.append({"sample": samples, "offset": a})
-            samples += h.samples
-        return len(s.headers), samples, s.seconds, s.crc_seen, s.crc_wrong, s.junk, s.tags, seek
-
-    seek = pa.list_(pa.struct([("sample", pa.int64()), ("offset", pa.int64())]))
+        samples, seek = seek_points(s)
+        return len(s.headers), samples, s.seconds, s.crc_seen, s.crc_wrong, s.junk, list(s.tags.items()), seek
+
     fields = [
         ("frames", pa.int64(), "long"), ("samples", pa.int64(), "long"), ("seconds", pa.float64(), "double"), ("crc_seen", pa.int64(), "long"), ("crc_wrong", pa.int64(), "long"),
-        ("junk_bytes", pa.int64(), "long"), ("tags", pa.map_(pa.string(), pa.string()), "map<string,string>"), ("seek", seek, "array<struct<sample:long,offset:long>>"),
+        ("junk_bytes", pa.int64(), "long"), ("tags", pa.map_(pa.string(), pa.string()), "map<string,string>"), ("seek", SEEK, SEEK_SQL),
     ]
-    facts_of = lambda data: (*(r := facts(data))[:6], list(r[6].items()), r[7])
-    return _map(media.select("doc_id", "media"), media.schema["doc_id"].dataType.simpleString(), fields, facts_of)
+    return _map(media.select("doc_id", "media"), media.schema["doc_id"].dataType.simpleString(), fields, facts)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Stores every text as audio in the shared folder, reads it back and digests it.
 
     One row for each row of ``docs``; null and empty texts are 64 zero bytes.
+    ``samples`` over ``sample_rate`` is the exact duration; ``seek`` as in :func:`parsed`.
     """
     path = new_folder(docs.sparkSession, "mpeg")
     media = stored(docs)
@@ -315,11 +390,16 @@ def round_trip(docs: DataFrame) -> DataFrame:
     def digest(data: bytes) -> tuple:
         s = parse(data)
         payload, unpadded = payload_of(data, s)
-        return unpadded, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(s)
+        samples, seek = seek_points(s)
+        return (
+            unpadded, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAYLOAD_UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(s),
+            len(s.headers), samples, s.headers[0].rate, seek,
+        )
 
     fields = [
         ("n_bytes", pa.int64(), "long"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"),
         ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"),
+        ("frames", pa.int64(), "long"), ("samples", pa.int64(), "long"), ("sample_rate", pa.int64(), "long"), ("seek", SEEK, SEEK_SQL),
     ]
     read = docs.sparkSession.read.schema(media.schema).parquet(path)
     return _map(read, media.schema["doc_id"].dataType.simpleString(), fields, digest)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -248,6 +249,91 @@ def test_mpeg_round_trip(spark):
     assert mpeg.round_trip(docs(spark, [])).count() == 0
 
 
+def plain_frames(data):
+    """(offset, length) of the frames of a 32 kHz mono layer III stream between its tags, by a plain walk."""
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    at = 10 + (data[8] << 7 | data[9])
+    out = []
+    while data[at : at + 3] != b"TAG":
+        assert data[at] == 0xFF and data[at + 1] == 0xFA
+        size = 144 * 1000 * kbps[data[at + 2] >> 4] // 32000
+        out.append((at, size))
+        at += size
+    assert len(data) == at + 128
+    return out[1:]  # the first holds the table
+
+
+def test_mpeg_columns_by_a_plain_walk(spark):
+    """Frames, durations, seek offsets and the payload of the stored media, and the row's columns, from a parser of their own."""
+    rows = [(i, t, s) for i, t, s in AWKWARD if i not in (8, None)]
+    media = {r["doc_id"]: r["media"] for r in mpeg.stored(docs(spark, rows)).collect()}
+    for r in mpeg.round_trip(docs(spark, rows)).collect():
+        data = bytes(media[r["doc_id"]])
+        frames = plain_frames(data)
+        payload = b"".join(data[a + 23 : a + n] for a, n in frames)[: r["payload_bytes"]]
+        assert hashlib.sha256(payload).hexdigest() == r["payload_sha256"]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+        assert (r["frames"], r["samples"], r["sample_rate"]) == (len(frames), 1152 * len(frames), 32000)
+        assert [(x["sample"], x["offset"]) for x in r["seek"]] == [(1152 * k, a) for k, (a, _) in enumerate(frames) if k % 64 == 0]
+        assert f"frames={len(frames)}; seconds={len(frames) * 0.036:.3f}" in r["feature"] and f"crc={len(frames) + 1}/{len(frames) + 1}" in r["feature"]
+
+
+def crc_plain(bits):
+    value = 0xFFFF
+    for b in bits:
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if (value >> 15) ^ b else 0)
+    return value
+
+
+def frame_of_layer(layer, kbps_at, allocation, channels=1):
+    """A protected MPEG-1 frame at 44.1 kHz whose allocation is given as (bits, code) for each subband and channel."""
+    bits = [int(x) for n, code in allocation for x in f"{code:0{n}b}"]
+    used = sum(code > 0 for _, code in allocation)
+    bits += [1, 0] * used if layer == 2 else []
+    four = bytes((0xFF, 0xF0 | 8 | (4 - layer) << 1, kbps_at << 4, (3 if channels == 1 else 0) << 6))
+    h = mpeg.header(four)
+    head = [int(x) for b in four[2:] for x in f"{b:08b}"]
+    body = int("".join(map(str, bits)).ljust(8 * -(-len(bits) // 8), "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return (four + crc_plain(head + bits).to_bytes(2, "big") + body).ljust(h.size, b"\x55")
+
+
+@pytest.mark.parametrize("layer, kbps_at, widths, channels", [(1, 6, [4] * 32, 1), (1, 6, [4] * 64, 2), (2, 4, [4] * 11 + [3] * 12 + [2] * 4, 1), (2, 10, [4] * 22 + [3] * 24 + [2] * 14, 2), (2, 2, [4] * 2 + [3] * 6, 1)])
+def test_mpeg_checksums_of_layers_one_and_two(layer, kbps_at, widths, channels):
+    rng = random.Random(kbps_at)
+    good = b"".join(frame_of_layer(layer, kbps_at, [(n, rng.randrange(2 ** n)) for n in widths], channels) for _ in range(4))
+    s = mpeg.parse(good)
+    assert (len(s.headers), s.crc_seen, s.crc_wrong, s.junk) == (4, 4, 0, 0)
+    bad = bytearray(good)
+    bad[s.offsets[2] + 8] ^= 0x10  # inside the allocation
+    assert mpeg.parse(bytes(bad)).crc_wrong == 1
+    other = bytearray(good)
+    other[s.offsets[2] + s.headers[2].size - 1] ^= 1  # behind what the checksum covers
+    assert mpeg.parse(bytes(other)).crc_wrong == 0
+
+
+def test_mpeg_tags_and_tables():
+    frame = mpeg.write(b"\0" * 64, 64)
+    start = 10 + (frame[8] << 7 | frame[9])
+    sound = frame[start:-128]
+    size = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+    # version 3: unsynchronised, with an extended header of 6 bytes
+    text = b"TIT2" + (5).to_bytes(4, "big") + b"\0\0" + b"\0\xffabc"
+    body = (6).to_bytes(4, "big") + bytes(6) + text.replace(b"\xff", b"\xff\0")
+    s = mpeg.parse(b"ID3\3\0\xc0" + size(len(body)) + body + sound)
+    assert s.tags["TIT2"] == "\xffabc" and s.junk == 0
+    # version 4: an extended header that counts itself, and a footer
+    text = b"TIT2" + size(4) + b"\0\0" + b"\3abc"
+    body = size(6) + b"\1\0" + text
+    s = mpeg.parse(b"ID3\4\0\x50" + size(len(body)) + body + b"3DI\4\0\x50" + size(len(body)) + sound)
+    assert s.tags["TIT2"] == "abc" and s.junk == 0
+    # a VBRI table in the first frame
+    first = bytearray(sound[: mpeg.header(sound[:4]).size])
+    first[36 : 36 + 26 + 4] = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (5000).to_bytes(4, "big") + (7).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (10).to_bytes(2, "big") + (20).to_bytes(2, "big")
+    first[23 : 27] = bytes(4)
+    s = mpeg.parse(bytes(first) + sound[len(first) :])
+    assert s.table == {"vbr": 1, "bytes": 5000, "frames": 7} and s.toc == [30, 90]
+
+
 def test_mpeg_parses_damaged_streams(spark):
     whole = mpeg.write(bytes(range(256)) * 40, 10240)
     clean = mpeg.parse(whole)
@@ -320,6 +406,22 @@ def test_pieces(spark):
     assert pieces.encoded(docs(spark, []), MODEL).count() == 0
 
 
+def test_pieces_forget_and_collide(monkeypatch):
+    """With a table of few chunks, and hashes of which all are equal, ids are still those of the library."""
+    model = pieces.checked_model(MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["one two three two one", "two one  four", "", "three one two"]
+    want = [(",".join(map(str, sp.encode(t))).encode(), sp.decode(sp.encode(t)).encode()) for t in texts]
+    monkeypatch.setattr(pieces, "REMEMBERED", 4)
+    chunks = pieces.Chunks(model)
+    for _ in range(3):
+        assert [(ids, text) for ids, _, text in chunks.encoded(pa.array(texts))] == want
+    assert len(chunks.known) + len(chunks.older) <= 4
+    real = pieces.hash_spans
+    monkeypatch.setattr(pieces, "hash_spans", lambda d, a, b, seed=0: real(d, a, b, seed) if seed else np.zeros(len(a), np.uint64))
+    assert [(ids, text) for ids, _, text in pieces.Chunks(model).encoded(pa.array(texts))] == want
+
+
 def test_separators(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = AWKWARD + [(100 + i, "some text " * (i % 7), "s") for i in range(40)]
