@@ -2,9 +2,10 @@
 
 A record block longer than a segment is written as a first record and
 continuation records.  The reader walks each archive by Content-Length; whole
-records are decoded where they are read, and only segments are shuffled: grouped
-by the identifier of their origin, ordered by segment number, held against the
-total length, joined, and then freed of chunked transfer framing.
+records are decoded where they are read, and travel on as facts without their
+payload.  Segments are grouped by the identifier of their origin, ordered by segment
+number, held against the total length, joined, and then freed of chunked transfer
+framing.  A revisit is held against the response that it refers to.
 
 Spark's own writer and reader move the archives, so any file system that Spark
 knows will do.  A record is at most a segment and a header long and an archive
@@ -220,7 +221,19 @@ def read(spark, path: str) -> DataFrame:
 
     out = grouped.mapInArrow(joined, "origin string, payload_bytes long, payload_digest string, record_type string, target string, segments int")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:([^#>]*)', 1) AS BIGINT)")
-    return out.select(number("origin").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("target").alias("refers_to"), "segments")
+    facts = saved(out.select(number("origin").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("target").alias("refers_to"), "segments"), "warc-read")
+    return _held_against_responses(facts)
+
+
+def _held_against_responses(facts: DataFrame) -> DataFrame:
+    """``facts``; fails where the response that a revisit refers to is missing, or has another digest or length."""
+    same = F.struct("payload_bytes", "payload_digest")
+    # rows that repeat a page_id may be responses of different payloads
+    responses = facts.where("record_type = 'response'").groupBy(F.col("page_id").alias("_of")).agg(F.collect_set(same).alias("_payloads"))
+    rows = facts.join(responses, F.col("refers_to") == F.col("_of"), "left")
+    wrong = F.col("refers_to").isNotNull() & ~F.coalesce(F.array_contains("_payloads", same), F.lit(False))
+    message = F.concat(F.lit("revisit without its response: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    return rows.withColumn("payload_bytes", F.when(wrong, F.raise_error(message).cast("long")).otherwise(F.col("payload_bytes"))).select(facts.columns)
 
 
 def assembled(segments: list[dict], total: int | None) -> bytes:
