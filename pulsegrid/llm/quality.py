@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from pulsegrid.llm.storage import saved
 from pulsegrid.llm.words import hash_spans, word_slices
@@ -234,11 +235,26 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` predicted to be of quality 1, columns unchanged."""
-    model = fit(saved(document_statistics(docs), "quality-statistics"), labels)
-    at = docs.columns.index("text")
+    columns, x = docs.columns, "x"
+    at = columns.index("text")
+    while x in columns:
+        x += "_"
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stats = statistics(b.column(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(stats.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*columns, x])
+
+    # the rows with their statistics, which are made once
+    schema = StructType([*docs.schema.fields, StructField(x, ArrayType(DoubleType()))])
+    rows = saved(docs.mapInArrow(compute, schema), "quality-statistics")
+    model = fit(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(x).alias("x")), labels)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(model.scores(statistics(b.column(at))) >= THRESHOLD))
+            stats = b.column(b.num_columns - 1).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            ok = b.filter(pa.array(model.scores(stats) >= THRESHOLD))
+            yield pa.RecordBatch.from_arrays(ok.columns[:-1], columns)
 
-    return docs.mapInArrow(select, docs.schema)
+    return rows.mapInArrow(select, docs.schema)
