@@ -104,7 +104,7 @@ def settle(keys: np.ndarray, sizes: np.ndarray, p: np.ndarray, salt: int) -> np.
     return p
 
 
-CARRIED = "key long, doc_id string, turn int, source_size long, target double, size long, whole long, p double, source_id long, block long"
+CARRIED = "key long, doc_id string, row long, turn int, source_size long, target double, size long, whole long, p double, source_id long, block long"
 
 
 def _settled(pdf: pd.DataFrame, salt: int, last: bool) -> pd.DataFrame:
@@ -139,24 +139,25 @@ def rounded(rows: DataFrame, block: int = BLOCK, fan_in: int = FAN_IN) -> DataFr
         salt += 1
 
 
-def _with_turn(docs: DataFrame, size: Column) -> DataFrame:
-    """``_turn`` tells rows with the same doc_id apart, the same on every run."""
-    order = [F.col("source").asc_nulls_last(), size]
-    return docs.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+def _numbered(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of each row with ``_row``, a hash of its doc_id, source and text, and ``_turn``, which tells rows apart that are equal in all three."""
+    same = [F.col("doc_id"), F.col("source"), F.col("text").cast("string")]
+    rows = docs.select(*columns, F.xxhash64(*[x for c in same for x in (c, c.isNull())]).alias("_row"))
+    return rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """(doc_id, turn, size, source_size, target, copies, taken) for each row of
+    """(doc_id, row, turn, size, source_size, target, copies, taken) for each row of
     ``docs`` (doc_id, text, source and any other columns, which are ignored).
 
     * a null or empty text has size 0 and is taken 0 times;
     * a null source is a source like any other, last in order;
-    * rows that repeat a doc_id are kept, told apart by ``turn`` and rounded apart;
+    * rows that repeat a doc_id are kept, told apart by ``row``, a hash of doc_id, source
+      and text, and rounded apart; equal ones are told apart by ``turn``;
     * a source whose texts are all empty has target 0;
     * an empty table gives no rows.
     """
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = saved(_with_turn(sizes, F.col("size")), "mix-sizes")
+    sizes = saved(_numbered(docs, "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, most).select(
         F.col("source").alias("_source"), "source_size", "target", F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).alias("source_id")
     )
@@ -167,22 +168,21 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOS
     wanted = wanted.withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + 1e-9))
     wanted = wanted.withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole"))).otherwise(F.lit(0.0)))
     wanted = wanted.select(
-        F.xxhash64("doc_id", "_turn").alias("key"), F.col("doc_id").cast("string").alias("doc_id"), F.col("_turn").alias("turn"),
+        F.xxhash64("_row", "_turn").alias("key"), F.col("doc_id").cast("string").alias("doc_id"), F.col("_row").alias("row"), F.col("_turn").alias("turn"),
         "source_size", "target", "size", "whole", "p", "source_id",
     )
     copies = F.least(F.lit(most).cast("long"), F.col("whole") + F.col("p").cast("long"))
     out = rounded(wanted).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")))
     doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return out.select(doc_id, "turn", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(doc_id, "row", "turn", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def taken_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, its columns unchanged."""
     columns = docs.columns
-    wanted = mixed(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("turn").alias("_of"), "copies")
+    wanted = mixed(docs, weights, most).where("copies > 0").select(F.col("row").alias("_of"), F.col("turn").alias("_nth"), "copies")
     # columns that go through have names of their own, whatever the input calls them
     fixed = [f"c{i}" for i in range(len(columns))]
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, fixed, strict=True)])
-    rows = _with_turn(rows, F.col("size"))
-    joined = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["_turn"] == wanted["_of"]))
+    rows = _numbered(docs, *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, fixed, strict=True)])
+    joined = rows.join(wanted, (rows["_row"] == wanted["_of"]) & (rows["_turn"] == wanted["_nth"]))
     return joined.select(*fixed, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*fixed).toDF(*columns)

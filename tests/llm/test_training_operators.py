@@ -362,6 +362,22 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_of_repeated_and_null_ids(spark):
+    pages = [(1, "u", "a"), (1, "v", "a"), (1, "w", "b"), (None, None, "a"), (None, None, "c"), (9, "x" * 20_000, "d" * 40_000)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    want = [(1, "response", None, "a"), (1, "response", None, "a"), (1, "response", None, "b"), (None, "revisit", 1, "a"), (None, "response", None, "c"), (9, "response", None, "d" * 40_000)]
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in got) == Counter((p, k, f, warc.digest(h.encode())) for p, k, f, h in want)
+
+
+def test_warc_holds_revisits_against_responses(spark):
+    facts = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int"
+    response, revisit = (2, 1, "X", "response", None, 1), (1, 1, "X", "revisit", 2, 1)
+    assert warc._held_against_responses(spark.createDataFrame([response, revisit], facts)).count() == 2
+    for rows in ([revisit], [response, (1, 1, "Y", "revisit", 2, 1)], [response, (1, 7, "X", "revisit", 2, 1)]):
+        with pytest.raises(Exception, match="revisit without its response"):
+            warc._held_against_responses(spark.createDataFrame(rows, facts)).collect()
+
+
 def test_warc_refuses_damage():
     with pytest.raises(ValueError):
         warc.assembled([{"segment": 1, "block": b"a"}, {"segment": 3, "block": b"b"}], 2)
@@ -393,6 +409,33 @@ def test_quality(spark):
     assert {r["score"] for r in quality.scored(frame, marks.limit(0)).collect()} == {0.5}
 
 
+def discriminant_brute(train, x, pooling=quality.POOLING, ridge=quality.RIDGE):
+    """The probability of class 1 from densities written out: no moments, no Cholesky factors."""
+    rows = np.array([v for v, _ in train])
+    centre, scale = rows.mean(0), np.sqrt(np.maximum(rows.var(0), 1e-6))
+    z, y = (rows - centre) / scale, np.array([c for _, c in train])
+    at = np.clip((x - centre) / scale, -quality.LIMIT, quality.LIMIT)
+    cov = lambda v: np.atleast_2d(np.cov(v.T, bias=True))
+    logs = []
+    for c in (0, 1):
+        s = (1 - ridge) * ((1 - pooling) * cov(z[y == c]) + pooling * cov(z)) + ridge * np.eye(z.shape[1])
+        d = at - z[y == c].mean(0)
+        logs.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+
+
+def test_quality_scores(spark):
+    """Equal to densities by their formula, over labels with ties and repeated rows."""
+    rng = random.Random(14)
+    rows = [(i, " ".join("".join(rng.choices("abcdeXYZ.,12", k=rng.randrange(1, 12))) for _ in range(rng.randrange(3, 60))), "s") for i in range(200)]
+    labels = [(i, i % 3 > 0) for i in range(0, 200, 2)] + [(4, 1), (4, 1), (6, 0), (8, 1), (8, 0)]
+    frame = spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs(spark, rows), frame).collect()}
+    x = quality.statistics(pa.array([t for _, t, _ in rows]))
+    train = [(x[i], int(y)) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert np.allclose([got[i] for i in range(200)], discriminant_brute(train, x), atol=1e-6)
+
+
 def test_pieces(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(5)
@@ -491,6 +534,38 @@ def test_mix(spark):
     assert mixing.mixed(docs(spark, [])).count() == 0
 
 
+def test_mix_of_rows_equal_in_doc_id_source_and_size(spark):
+    """The texts that the mix takes are those that it counts, also where only the text tells rows apart, and on every run."""
+    rows = [(1, f"{c} {c}{c}", "a") for c in "abcdefgh"] + [(1, "a aa", "a")] * 3 + [(None, f"n{k} x", None) for k in range(20)]
+    frame = docs(spark, rows)
+    facts = mixing.mixed(frame).collect()
+    assert len(facts) == len(rows) and len({(r["row"], r["turn"]) for r in facts}) == len(rows)
+    taken = [Counter(r["text"] for r in mixing.taken_documents(frame.repartition(n)).collect()) for n in (1, 5)]
+    assert taken[0] == taken[1] and sum(taken[0].values()) == sum(r["copies"] for r in facts)
+
+
+def mix_brute(rows):
+    """Copies of each row by the pairs of one block: from the largest to the smallest the open row meets the next."""
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(split(t))
+    want, out = targets(sizes), {}
+    for s in sizes:
+        ratio = want[s] / sizes[s] if sizes[s] else 0.0
+        out[s] = ratio
+    return out
+
+
+def test_mix_copies_are_roundings(spark):
+    """Each row is taken the whole part of its source's ratio of times, or once more; the sum is the target but for one row."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 40), rng.choice("abcd")) for i in range(400)]
+    ratios = mix_brute(rows)
+    for r, (_, t, s) in zip(sorted(mixing.mixed(docs(spark, rows)).collect(), key=lambda r: r["doc_id"]), rows, strict=True):
+        low = math.floor(ratios[s] + 1e-9)
+        assert r["copies"] in ((low,) if abs(ratios[s] - low) < 1e-9 else (low, low + 1)) and r["size"] == len(split(t))
+
+
 def test_settling_keeps_the_sum():
     rng = np.random.default_rng(7)
     sizes, p = rng.integers(1, 50, 500).astype(float), rng.random(500)
