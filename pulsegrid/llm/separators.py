@@ -7,100 +7,92 @@ vectorised comparison and gives its size, the positions of its separators and
 the ids behind the last one.  A prefix scan over these summaries
 carries the open document from block to block, so blocks are read in any order
 and a document may span any number of them.
+
+Spark's own writer and reader move the files, so any file system that Spark knows
+will do; the end id is the writer's separator.  Beside each token file the same
+task writes one of the names of its documents, in their order.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.pieces import Chunks, shipped
-from pulsegrid.llm.storage import new_folder, saved
+from pulsegrid.llm.storage import exists, new_folder, saved
 
 #: Ids in a block, and blocks in the inner part of the two-level prefix scan.
 BLOCK_IDS = 1 << 17
 SPAN = 4096
-BLOCKS = "file long, block long, ids binary"
+#: Documents in a token file at most.
+FILE_DOCUMENTS = 500
 
 
-def write(docs: DataFrame, model_file: str, end: int, path: str, block_ids: int = BLOCK_IDS) -> None:
-    """Token files of all texts, one a partition, cut into blocks, as a table of ``BLOCKS``.
+def separator(end: int) -> str:
+    """The end id as it stands in a file."""
+    raw = np.array([end], dtype="<u2").tobytes()
+    if max(raw) > 127:
+        raise ValueError("the bytes of the end id must be ASCII, as they are what the writer puts between records")
+    return raw.decode()
 
-    Two more columns are beside them, of no use to the scan: ``doc_ids`` of the
-    documents that end in a block, and in ``first`` the number of the first of them.
-    """
+
+def write(docs: DataFrame, model_file: str, end: int, path: str, file_documents: int = FILE_DOCUMENTS) -> None:
+    """Token files of all texts in ``path``/kind=ids, and in ``path``/kind=names files alike with the doc_id of each document."""
     name = shipped(docs.sparkSession, model_file)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = docs.select("doc_id").limit(0).toArrow().schema.field("doc_id").type
-    stop = np.array([end], dtype="<u2").tobytes()
-    size = 2 * block_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(SparkFiles.get(name), "rb") as f:
             chunks = Chunks(f.read(), packed=True)
-        file, block, held = TaskContext.get().partitionId(), 0, bytearray()
-        first, open_ = 0, deque()  # documents of earlier blocks; (end, doc_id) of those after them
-
-        def row(data: bytes) -> pa.RecordBatch:
-            nonlocal first
-            ending = []
-            while open_ and open_[0][0] <= block * size + len(data):
-                ending.append(open_.popleft()[1])
-            first += len(ending)
-            numbers = [pa.array([x], pa.int64()) for x in (file, block, first - len(ending))]
-            return pa.RecordBatch.from_arrays([*numbers[:2], pa.array([data], pa.binary()), numbers[2], pa.array([ending], pa.list_(arrow))], names)
-
         for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                doc_ids = whole.column(1).slice(i, 2000).to_pylist()
-                for (ids, _, _), doc_id in zip(chunks.encoded(whole.column(0).slice(i, 2000)), doc_ids, strict=True):
-                    held += ids
-                    held += stop
-                    open_.append((block * size + len(held), doc_id))
-                    while len(held) >= size:
-                        yield row(bytes(held[:size]))
-                        del held[:size]
-                        block += 1
-        if held:
-            yield row(bytes(held))
-
-    names = ["file", "block", "ids", "first", "doc_ids"]
-    docs.select(F.col("text").cast("string"), "doc_id").mapInArrow(run, f"{BLOCKS}, first long, doc_ids array<{kind}>").write.option("compression", "zstd").parquet(path)
-
-
-def blocks_of_files(files: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """``BLOCKS`` of a DataFrame of whole binary files (path, content), as Spark's binaryFile source gives."""
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("content") / F.lit(2 * block_ids)) - 1))
-    rows = files.select(F.xxhash64("path").alias("file"), "content", F.explode(at).alias("block"))
-    part = F.expr(f"substring(content, int(block * {2 * block_ids} + 1), {2 * block_ids})")
-    return rows.select("file", F.col("block").cast("long").alias("block"), part.alias("ids"))
-
-
-def summaries(blocks: DataFrame, end: int) -> DataFrame:
-    """One row a block: n ids, ends in it, ids behind
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                ids = pa.array([x for x, _, _ in chunks.encoded(b.column(2))], pa.binary())
+                for kind, value in (("ids", ids), ("names", b.column(1).cast(pa.binary()))):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * b.num_rows), b.column(0), value], ["kind", "row", "value"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
+    rows = rows.mapInArrow(run, "kind string, row long, value binary").sortWithinPartitions("kind", "row").select("kind", F.col("value").cast("string"))
+    rows.write.partitionBy("kind").option("lineSep", separator(end)).option("maxRecordsPerFile", file_documents).text(path)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of the files in a folder; ``file`` is a number from the name that Spark's writer gave it, else a hash."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file long, content binary")
+    part = lambda i: F.regexp_extract("path", r"part-(\d+)-[^/]*[-.]c(\d+)[^/]*$", i).try_cast("long")
+    number = F.coalesce(part(1) * F.lit(1 << 20) + part(2), F.xxhash64("path"))
+    return spark.read.format("binaryFile").load(path).select(number.alias("file"), "content")
+
+
+def names(spark: SparkSession, path: str, end: int, kind: str) -> DataFrame:
+    """(file, document, doc_id) of the files of names that :func:`write` made, with doc_ids of type ``kind``."""
+    texts = F.slice(F.split(F.col("content").cast("string"), separator(end)), 1, F.size(F.split(F.col("content").cast("string"), separator(end))) - 1)
+    rows = files(spark, path).select("file", F.posexplode(texts).alias("document", "name"))
+    return rows.select("file", F.col("document").cast("long").alias("document"), F.nullif("name", F.lit("")).cast(kind).alias("doc_id"))
+
+
+def summaries(files: DataFrame, end: int, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """One row a block of the files (file, content): n ids, ends in it, ids behind
     the last (tail; all where there is none), and the positions of all ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ends, tail, found = [], [], [], []
-            for x in b.column(2):
-                ids = np.frombuffer(x.as_py() or b"", dtype="<u2")
-                at = np.flatnonzero(ids == end)
-                n.append(len(ids))
-                ends.append(len(at))
-                tail.append(len(ids) - 1 - int(at[-1]) if len(at) else len(ids))
-                found.append(at)
-            numbers = [pa.array(x, pa.int64()) for x in (n, ends, tail)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array(found, pa.list_(pa.int64()))], names)
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = content.as_buffer() or b""
+                ids = np.frombuffer(raw, dtype="<u2", count=len(raw) // 2)
+                blocks = [ids[i : i + block_ids] for i in range(0, len(ids), block_ids)]
+                found = [np.flatnonzero(x == end) for x in blocks]
+                n = np.array([len(x) for x in blocks], dtype=np.int64)
+                tail = [len(x) - 1 - int(at[-1]) if len(at) else len(x) for x, at in zip(blocks, found, strict=True)]
+                numbers = [np.full(len(blocks), file, np.int64), np.arange(len(blocks)), n, np.array([len(at) for at in found], np.int64), np.array(tail, np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), pa.array(found, pa.list_(pa.int64()))], ["file", "block", "n", "ends", "tail", "at"])
 
-    names = ["file", "block", "n", "ends", "tail", "at"]
-    return blocks.select("file", "block", "ids").mapInArrow(run, "file long, block long, n long, ends long, tail long, at array<long>")
+    return files.select("file", "content").mapInArrow(run, "file long, block long, n long, ends long, tail long, at array<long>")
 
 
 def _scan(rows: DataFrame, by: list[str], at: str) -> DataFrame:
@@ -120,15 +112,15 @@ def _scan(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     ).drop("_run", "_open")
 
 
-def counts(blocks: DataFrame, end: int, span: int = SPAN) -> DataFrame:
-    """(file, document, start, n_tokens) of every document in ``blocks``.
+def counts(files: DataFrame, end: int, block_ids: int = BLOCK_IDS, span: int = SPAN) -> DataFrame:
+    """(file, document, start, n_tokens) of every document in ``files`` (file, content).
 
     ``document`` counts from 0 in its file, ``start`` is the position of its
     first id, the end id is not counted.  Documents without ids count 0; ids
     behind a file's last end id are a document of their own; an empty file has
-    none.  Null ids are an empty block.
+    none, null content is an empty file.
     """
-    known = saved(summaries(blocks, end), "separator-blocks").withColumn("span", F.floor(F.col("block") / F.lit(span)))
+    known = saved(summaries(files, end, block_ids), "separator-blocks").withColumn("span", F.floor(F.col("block") / F.lit(span)))
     # the scan in two levels: within spans of blocks, then over the summaries of spans
     ends = F.sum("ends")
     last = F.max_by(F.struct("block"), F.when(F.col("ends") > 0, F.col("block")))["block"].alias("_last")
@@ -162,10 +154,7 @@ def token_counts(docs: DataFrame, model_file: str, end: int) -> DataFrame:
 
     A null or empty text is a document of 0 ids; an empty table gives no rows.
     """
-    path = new_folder(docs.sparkSession, "token-files")
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "token-files")
     write(docs, model_file, end, path)
-    read = docs.sparkSession.read
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    beside = read.schema(f"file long, first long, doc_ids array<{kind}>").parquet(path).select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id"))
-    beside = beside.select("file", (F.col("first") + F.col("i")).alias("document"), "doc_id")
-    return counts(read.schema(BLOCKS).parquet(path), end).join(beside, ["file", "document"], "left")
+    of = names(spark, f"{path}/kind=names", end, docs.schema["doc_id"].dataType.simpleString())
+    return counts(files(spark, f"{path}/kind=ids"), end).join(of, ["file", "document"], "left")

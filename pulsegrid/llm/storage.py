@@ -53,6 +53,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Removes a folder whose tables no later query reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -466,35 +466,35 @@ def test_pieces_forget_and_collide(monkeypatch):
 
 
 def test_separators(spark, tmp_path):
+    """Each document's count under its own doc_id, also where texts span blocks and blocks hold many; files are ids and nothing else."""
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = AWKWARD + [(100 + i, "some text " * (i % 7), "s") for i in range(40)]
-    separators.write(docs(spark, rows).repartition(3), MODEL, 2, str(tmp_path / "t"), block_ids=16)
-    blocks = spark.read.schema(separators.BLOCKS).parquet(str(tmp_path / "t"))
-    got = separators.counts(blocks, 2, span=4).collect()
-    assert Counter(r["n_tokens"] for r in got) == Counter(len(sp.encode(t or "")) for _, t, _ in rows)
+    path = f"file://{tmp_path}/t"
+    separators.write(docs(spark, rows).repartition(3), MODEL, 2, path, file_documents=9)
+    files = separators.files(spark, f"{path}/kind=ids")
+    ids = sorted(x for r in files.collect() for x in bytes(r["content"]).hex(" ", 2).split())
+    assert ids == sorted(f"{x % 256:02x}{x // 256:02x}" for _, t, _ in rows for x in [*sp.encode(t or ""), 2])
+    got = separators.counts(files, 2, block_ids=16, span=4).collect()
     # documents of a file follow each other, with one end id between
     for file in {r["file"] for r in got}:
         at = 0
         for k, r in enumerate(sorted((r for r in got if r["file"] == file), key=lambda r: r["document"])):
             assert (r["document"], r["start"]) == (k, at)
             at += r["n_tokens"] + 1
-    assert separators.token_counts(docs(spark, []), MODEL, 2).count() == 0
-
-
-def test_separators_name_documents(spark, monkeypatch):
-    """Each document's count under its own doc_id, also where texts span blocks and blocks hold many."""
-    monkeypatch.setattr(separators.write, "__defaults__", (16,))
-    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    rows = AWKWARD + [(100 + i, "some text " * (i % 7), "s") for i in range(40)]
-    got = separators.token_counts(docs(spark, rows).repartition(3), MODEL, 2).collect()
+    named = {(r["file"], r["document"]): r["doc_id"] for r in separators.names(spark, f"{path}/kind=names", 2, "bigint").collect()}
+    assert Counter((named[r["file"], r["document"]], r["n_tokens"]) for r in got) == Counter((i, len(sp.encode(t or ""))) for i, t, _ in rows)
+    got = separators.token_counts(docs(spark, rows).repartition(5), MODEL, 2).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(sp.encode(t or ""))) for i, t, _ in rows)
+    assert separators.token_counts(docs(spark, []), MODEL, 2).count() == 0
 
 
 def test_separators_of_open_files(spark):
     ids = lambda *x: np.array(x, dtype="<u2").tobytes()
-    rows = [(0, 0, ids(5, 6)), (0, 1, ids(7)), (0, 2, ids(2, 2)), (0, 3, ids(9)), (1, 0, None), (2, 0, ids(2))]
-    got = separators.counts(spark.createDataFrame(rows, separators.BLOCKS), 2, span=2).collect()
+    rows = [(0, ids(5, 6, 7, 2, 2, 9)), (1, None), (2, ids(2)), (3, b"")]
+    got = separators.counts(spark.createDataFrame(rows, "file long, content binary"), 2, block_ids=2, span=2).collect()
     assert sorted(map(tuple, got)) == [(0, 0, 0, 3), (0, 1, 4, 0), (0, 2, 5, 1), (2, 0, 0, 0)]
+    with pytest.raises(ValueError):
+        separators.separator(200)
 
 
 def targets(sizes):
