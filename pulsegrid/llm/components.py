@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.storage import saved
+from pulsegrid.llm.storage import discard, saved
 
 ROUNDS = 60
 
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
 
     before = mark(edges)
     for _ in range(ROUNDS):
-        edges = saved(star(saved(star(edges, True), "links"), False), "links")
+        last, edges = edges, saved(star(star(edges, True), False), "links")
+        discard(last)
         if (now := mark(edges)) == before:
             break
         before = now

@@ -20,15 +20,12 @@ of either, so they meet at one of the rarest fifth of the one's and the rarest
 ninth of the other's.  A shingle that only one component holds links nothing and
 comes first in that order, and one that very many texts share comes last, so a
 passage that a third of all documents share brings no pairs together unless the
-texts are little else.  There one member of each component comes first, so that
-large ones are joined by few pairs; then all pairs of what is still apart are
-verified: no candidate link is lost.
+texts are little else.  All such pairs are verified too: no candidate link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -199,7 +196,7 @@ def _elements(open_: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _ranked(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """(row, n, e, left): the shingles by which each text of ``open_`` (row, root) can meet one of another component.
+    """(row, root, n, e, left): the shingles by which each text of ``open_`` (row, root) can meet one of another component.
 
     Similar texts of n >= m shingles share s >= 4 (n + m) / 9 of them, that is at
     least 4 n / 5 and 8 m / 9.  Shingles have one order, those of one component
@@ -208,29 +205,22 @@ def _ranked(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """
     elements = saved(_elements(open_, texts), "near-elements")
     common = elements.groupBy("e").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e", "times")
-    shared = saved(elements.join(common, "e").select("row", "n", "e", "times"), "near-shared")
+    shared = saved(elements.join(common, "e"), "near-shared")
     enough = shared.groupBy("row").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("5 * k >= 4 * n").select("row", "k")
     place = F.row_number().over(Window.partitionBy("row").orderBy("times", "e"))
-    return saved(shared.join(enough, "row").withColumn("left", F.col("k") - place + 1).where("5 * left >= 4 * n").select("row", "n", "e", "left"), "near-ranked")
+    return saved(shared.join(enough, "row").withColumn("left", F.col("k") - place + 1).where("5 * left >= 4 * n").select("row", "root", "n", "e", "left"), "near-ranked")
 
 
-def _meeting(ranked: DataFrame, roots: DataFrame, one_each: bool) -> DataFrame:
-    """(a, b): pairs of texts of different components that can be similar by their content, all or by one text of each component.
+def _meeting(ranked: DataFrame) -> DataFrame:
+    """(a, b, a_root, b_root): all pairs of texts of different components that can be similar by their content.
 
     The longer text looks at all shingles with 4 n / 5 left, the shorter is found under all with 8 m / 9 left.
     """
-    rows = ranked.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    several = rows.groupBy("e").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("e")
-    rows = rows.join(several, "e")
-    if one_each:
-        one = F.max_by(F.struct("row", "n", "left"), F.struct("left", "row")).alias("one")
-        rows = rows.groupBy("e", "root").agg(one).select("e", "root", "one.row", "one.n", "one.left")
-    rows = saved(rows.select("e", "root", "row", "n", "left"), "near-meeting")
-    found = rows.where("9 * left >= 8 * n").select("e", *[F.col(x).alias(y) for x, y in (("row", "b"), ("root", "b_root"), ("n", "m"), ("left", "b_left"))])
+    found = ranked.where("9 * left >= 8 * n").select("e", *[F.col(x).alias(y) for x, y in (("row", "b"), ("root", "b_root"), ("n", "m"), ("left", "b_left"))])
     shorter = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("row") > F.col("b")))
     fits = (5 * F.col("m") >= 4 * F.col("n")) & (9 * F.least("left", "b_left") >= 4 * (F.col("n") + F.col("m")))
-    met = rows.join(found, "e").where((F.col("root") != F.col("b_root")) & shorter & fits)
-    return saved(met.select(F.col("row").alias("a"), "b").distinct(), "near-pairs")
+    met = ranked.join(found, "e").where((F.col("root") != F.col("b_root")) & shorter & fits)
+    return saved(met.select(F.col("row").alias("a"), "b", F.col("root").alias("a_root"), "b_root").distinct(), "near-pairs")
 
 
 def _led(groups: DataFrame, by: list[str]) -> DataFrame:
@@ -279,19 +269,17 @@ def _classes(docs: DataFrame, row: str | None) -> DataFrame:
 
     # every member of a bucket meets the member whose sketches are the most common
     by = ["band", "key"]
-    links = [saved(_verified(saved(_with_leader(_led(buckets, by)), "near-pairs"), texts), "near-links")]
-    roots = saved(components(links[0]), "near-roots")
+    roots = saved(components(_verified(saved(_with_leader(_led(buckets, by)), "near-pairs"), texts)), "near-roots")
     # the members of buckets that hold several components: what else could link them
     state = buckets.select(*by, "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     several = state.groupBy(*by).agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
     open_ = saved(state.join(several, by, "left_semi").select("row", "root").distinct(), "near-open")
-    if not open_.isEmpty():
-        ranked = _ranked(open_, texts)
-        for one_each in (True, False):
-            links.append(saved(_verified(_meeting(ranked, roots, one_each), texts), "near-links"))
-            if not links[-1].isEmpty():
-                roots = saved(components(reduce(DataFrame.unionByName, links)), "near-roots")
     grouped = members.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("class"))
+    if not open_.isEmpty():
+        met = _meeting(_ranked(open_, texts))
+        linked = met.join(_verified(met.select("a", "b"), texts), ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        top = saved(components(linked), "near-roots").withColumnRenamed("node", "class")
+        grouped = grouped.join(top, "class", "left").select("row", "doc_id", F.coalesce("root", "class").alias("class"))
     named = grouped.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
     return grouped.join(named, "class").select("row", "doc_id", "class_id", "first")
 
