@@ -10,10 +10,12 @@ of the words before it.
 How the work is spread: all (context, next word) pairs that occur ``LEAST_EDGE``
 times, at any size of corpus, are kept in written tables keyed by the hash of the
 run of words, a gram.  A gram's key is made from the keys of the two grams one word
-shorter, so a pair travels as two keys and a count, packed into arrays of many pairs
-that are dealt over buckets.  The number of buckets follows the size of the texts,
-so a bucket holds a bounded number of distinct pairs, and each task counts what it
-has read before it hands it on.
+shorter.  Tables are packed: a row holds the columns of up to ``PIECE`` entries of one
+bucket.  The number of buckets follows the size of the texts, so a bucket holds a
+bounded number of distinct entries, and each task counts what it has read before it
+hands it on.  A level of the tree takes three shuffles: pairs are counted by their own
+key, meet the probability after the suffix by the key of the shorter gram, and meet
+the other pairs of their context, and its count, by the key of the context.
 
 The log-probability of a token is a sum over the grams that end at it and before
 it.  Texts send the keys they need to the buckets of the values and get their sums.
@@ -30,10 +32,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.storage import discard, freed, new_folder, saved
+from pulsegrid.llm.storage import discard, freed, saved
 from pulsegrid.llm.words import Words, mix, word_slices
 
 DEPTH = 3
@@ -72,7 +75,8 @@ class Index:
 class Filter:
     """A bit field of keys: what is not in it is no key, what is in it may be one."""
 
-    def __init__(self, keys: DataFrame, count: int):
+    def __init__(self, table: DataFrame):
+        count = table.agg(F.coalesce(F.sum(F.octet_length("a") / 8), F.lit(0.0))).first()[0]
         self.bits = int(np.clip(np.ceil(np.log2(max(count, 1) * KEY_BITS)), 10, np.log2(FILTER_BITS)))
         self.field = np.zeros(1 << (self.bits - 6), dtype=np.uint64)
         bits = self.bits
@@ -80,15 +84,18 @@ class Filter:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.zeros(1 << (bits - 6), dtype=np.uint64)
             for b in batches:
-                at = Filter.places(b.column(0).to_numpy().view(np.uint64), bits).ravel()
-                np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), at & np.uint64(63)))
+                at = np.sort(Filter.places(unpacked(b.column(0), np.uint64), bits).ravel())
+                word = at >> np.uint64(6)
+                first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+                if len(first):
+                    own[word[first]] |= np.bitwise_or.reduceat(np.left_shift(np.uint64(1), at & np.uint64(63)), first)
             at = np.flatnonzero(own)
             for i in range(0, len(at), 100_000):
                 part = at[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(own[part].view(np.int64))], ["at", "part"])
 
-        with freed(keys.sparkSession):
-            got = keys.select("key").mapInArrow(run, "at int, part long").groupBy("at").agg(F.bit_or("part").alias("part")).toArrow()
+        with freed(table.sparkSession):
+            got = table.select("a").mapInArrow(run, "at int, part long").groupBy("at").agg(F.bit_or("part").alias("part")).toArrow()
         self.field[got.column("at").to_numpy()] = got.column("part").to_numpy().view(np.uint64)
 
     @staticmethod
@@ -172,9 +179,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def packed(keys: np.ndarray, buckets: int, columns: list[np.ndarray]) -> list[pa.Array]:
-    """The bucket of each piece of at most ``PIECE`` entries, and its part of each column as bytes."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+#: A packed table: keys a and b, counts n, values v.  Kinds order the rows of a bucket.
+PACKED = "bucket int, kind int, a binary, b binary, n binary, v binary"
+TABLE, WORDS, NEEDS, COPIES, VALUES, HEAD = range(6)
+
+
+def packed(kind: int, by: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of at most ``PIECE`` entries for the buckets of the keys ``by``."""
+    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     at = np.arange(len(bucket))
@@ -182,11 +194,15 @@ def packed(keys: np.ndarray, buckets: int, columns: list[np.ndarray]) -> list[pa
     since = at - np.repeat(begin, np.diff(np.concatenate((begin, [len(bucket)]))))
     begin = np.flatnonzero(since % PIECE == 0)
     bounds = np.concatenate((begin, [len(bucket)])).astype(np.int32)
-    out = [pa.array(bucket[begin])]
-    for c in columns:
-        sizes = pa.py_buffer((bounds * c.itemsize).astype(np.int32))
-        out.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, sizes, pa.py_buffer(np.ascontiguousarray(c[order]))]))
-    return out
+    out = [pa.array(bucket[begin]), pa.array(np.full(len(begin), kind, np.int32))]
+    for c in "abnv":
+        if c in columns:
+            x = columns[c]
+            sizes = pa.py_buffer((bounds * x.itemsize).astype(np.int32))
+            out.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, sizes, pa.py_buffer(np.ascontiguousarray(x[order]))]))
+        else:
+            out.append(pa.nulls(len(begin), pa.binary()))
+    return pa.RecordBatch.from_arrays(out, ["bucket", "kind", "a", "b", "n", "v"])
 
 
 def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -195,117 +211,163 @@ def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b"".join(c.to_pylist()), dtype=kind) for c in chunks)])
 
 
-class _Counter:
-    """Counts of grams in one task: columns of keys, of which the first two (or one) make the gram's key."""
-
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.held, self.size = buckets, [], 0
-
-    def add(self, key: np.ndarray, *parts: np.ndarray) -> None:
-        key, first, n = np.unique(key, return_index=True, return_counts=True)
-        self.held.append((key, n, *(x[first] for x in parts)))
-        self.size += len(key)
-
-    def batch(self) -> pa.RecordBatch:
-        key, n, *parts = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        key, n, parts = summed(key, n, parts)
-        self.held, self.size = [], 0
-        columns = packed(key, self.buckets, [n.astype(np.uint32), *(parts or [key])])
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "n", *(("context", "shorter") if parts else ("key",))])
-
-
-def summed(key: np.ndarray, n: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def summed(key: np.ndarray, n: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, with the sum of ``n`` and its parts."""
     key, first, back = np.unique(key, return_index=True, return_inverse=True)
-    return key, np.bincount(back, n, len(key)).astype(np.int64), [x[first] for x in parts]
+    return key, np.bincount(back, n, len(key)).astype(np.int64), *(x[first] for x in parts)
 
 
-def _counted(texts: DataFrame, buckets: int, parts_of) -> DataFrame:
-    """Sums over all texts of what ``parts_of`` gives for the tokens of a slice: (key, n) of (key,), or
-    (key, context, shorter, n) with n >= ``LEAST_EDGE`` of (key, context, shorter)."""
+def _counted(texts: DataFrame, buckets: int, parts_of, least: int) -> DataFrame:
+    """Sums over all texts of what ``parts_of`` gives for the tokens of a slice, packed: words (a, n) by
+    their key; or pairs (a shorter, b context, n) of at least ``least`` by the shorter gram's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(buckets)
+        held, size = [], 0
+
+        def handed() -> pa.RecordBatch:
+            key, n, *parts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return packed(TABLE, key, buckets, a=parts[0] if parts else key, n=n.astype(np.uint32), **({"b": parts[1]} if parts else {}))
+
         for b in batches:
             for w in word_slices(b.column(0), lower=True):
-                counter.add(*parts_of(Tokens.of(w)))
-                if counter.size > HELD:
-                    yield counter.batch()
-        if counter.held:
-            yield counter.batch()
+                key, *parts = parts_of(Tokens.of(w))
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                held.append((key, n, *(x[first] for x in parts)))
+                size += len(key)
+                if size > HELD:
+                    yield handed()
+                    held, size = [], 0
+        if held:
+            yield handed()
 
-    def words(table: pa.Table) -> pa.Table:
-        key, n, _ = summed(unpacked(table["key"], np.uint64), unpacked(table["n"], np.uint32), [])
-        return pa.table({"key": key.view(np.int64), "n": n})
+    def words(t: pa.Table) -> pa.Table:
+        key, n = summed(unpacked(t["a"], np.uint64), unpacked(t["n"], np.uint32))
+        return pa.Table.from_batches([packed(TABLE, key, buckets, a=key, n=n)])
 
-    def pairs(table: pa.Table) -> pa.Table:
-        context, shorter = unpacked(table["context"], np.uint64), unpacked(table["shorter"], np.uint64)
-        key, n, (context, shorter) = summed(joined(context, shorter), unpacked(table["n"], np.uint32), [context, shorter])
-        ok = n >= LEAST_EDGE
-        return pa.table({k: v[ok].view(np.int64) for k, v in (("key", key), ("context", context), ("shorter", shorter), ("n", n))})
+    def pairs(t: pa.Table) -> pa.Table:
+        shorter, context = unpacked(t["a"], np.uint64), unpacked(t["b"], np.uint64)
+        _, n, shorter, context = summed(joined(context, shorter), unpacked(t["n"], np.uint32), shorter, context)
+        ok = n >= least
+        return pa.Table.from_batches([packed(NEEDS, shorter[ok], buckets, a=shorter[ok], b=context[ok], n=n[ok])])
 
-    if parts_of is _words:
-        return texts.mapInArrow(run, "bucket int, n binary, key binary").groupBy("bucket").applyInArrow(words, "key long, n long")
-    rows = texts.mapInArrow(run, "bucket int, n binary, context binary, shorter binary")
-    return rows.groupBy("bucket").applyInArrow(pairs, "key long, context long, shorter long, n long")
+    return texts.mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(words if parts_of is _words else pairs, PACKED)
 
 
 def _words(t: Tokens) -> tuple[np.ndarray]:
     return (t.hashes,)
 
 
-def _head(table: DataFrame, columns: list[str], least: float) -> list[np.ndarray]:
-    """``columns`` of the rows with n of at least ``least``, in order of the first: no more than 1 / share of each length."""
-    got = table.where(F.col("n") >= F.lit(float(least))).select(columns).toArrow()
-    made = [got.column(c).to_numpy() for c in columns]
-    made[0] = made[0].view(np.uint64)
-    order = np.argsort(made[0])
-    return [x[order] for x in made]
-
-
 def _pairs(texts: DataFrame, buckets: int, d: int, below: Filter) -> DataFrame:
-    """(key, context, shorter, n) of the pairs of a context of ``d`` words and its next word that occur at least
-    ``LEAST_EDGE`` times; both the context and the pair without its first word are in ``below``."""
+    """The pairs of a context of ``d`` words and its next word that occur at least ``LEAST_EDGE`` times, packed;
+    both the context and the pair without its first word are in ``below``."""
     shared = texts.sparkSession.sparkContext.broadcast(below)
 
     def parts(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         _, key, context, shorter = grams(t, d)[-1]
         at = np.flatnonzero(shared.value.has(context))
         at = at[shared.value.has(shorter[at])]
-        return key[at], context[at], shorter[at]
+        return key[at], shorter[at], context[at]
 
-    return _counted(texts, buckets, parts)
+    return _counted(texts, buckets, parts, LEAST_EDGE)
 
 
-def _tested(pairs: DataFrame, below: DataFrame) -> DataFrame:
-    """(key, n, p, value, context, total, back) of ``pairs`` after the divergence test of their contexts.
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Index, np.ndarray, np.ndarray, int, pa.RecordBatch]]:
+    """(keys, values, whether of a word, kind, rows): the rows of a bucket that look up, with what the bucket's tables hold.
 
-    ``below`` has (key, n, p) of the grams one word shorter: the count of a context,
-    and the probability of a word after the longest kept suffix.  ``p`` of the result
-    is that of the word in the context where it is kept, else after its suffix.
-    ``value`` is set in kept contexts, and the last three in one row of each.
+    The rows come by bucket, tables first; tables are held, in which a key is once, the others stream past.
     """
-    rows = pairs.join(below.select(F.col("key").alias("shorter"), F.col("p").alias("above")), "shorter").drop("shorter")
-    rows = rows.join(below.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
-    each = Window.partitionBy("context")
-    rows = rows.withColumn("share", F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total"))
-    rows = rows.withColumn("rest", F.greatest(F.least(1 - F.sum("share").over(each), F.lit(1.0)), F.lit(1e-6)))
-    rows = rows.withColumn("others", F.greatest(1 - F.sum("above").over(each), F.lit(1e-9))).withColumn("one", F.min("key").over(each) == F.col("key"))
-    rows = rows.withColumn("own", F.col("share") + F.col("rest") * F.col("above"))
-    # divergence: the explicit words, and all others as one event
-    explicit = F.sum(F.col("own") * F.log(F.col("own") / F.col("above"))).over(each)
-    rows = rows.withColumn("divergence", explicit + F.col("rest") * F.col("others") * F.log("rest"))
-    kept = (F.col("divergence") >= LEAST_DIVERGENCE) & (F.col("divergence") * F.col("total") >= LEAST_GAIN)
-    one = kept & F.col("one")
-    return rows.select(
-        "key", "n", F.when(kept, F.col("own")).otherwise(F.col("above")).alias("p"),
-        F.when(kept, F.log10(F.col("own") / F.col("above")) - F.log10("rest")).alias("value"),
-        F.when(one, F.col("context")).alias("context"), F.when(one, F.col("total")).alias("total"), F.when(one, F.log10("rest")).alias("back"),
-    )
+    now, held, table = None, [], None
+    for b in batches:
+        bucket, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+            if i == j:
+                continue
+            part = b.slice(i, j - i)
+            if bucket[i] != now:
+                now, held, table = bucket[i], [], None
+            if kind[i] < NEEDS:
+                key = unpacked(part.column(2), np.uint64)
+                held.append((key, unpacked(part.column(5), np.float64), np.full(len(key), kind[i] == WORDS)))
+                continue
+            if table is None:
+                none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool))
+                keys, values, words = (np.concatenate(x) for x in zip(none, *held, strict=True))
+                order = np.argsort(keys)
+                table, held = (Index(keys[order]), values[order], words[order]), []
+            yield (*table, int(kind[i]), part)
+
+
+def _meeting(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    return rows.unionByName(tables).repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _with_suffix(pairs: DataFrame, below: DataFrame, buckets: int) -> DataFrame:
+    """(a shorter, b context, n, v) packed by context: ``pairs`` with the probability of the word after the longest kept suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, values, _, _, part in _passing(batches):
+            shorter, context = unpacked(part.column(2), np.uint64), unpacked(part.column(3), np.uint64)
+            yield packed(NEEDS, context, buckets, a=shorter, b=context, n=unpacked(part.column(4), np.int64), v=values[keys.find(shorter)])
 
+    return _meeting(pairs, below).mapInArrow(run, PACKED)
 
-def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, DataFrame | None, int]:
-    """The model, (key, n) with the counts of all words, (key, n, value) of all grams of kept
-    contexts, and the number of buckets, from the rows of ``texts`` (text).
+
+def _tested(pairs: DataFrame, below: DataFrame, buckets: int) -> DataFrame:
+    """The grams of ``pairs`` after the divergence test of their contexts, packed by key.
+
+    ``below`` holds the counts of the contexts.  Rows of kind TABLE hold counts n and
+    in v the probability of the word in the context where it is kept, else after its
+    suffix; rows of kind VALUES those of kept contexts and of their pairs.
+    """
+
+    def test(t: pa.Table) -> pa.Table:
+        of_pairs = pc.equal(t["kind"], NEEDS)
+        counts, rows = t.filter(pc.invert(of_pairs)), t.filter(of_pairs)
+        key = unpacked(counts["a"], np.uint64)
+        order = np.argsort(key)
+        index, totals = Index(key[order]), unpacked(counts["n"], np.int64)[order]
+        context = unpacked(rows["b"], np.uint64)
+        order = np.argsort(context)
+        context, shorter = context[order], unpacked(rows["a"], np.uint64)[order]
+        n, above = unpacked(rows["n"], np.int64)[order], unpacked(rows["v"], np.float64)[order]
+        if not len(context):
+            return pa.Table.from_batches([packed(TABLE, context, buckets, a=context, n=n, v=above)])
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        of = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(context)]))))
+        each = lambda x: np.add.reduceat(x, first)
+        total = totals[index.find(context[first])].astype(np.float64)
+        share = np.maximum(n - DISCOUNT, 0.0) / total[of]
+        rest = np.clip(1 - each(share), 1e-6, 1.0)
+        others = np.maximum(1 - each(above), 1e-9)
+        own = share + rest[of] * above
+        # divergence: the explicit words, and all others as one event
+        divergence = each(own * np.log(own / above)) + rest * others * np.log(rest)
+        kept = (divergence >= LEAST_DIVERGENCE) & (divergence * total >= LEAST_GAIN)
+        key, ok = joined(context, shorter), kept[of]
+        value = np.log10(own / above) - np.log10(rest)[of]
+        return pa.Table.from_batches(
+            [
+                packed(TABLE, key, buckets, a=key, n=n, v=np.where(ok, own, above)),
+                packed(VALUES, key[ok], buckets, a=key[ok], n=n[ok], v=value[ok]),
+                packed(VALUES, context[first][kept], buckets, a=context[first][kept], n=total[kept].astype(np.int64), v=np.log10(rest)[kept]),
+            ]
+        )
+
+    return pairs.unionByName(below).groupBy("bucket").applyInArrow(test, PACKED)
+
+
+def _collected(rows: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The keys a in order, and the column of packed rows of one kind: of the head only."""
+    got = rows.toArrow()
+    key, value = unpacked(got.column(0), np.uint64), unpacked(got.column(1), kind)
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, list[DataFrame], int]:
+    """The model, the packed tables of what it does not hold (values of rare words over unknown ones, and of
+    grams of kept contexts), and the number of buckets, from the rows of ``texts`` (text).
 
     In a kept context a word has the ``rest`` of the probability it has after the
     suffix, or ``p`` where the pair is listed.  A context's value is log10 of its
@@ -314,110 +376,96 @@ def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, DataFrame, DataFra
     """
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = 1 + size // BUCKET_BYTES
-    counts = saved(_counted(texts, buckets, _words), "suffix-tree-words")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keys, n = _head(counts, ["key", "n"], max(1.0, HEAD_SHARE * tokens))
-    model = Model(tokens, distinct, Index(keys), n.astype(np.float64))
-    if tokens == 0:
-        return model, counts, None, buckets
-    root = (F.col("n") + ADDED) / F.lit(float(tokens + ADDED * (distinct + 1)))
-    end, start = (F.lit(int(x.view(np.int64))) for x in (END, START))
-    below = counts.where(F.col("n") >= LEAST_EDGE).withColumn("p", root)
-    below = below.unionByName(counts.where(F.col("key") == end).select(start.alias("key"), "n", F.lit(0.0).alias("p")))
-    values, seen, level = [], Filter(below, below.count()), None
-    for d in range(1, depth + 1):
-        pairs = saved(_pairs(texts, buckets, d, seen), "suffix-tree-pairs")
-        above, level = level, saved(_tested(pairs, below), "suffix-tree-level")
-        discard(pairs, above)
-        kept = level.where("value IS NOT NULL").select("key", "n", "value")
-        backs = level.where("context IS NOT NULL").select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("back").alias("value"))
-        values.append(saved(kept.unionByName(backs), "suffix-tree-values"))
-        below = level.select("key", "n", "p")
-        if d < depth:
-            seen = Filter(below, below.count())
-    table = reduce(DataFrame.unionByName, values).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
-    table = saved(table, "suffix-tree-values")
-    discard(level, *values)
-    least = max(1.0, HEAD_SHARE * tokens)
-    keys, found = _head(table, ["key", "value"], least)
-    model.grams, model.values = Index(keys), found
-    tail = table.where(F.col("n") < least)
-    model.others = Filter(tail, tail.count())
-    return model, counts, tail, buckets
-
-
-def _values(rows: DataFrame, buckets: int, words: bool) -> DataFrame:
-    """(bucket, kind, first, keys, owners, values) of (key, value) rows, packed; kind 0 tells words, 1 grams."""
+    counts = saved(_counted(texts, buckets, _words, 1), "suffix-tree-words")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(0).to_numpy().view(np.uint64)
-            key = key ^ _AS_WORD if words else key
-            bucket, keys, values = packed(key, buckets, [key, b.column(1).to_numpy()])
-            n = len(bucket)
-            kind = pa.array(np.full(n, int(not words), np.int32))
-            yield pa.RecordBatch.from_arrays([bucket, kind, pa.nulls(n, pa.int64()), keys, pa.nulls(n, pa.binary()), values], NEEDED)
-
-    return rows.select("key", "value").mapInArrow(run, PACKED)
-
-
-NEEDED = ["bucket", "kind", "first", "keys", "owners", "values"]
-PACKED = "bucket int, kind int, first long, keys binary, owners binary, values binary"
+            n = unpacked(b.column(0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(n)])], ["tokens", "distinct"])
 
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    tokens, distinct = counts.select("n").mapInArrow(totals, "tokens long, distinct long").agg(zero("tokens"), zero("distinct")).first()
+    least, norm = max(1.0, HEAD_SHARE * tokens), tokens + ADDED * (distinct + 1)
 
-def _sums(needs: DataFrame, values: DataFrame) -> DataFrame:
-    """(row, base, known, gain): what the values of the keys in ``needs`` add to each row of text.
-
-    A bucket's values, of which each key has one, are held; the needs stream past them.
-    """
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = unpacked(b.column(2), np.uint64), unpacked(b.column(4), np.int64)
+            head, twice = n >= least, n >= LEAST_EDGE
+            own = key ^ _AS_WORD
+            yield packed(HEAD, key[head], buckets, a=key[head], n=n[head])
+            yield packed(WORDS, own[~head], buckets, a=own[~head], v=np.log10(n[~head] + ADDED) - np.log10(ADDED))
+            p = (n + ADDED) / norm
+            if (at := np.flatnonzero(key == END)).size:  # a text begins as often as it ends
+                key, n, p, twice = np.append(key, START), np.append(n, n[at]), np.append(p, 0.0), np.append(twice, True)
+            yield packed(TABLE, key[twice], buckets, a=key[twice], n=n[twice], v=p[twice])
+
+    rows = saved(counts.mapInArrow(split, PACKED), "suffix-tree-level")
+    discard(counts)
+    kind = lambda df, k: df.where(F.col("kind") == k)
+    words, n = _collected(kind(rows, HEAD).select("a", "n"), np.int64)
+    model = Model(tokens, distinct, Index(words), n.astype(np.float64))
+    rare = kind(rows, WORDS)
+    if tokens == 0:
+        return model, [rare], buckets
+    levels = [rows]
+    for d in range(1, depth + 1):
+        below = kind(levels[-1], TABLE)
+        pairs = saved(_pairs(texts, buckets, d, Filter(below)), "suffix-tree-pairs")
+        met = saved(_with_suffix(pairs, below, buckets), "suffix-tree-pairs")
+        discard(pairs)
+        levels.append(saved(_tested(met, below, buckets), "suffix-tree-level"))
+        discard(met)
+
+    def whole(t: pa.Table) -> pa.Table:
+        key, n, v = unpacked(t["a"], np.uint64), unpacked(t["n"], np.int64), unpacked(t["v"], np.float64)
+        key, back = np.unique(key, return_inverse=True)
+        most = np.zeros(len(key), np.int64)
+        np.maximum.at(most, back, n)
+        v, head = np.bincount(back, v, len(key)), most >= least
+        return pa.Table.from_batches([packed(HEAD, key[head], buckets, a=key[head], v=v[head]), packed(TABLE, key[~head], buckets, a=key[~head], v=v[~head])])
+
+    values = reduce(DataFrame.unionByName, [kind(x, VALUES) for x in levels[1:]])
+    values = saved(values.groupBy("bucket").applyInArrow(whole, PACKED), "suffix-tree-values")
+    discard(*levels[1:])
+    keys, model.values = _collected(kind(values, HEAD).select("a", "v"), np.float64)
+    model.grams, tail = Index(keys), kind(values, TABLE)
+    model.others = Filter(tail)
+    return model, [rare, tail], buckets
+
+
+def _sums(needs: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(row, copies, base, known, gain): what the values of the keys in ``needs`` add to all rows of text with a hash, and how many these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, table = None, [], None
         done: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def handed() -> pa.RecordBatch:
             row, *sums = (np.concatenate(x) for x in zip(*done, strict=True))
             row, back = np.unique(row, return_inverse=True)
-            base, known, gain = (np.bincount(back, x, len(row)) for x in sums)
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(base), pa.array(known.astype(np.int64)), pa.array(gain)], ["row", "base", "known", "gain"])
-
-        for b in batches:
-            bucket, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-                if i == j:
-                    continue
-                part = b.slice(i, j - i)
-                if bucket[i] != now:
-                    now, held, table = bucket[i], [], None
-                key = unpacked(part.column(3), np.uint64)
-                if kind[i] < 2:
-                    held.append((key, unpacked(part.column(5), np.float64), np.full(len(key), kind[i] == 0)))
-                    continue
-                if table is None:
-                    none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool))
-                    keys, vals, words = (np.concatenate(x) for x in zip(none, *held, strict=True))
-                    order = np.argsort(keys)
-                    table, held = (Index(keys[order]), vals[order], words[order]), []
-                sizes = np.array([len(x) // 4 for x in part.column(4).to_pylist()])
-                row = np.repeat(part.column(2).to_numpy(), sizes) + unpacked(part.column(4), np.uint32)
-                at = table[0].find(key)
-                hit = at >= 0
-                row, at = row[hit], at[hit]
+            copies, base, known, gain = (np.bincount(back, x, len(row)) for x in sums)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, copies.astype(np.int64), base, known.astype(np.int64), gain)], ["row", "copies", "base", "known", "gain"])
+
+        for keys, values, words, kind, part in _passing(batches):
+            row = unpacked(part.column(3), np.int64)
+            if kind == COPIES:
+                found = (row, np.ones(len(row)), np.zeros(len(row)), np.zeros(len(row)), np.zeros(len(row)))
+            else:
+                at = keys.find(unpacked(part.column(2), np.uint64))
+                row, at = row[at >= 0], at[at >= 0]
                 row, back = np.unique(row, return_inverse=True)
-                value, word = table[1][at], table[2][at]
-                done.append((row, *(np.bincount(back, x, len(row)) for x in (value * word, word, value * ~word))))
-                size += len(row)
-                if size > HELD:
-                    yield handed()
-                    done, size = [], 0
+                value, word = values[at], words[at]
+                found = (row, np.zeros(len(row)), *(np.bincount(back, x, len(row)) for x in (value * word, word, value * ~word)))
+            done.append(found)
+            size += len(found[0])
+            if size > HELD:
+                yield handed()
+                done, size = [], 0
         if done:
             yield handed()
 
-    rows = needs.unionByName(values).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    rows = rows.mapInArrow(run, "row long, base double, known long, gain double")
-    return rows.groupBy("row").agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("gain").alias("gain"))
+    rows = _meeting(needs, reduce(DataFrame.unionByName, tables)).mapInArrow(run, "row long, copies long, base double, known long, gain double")
+    return rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("copies", "base", "known", "gain")])
 
 
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -425,18 +473,18 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     * a null or empty text is its end alone; a null doc_id is never held out;
     * rows that repeat a doc_id are scored, and where not held out counted, apart;
+      rows equal in doc_id and text have equal results;
     * without training rows every word is unknown and both scores are equal;
     * an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    path = new_folder(spark, "suffix-tree-texts")
-    rows.write.option("compression", "zstd").parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
-    model, counts, tail, buckets = fit(rows.where(~F.col("held_out")).select("text"), depth)
+    text = F.col("text").cast("string").alias("text")
+    model, tables, buckets = fit(docs.where(~held_out(F.col("doc_id"))).select(text), depth)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     norm = float(np.log10(model.tokens + ADDED * (model.distinct + 1)))
+    # sums come back by a hash of what a row is scored by
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce(text, F.lit(""))).alias("row")
 
     def heads(m: Model, t: Tokens) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """The place of each word in the model, and (text, key) of all grams, contexts among them."""
@@ -466,7 +514,7 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            row = b.column(0).to_numpy()
+            rows = b.column(0).to_numpy()
             for w in word_slices(b.column(1), lower=True):
                 t = Tokens.of(w)
                 words, parts = heads(m, t)
@@ -478,21 +526,17 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     owners.append(owner[may])
                     sought.append(keys[may])
                 owner, key = np.concatenate(owners), np.concatenate(sought)
-                bucket, keys, owners_ = packed(key, buckets, [key, (row[w.first + owner] - row[w.first]).astype(np.uint32)])
-                n = len(bucket)
-                yield pa.RecordBatch.from_arrays([bucket, pa.array(np.full(n, 2, np.int32)), pa.array(np.full(n, row[w.first])), keys, owners_, pa.nulls(n, pa.binary())], NEEDED)
+                own = rows[w.first : w.first + t.rows]
+                yield packed(NEEDS, key, buckets, a=key, b=own[owner])
+                yield packed(COPIES, own.view(np.uint64), buckets, b=own)
 
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain"]
-    head = rows.mapInArrow(facts, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double")
-    # what is too rare to be broadcast: exact counts of words, and the values of grams
-    rare = counts.select("key", "n", (F.log10(F.col("n") + F.lit(ADDED)) - F.log10(F.lit(ADDED))).alias("value")).where(F.col("n") < max(1.0, HEAD_SHARE * model.tokens))
-    values = _values(rare, buckets, words=True)
-    if tail is not None:
-        values = values.unionByName(_values(tail, buckets, words=False))
-    more = _sums(rows.select("row", "text").mapInArrow(needs, PACKED), values)
-    more = saved(more.select("row", *[F.col(c).alias(f"more_{c}") for c in ("base", "known", "gain")]), "suffix-tree-sums")
-    both = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))
+    head = docs.select(row, "doc_id", held_out(F.col("doc_id")).alias("held_out"), text)
+    head = head.mapInArrow(facts, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double")
+    more = _sums(docs.select(row, text).mapInArrow(needs, PACKED), tables)
+    more = saved(more.select("row", *[(F.col(c) / F.col("copies")).alias(f"more_{c}") for c in ("base", "known", "gain")]), "suffix-tree-sums")
+    both = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0.0))
     return head.join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", both("known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", F.round(both("known")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         both("base").alias("base_score"), (both("base") + both("gain")).alias("score"),
     )
