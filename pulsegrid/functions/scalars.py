@@ -101,3 +101,13 @@ def bytes_to(value: Column, unit: str) -> Column:
 def is_set(value: Column) -> Column:
     """Not null and not NaN, the guard of every threshold comparison."""
     return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
+def parameter_list(text: Column) -> Column:
+    """The parts of a comma-separated parameter without blanks; none of a null."""
+    return F.coalesce(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def rotated_name(name: Column, ms: Column) -> Column:
+    """The name of a result file that was rotated at a time, in the session's time zone."""
+    return F.concat_ws(".", name, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd-HH-mm-ss"))

@@ -101,3 +101,9 @@ def lower_median(value: str) -> Column:
 
 def true_median(value: str) -> Column:
     return F.percentile(value, 0.5)
+
+
+def tcp_means(flows: DataFrame, dest: str, values: list[str]) -> DataFrame:
+    """(dest, flows, means): of each destination the number of flows and the mean of each value, in which -1, not known, counts as 0."""
+    known = lambda v: F.when(F.col(v) != -1, F.col(v)).otherwise(0)
+    return flows.groupBy(dest).agg(F.count("*").alias("flows"), *[(F.sum(known(v)) / F.count("*")).alias(v) for v in values])

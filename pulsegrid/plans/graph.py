@@ -1,68 +1,22 @@
-"""The analysis graph: named nodes that are functions of other nodes' results."""
+"""The analysis graph: named analyses that are functions of other analyses' results."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
-from pulsegrid.sources.settings import tags_match
+Analysis = tuple[Callable[..., DataFrame], tuple[str, ...]]
 
 
-@dataclass
-class Node:
-    name: str
-    run: Callable[..., DataFrame]
-    upstream: list[str] = field(default_factory=list)
-    every: int = 1
-    tags: dict[str, str] = field(default_factory=dict)
+def planned(analyses: Mapping[str, Analysis], inputs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The result of each analysis, a function and the names of the inputs and analyses before it that it reads.
 
-
-class AnalysisGraph:
-    """Nodes in order of their dependencies; each is planned once, however many read it."""
-
-    def __init__(self) -> None:
-        self.nodes: dict[str, Node] = {}
-        self.failures: dict[str, int] = {}
-        self.muted: set[str] = set()
-
-    def add(self, name: str, run: Callable[..., DataFrame], upstream: list[str] | None = None, every: int = 1, tags: dict[str, str] | None = None) -> None:
-        """Adds a node; its upstream nodes must be there, so there are no cycles."""
-        if name in self.nodes or any(u not in self.nodes for u in upstream or []):
-            raise ValueError(f"{name} is there already, or a node that it reads is not")
-        self.nodes[name] = Node(name, run, upstream or [], every, tags or {})
-
-    def levels(self) -> list[list[str]]:
-        """Names by the longest way from a leaf."""
-        depth: dict[str, int] = {}
-        for name, node in self.nodes.items():
-            depth[name] = 1 + max((depth[u] for u in node.upstream), default=-1)
-        return [[n for n, d in depth.items() if d == level] for level in range(max(depth.values(), default=-1) + 1)]
-
-    def components(self) -> list[set[str]]:
-        """Nodes that read each other, directly or through others."""
-        out: list[set[str]] = []
-        for name, node in self.nodes.items():
-            touched = [c for c in out if c & set(node.upstream)]
-            out = [c for c in out if c not in touched] + [set().union({name}, *touched)]
-        return out
-
-    def plan(self, tick: int = 0, host: dict[str, str] | None = None, allowed: int = 10) -> dict[str, DataFrame]:
-        """The results of the nodes that run at a tick on a host; a node without its upstream has none.
-
-        A node that keeps failing when planned is muted after ``allowed`` failures.
-        """
-        out: dict[str, DataFrame] = {}
-        for name, node in self.nodes.items():
-            due = tick % node.every == 0 and name not in self.muted and (host is None or tags_match(node.tags, host))
-            if not due or any(u not in out for u in node.upstream):
-                continue
-            try:
-                out[name] = node.run(*[out[u] for u in node.upstream])
-            except Exception:
-                self.failures[name] = self.failures.get(name, 0) + 1
-                if self.failures[name] < allowed:
-                    raise
-                self.muted.add(name)
-        return out
+    Each is planned once, however many read it; Spark runs what is asked for.
+    """
+    out = dict(inputs)
+    for name, (run, upstream) in analyses.items():
+        if name in out or any(u not in out for u in upstream):
+            raise ValueError(f"{name} is there already, or what it reads is not")
+        out[name] = run(*[out[u] for u in upstream])
+    return {name: out[name] for name in analyses}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import metrics as catalogue
 from pulsegrid.functions import scalars as S
 from pulsegrid.operators import aggregate, align, parsing, rates, requests, stateful, windows
-from pulsegrid.plans import decisions, query, rca, temperature
+from pulsegrid.plans import decisions, graph, query, rca, temperature
 from pulsegrid.sources import metric_store, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1150,6 +1150,54 @@ def rca_json(spark: SparkSession, d: str) -> DataFrame:
     return results.latest_json(rows)
 
 
+@registered(f"""
+    WITH {_CONTENDED}, a AS (
+        SELECT 'old_gen_occupancy' AS analysis, host, CASE WHEN used >= 75 THEN 1 ELSE 0 END AS bad FROM o UNION ALL SELECT 'old_gen_reclamation', host, CASE WHEN state = 'UNHEALTHY' THEN 1 ELSE 0 END FROM k
+        UNION ALL SELECT 'old_gen_contended', host, CASE WHEN state = 'CONTENDED' THEN 1 ELSE 0 END FROM n)
+    SELECT analysis, host, count(*) AS results, sum(bad)::BIGINT AS bad FROM a GROUP BY ALL
+    UNION ALL SELECT 'large_heap_cluster', NULL, 1, CASE WHEN count(*) FILTER (state = 'CONTENDED') > 0 THEN 1 ELSE 0 END FROM n
+""")
+def analysis_graph(spark: SparkSession, d: str) -> DataFrame:
+    """How many results of each analysis of the large heap's graph are bad on each host."""
+    h = _heap(spark, d)
+    analyses = {
+        "old_gen_occupancy": (lambda x: rca.old_gen_occupancy(x, 900), ("heap",)),
+        "old_gen_reclamation": (lambda x: rca.old_gen_reclamation(x, 900), ("heap",)),
+        "old_gen_contended": (rca.old_gen_contended, ("old_gen_occupancy", "old_gen_reclamation", "ram")),
+        "large_heap_cluster": (rca.large_heap_cluster, ("old_gen_contended",)),
+    }
+    planned = graph.planned(analyses, {"heap": h, "ram": h.select("host").distinct().withColumn("ram_gb", F.col("host") * 64)})
+    bad = F.sum(F.when(F.col("state") == "HEALTHY", 0).otherwise(1)).alias("bad")
+    out = None
+    for name, rows in planned.items():
+        rows = rows if "host" in rows.columns else rows.withColumn("host", F.lit(None).cast("long"))
+        part = rows.groupBy(F.lit(name).alias("analysis"), "host").agg(F.count("*").alias("results"), bad)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@registered(f"WITH {E}, f AS (SELECT event_id, ms // {HOUR} AS hour FROM e), k AS (SELECT DISTINCT hour FROM f ORDER BY 1 DESC LIMIT 24) SELECT event_id FROM f WHERE hour IN (FROM k)")
+def result_retention(spark: SparkSession, d: str) -> DataFrame:
+    return results.retained(samples(spark, d).withColumnRenamed("ms", "ts"), 24).select("event_id")
+
+
+@registered(f"""
+    WITH {E}, f AS (SELECT event_type AS dest, CASE WHEN user_id % 3 = 0 THEN -1 ELSE value END AS tx, value AS rx FROM e)
+    SELECT dest, count(*) AS flows, round(sum(CASE WHEN tx = -1 THEN 0 ELSE tx END) / count(*), 4) AS tx, round(sum(rx) / count(*), 4) AS rx FROM f GROUP BY 1
+""")
+def tcp_destination_means(spark: SparkSession, d: str) -> DataFrame:
+    e = samples(spark, d).select(F.col("event_type").alias("dest"), F.when(F.col("user_id") % 3 == 0, -1.0).otherwise(F.col("value")).alias("tx"), F.col("value").alias("rx"))
+    return rounded(aggregate.tcp_means(e, "dest", ["tx", "rx"]))
+
+
+@registered(f"""
+    WITH {E} SELECT event_id, event_type || '.' || strftime(make_timestamp(ms * 1000), '%Y-%m-%d-%H-%M-%S') AS file, list_filter(list_transform(string_split(event_type || ', ' || host || ',,x', ','), lambda x: trim(x)), lambda x: x <> '') AS parameters FROM e
+""")
+def rotated_names(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat("event_type", F.lit(", "), F.col("host").cast("string"), F.lit(",,x"))
+    return samples(spark, d).select("event_id", S.rotated_name(F.col("event_type"), F.col("ms")).alias("file"), S.parameter_list(text).alias("parameters"))
+
+
 # Order-dependent operators: in SQL a recursion over the rows of each key, in order
 
 

@@ -21,6 +21,13 @@ def read(spark: SparkSession, path: str, hours: tuple[int, int] | None = None) -
     return rows if hours is None else rows.where(F.col("hour").between(*hours))
 
 
+def retained(rows: DataFrame, hours: int) -> DataFrame:
+    """The results of the newest ``hours`` hours that there are, the files that retention keeps."""
+    hour = F.floor(F.col("ts") / 3_600_000)
+    keep = rows.select(hour.alias("_hour")).distinct().orderBy(F.col("_hour").desc()).limit(hours)
+    return rows.join(F.broadcast(keep), hour == F.col("_hour"), "left_semi")
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The newest result of each analysis."""
     newest = rows.groupBy("rca_name").agg(F.max(F.struct("ts", "state", "summary")).alias("r"))

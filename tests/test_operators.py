@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import metrics, scalars
 from pulsegrid.operators import align, parsing, requests, stateful, windows
-from pulsegrid.plans import decisions, query, rca
-from pulsegrid.plans.graph import AnalysisGraph
+from pulsegrid.plans import decisions, graph, query, rca
 
 
 def test_os_alignment_golden(spark):
@@ -236,18 +235,15 @@ def test_topology_gc_and_throttling_rows(spark):
     assert tuple(parsing.throttling_rows(m).collect()[0]) == (1, 2, 3)
 
 
-def test_graph_order_levels_and_muting(spark):
-    g, ran = AnalysisGraph(), []
-    base = spark.range(3)
-    g.add("a", lambda: ran.append("a") or base)
-    g.add("b", lambda a: a.where("id > 0"), ["a"], every=2)
-    g.add("c", lambda: 1 / 0, tags={"locus": "data-node"})
-    assert g.levels() == [["a", "c"], ["b"]] and len(g.components()) == 2
-    assert set(g.plan(tick=1, host={"locus": "master-node"})) == {"a"}
-    assert g.plan(tick=2, host={"locus": "master-node"})["b"].count() == 2 and ran == ["a", "a"]
-    with pytest.raises(ZeroDivisionError):
-        g.plan(host={"locus": "data-node"}, allowed=2)
-    g.plan(host={"locus": "data-node"}, allowed=2)
-    assert g.muted == {"c"}
+def test_graph_plans_each_analysis_once(spark):
+    ran = []
+    analyses = {"a": (lambda base: ran.append("a") or base.where("id > 0"), ("base",)), "b": (lambda a, base: a.join(base, "id"), ("a", "base")), "c": (lambda a: a.where("id > 1"), ("a",))}
+    out = graph.planned(analyses, {"base": spark.range(4)})
+    assert ran == ["a"] and {k: v.count() for k, v in out.items()} == {"a": 3, "b": 3, "c": 2}
     with pytest.raises(ValueError):
-        g.add("d", lambda x: x, ["nothing"])
+        graph.planned({"a": (lambda b: b, ("b",)), "b": (lambda x: x, ("base",))}, {"base": spark.range(4)})
+
+
+def test_text_parameters(spark):
+    row = spark.range(1).select(scalars.parameter_list(F.lit("a, b,,c")).alias("p"), scalars.parameter_list(F.lit(None).cast("string")).alias("n"), scalars.rotated_name(F.lit("rca"), F.lit(1_600_000_000_123)).alias("f")).first()
+    assert row.p == ["a", "b", "c"] and row.n == [] and row.f == "rca.2020-09-13-12-26-40"

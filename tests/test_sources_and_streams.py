@@ -110,10 +110,29 @@ def test_each_batch_and_keyed_state(spark, tmp_path):
     assert set(got) == {("start", 4), ("finish", 2)}
 
 
+def test_state_of_open_requests_ends(spark, tmp_path):
+    """A thread that sends nothing more is forgotten once its request has expired."""
+    schema, at = "tid long, rid string, ms long, kind string", 1_700_000_000_000
+    batches = [[(1, "x", at, "start"), (2, "y", at, "start")], [(2, "y", at + 700_000, "finish")], [(3, "z", at + 800_000, "start")]]
+
+    def feed(n):
+        spark.createDataFrame(batches[n], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        rows = []
+        stream = state.open_requests(spark.readStream.schema(schema).parquet(str(tmp_path / "e")))
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda df, k: rows.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(90)
+        return rows, sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"])
+
+    assert sorted(feed(0)[0]) == [(1, "x", at), (2, "y", at)]
+    assert feed(1)[0] == []
+    rows, left = feed(2)
+    assert rows == [(3, "z", at + 800_000)] and left == 1
+
+
 def test_bucket_stream(spark, tmp_path):
-    spark.createDataFrame([(1, i * 1000, 1.0) for i in range(10)], "host long, ms long, value double").coalesce(1).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([(1, 60_000 + i * 1000, 1.0) for i in range(10)], "host long, ms long, value double").coalesce(1).write.parquet(str(tmp_path / "e"))
     out = state.bucket_totals(spark.readStream.schema("host long, ms long, value double").parquet(str(tmp_path / "e")), 4000, 2000)
     got = []
     out.writeStream.outputMode("update").foreachBatch(lambda df, n: got.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(90)
-    # buckets begin at 0, 2, 4, 6 and 8 s; at 9 s those over 4 s old are gone: 6 and 8 s stay, two values each
-    assert got == [(1, 9000, 2, 4.0)]
+    # buckets begin 0, 2, 4, 6 and 8 s after the first event; at 9 s those over 4 s old are gone: 6 and 8 s stay, two values each
+    assert got == [(1, 69_000, 2, 4.0)]
