@@ -286,8 +286,11 @@ def _classes(docs: DataFrame, row: str | None) -> DataFrame:
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest doc_id stays, columns unchanged."""
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
     path = new_folder(docs.sparkSession, "near-input")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    rows = docs.sparkSession.read.schema(StructType([*docs.schema.fields, StructField("_row", LongType())])).parquet(path)
-    first = _classes(rows, "_row").select(F.col("first").alias("_row")).distinct()
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    docs.withColumn(number, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.schema(StructType([*docs.schema.fields, StructField(number, LongType())])).parquet(path)
+    first = _classes(rows, number).select(F.col("first").alias(number)).distinct()
+    return rows.join(first, number, "left_semi").select(*docs.columns)
