@@ -55,8 +55,31 @@ def high_heap_old_gen(df: DataFrame, seconds: int = 600) -> DataFrame:
     return df.select("host", *ORDER, used.alias("least_used"), gcs.alias("full_gcs"), state((gcs >= 1) & is_set(used) & (used > OLD_GEN_USED)).alias("state"))
 
 
-def high_heap_young_gen(df: DataFrame, seconds: int = 600) -> DataFrame:
-    """Columns used_mb, full_gc_ms, young_gc_ms, premature; the first reason that holds is named."""
+def high_heap_summary(df: DataFrame, caches: list[str], seconds: int = 600, lower_bound: float = 1.0, k: int = 3) -> DataFrame:
+    """(host, ms, event_id, used, consumers) where :func:`high_heap_old_gen` is above ``lower_bound`` of its threshold.
+
+    ``consumers`` names the ``k`` largest of the columns ``caches`` by their sum in the window, of those that have values.
+    """
+    w = recent(KEY, "ms", seconds)
+    used, gcs = ratio(F.min("old_gen").over(w), F.col("heap_max")), F.sum("full_gc").over(w)
+    each = F.array(*[F.struct((-F.sum(c).over(w)).alias("below"), F.lit(c).alias("name")) for c in caches])
+    rows = df.select("host", *ORDER, used.alias("used"), gcs.alias("gcs"), each.alias("each"))
+    rows = rows.where((F.col("gcs") >= 1) & is_set(F.col("used")) & (F.col("used") > OLD_GEN_USED * lower_bound))
+    largest = F.slice(F.array_sort(F.filter("each", lambda x: x["below"].isNotNull())), 1, k)
+    return rows.select("host", *ORDER, "used", F.transform(largest, lambda x: x["name"]).alias("consumers"))
+
+
+#: The collector of which the young generation is judged.
+CMS = "ConcurrentMarkSweep"
+
+
+def high_heap_young_gen(df: DataFrame, seconds: int = 600, collector: str | None = None) -> DataFrame:
+    """Columns used_mb, full_gc_ms, young_gc_ms, premature; the first reason that holds is named.
+
+    With ``collector``, a column, only rows of hosts that run the CMS collector have a result.
+    """
+    if collector is not None:
+        df = df.where(F.col(collector) == CMS)
     rows = promotion_rate(df, "used_mb", KEY, "ms", "event_id", seconds)
     w = recent(KEY, "ms", seconds)
     full, young = F.avg("full_gc_ms").over(w), sliding("young_gc_ms", KEY, "ms", seconds)["rate"]

@@ -805,6 +805,25 @@ def high_heap_young_gen(spark: SparkSession, d: str) -> DataFrame:
     return rca.high_heap_young_gen(_heap(spark, d), 600).drop("ms")
 
 
+@registered(f"""
+    WITH {_HEAP}, s AS (SELECT host, event_id, min(old_gen) OVER w / heap_max AS used, sum(full_gc) OVER w AS gcs, [{{'s': -sum(size) OVER w, 'n': 'size'}}, {{'s': -sum(evictions) OVER w, 'n': 'evictions'}}, {{'s': -sum(hits) OVER w, 'n': 'hits'}}] AS c
+        FROM h WINDOW w AS ({_RECENT.format(3600999)}))
+    SELECT host, event_id, round(used, 4) AS used, list_transform(list_sort(c)[1:2], lambda x: x.n) AS consumers FROM s WHERE gcs >= 1 AND used > 0.65 * 0.5
+""")
+def high_heap_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(rca.high_heap_summary(_heap(spark, d), ["size", "evictions", "hits"], 3600, lower_bound=0.5, k=2).drop("ms"))
+
+
+@registered(f"""
+    WITH {_HEAP}, s AS (SELECT host, event_id, avg(full_gc_ms) OVER w AS f FROM h WHERE host % 2 = 0 WINDOW w AS ({_RECENT.format(600999)}))
+    SELECT host, count(*) AS results, count(*) FILTER (f > 10000) AS full_gc_time FROM s GROUP BY 1
+""")
+def young_gen_of_collector(spark: SparkSession, d: str) -> DataFrame:
+    h = _heap(spark, d).withColumn("collector", F.when(F.col("host") % 2 == 0, rca.CMS).otherwise("G1"))
+    rows = rca.high_heap_young_gen(h, 600, collector="collector")
+    return rows.groupBy("host").agg(F.count("*").alias("results"), F.count(F.when(F.col("reason") == "full_gc_time", 1)).alias("full_gc_time"))
+
+
 @registered(f"""
     WITH {_HEAP}, s AS (SELECT host, event_id, avg(old_gen * 100 / old_gen_max) OVER ({_RECENT.format(3600999)}) AS used FROM h)
     SELECT host, event_id, round(used, 4) AS used, CASE WHEN used >= 75 THEN 'UNHEALTHY' ELSE 'HEALTHY' END AS state FROM s
