@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pulsegrid.llm.components import components
-from pulsegrid.llm.storage import new_folder, saved
+from pulsegrid.llm.storage import discard, new_folder, saved
 from pulsegrid.llm.words import Words, gram_hashes, joined_words, mix, word_slices
 
 SHINGLE, SKETCHES, WIDTH = 5, 12, 3
@@ -157,9 +157,7 @@ def _nodes(docs: DataFrame, row: str | None) -> DataFrame:
     names = ["row", "doc_id", "text", "h1", "h2", "shingles", "bands"]
     rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(run, _NODES.format(kind))
-    path = new_folder(docs.sparkSession, "near-nodes")
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return saved(rows, "near-nodes", compression="zstd")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -203,12 +201,14 @@ def _ranked(open_: DataFrame, texts: DataFrame) -> DataFrame:
     first and then the rarest.  From the first shared one on each text must have s
     left.
     """
-    elements = saved(_elements(open_, texts), "near-elements")
+    elements = saved(_elements(open_, texts), "near-elements")  # all that the next two tables are made of
     common = elements.groupBy("e").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e", "times")
     shared = saved(elements.join(common, "e"), "near-shared")
     enough = shared.groupBy("row").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("5 * k >= 4 * n").select("row", "k")
     place = F.row_number().over(Window.partitionBy("row").orderBy("times", "e"))
-    return saved(shared.join(enough, "row").withColumn("left", F.col("k") - place + 1).where("5 * left >= 4 * n").select("row", "root", "n", "e", "left"), "near-ranked")
+    ranked = saved(shared.join(enough, "row").withColumn("left", F.col("k") - place + 1).where("5 * left >= 4 * n").select("row", "root", "n", "e", "left"), "near-ranked")
+    discard(elements, shared)
+    return ranked
 
 
 def _meeting(ranked: DataFrame) -> DataFrame:
@@ -264,22 +264,27 @@ def _classes(docs: DataFrame, row: str | None) -> DataFrame:
     buckets = saved(banded.join(sizes, ["band", "key"]), "near-buckets")
     # how common a text's sketches are: the texts that others derive from lead
     common = saved(buckets.groupBy("row").agg(F.sum("size").alias("weight")), "near-wanted")
-    buckets = buckets.drop("size").join(common, "row")
-    texts = saved(nodes.select("row", "text").join(common, "row", "left_semi"), "near-texts")
+    texts = saved(nodes.select("row", "text").join(common, "row", "left_semi"), "near-texts", compression="zstd")
+    discard(nodes)
+    tables, buckets = [common, texts, buckets], buckets.drop("size").join(common, "row")
 
     # every member of a bucket meets the member whose sketches are the most common
     by = ["band", "key"]
-    roots = saved(components(_verified(saved(_with_leader(_led(buckets, by)), "near-pairs"), texts)), "near-roots")
+    pairs = saved(_with_leader(_led(buckets, by)), "near-pairs")
+    roots = saved(components(_verified(pairs, texts)), "near-roots")
     # the members of buckets that hold several components: what else could link them
     state = buckets.select(*by, "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     several = state.groupBy(*by).agg((F.min("root") != F.max("root")).alias("open")).where("open").drop("open")
     open_ = saved(state.join(several, by, "left_semi").select("row", "root").distinct(), "near-open")
     grouped = members.join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("class"))
     if not open_.isEmpty():
-        met = _meeting(_ranked(open_, texts))
+        ranked = _ranked(open_, texts)
+        met = _meeting(ranked)
         linked = met.join(_verified(met.select("a", "b"), texts), ["a", "b"]).select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         top = saved(components(linked), "near-roots").withColumnRenamed("node", "class")
+        tables += [ranked, met]
         grouped = grouped.join(top, "class", "left").select("row", "doc_id", F.coalesce("root", "class").alias("class"))
+    discard(*tables, pairs, open_)
     named = grouped.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
     return grouped.join(named, "class").select("row", "doc_id", "class_id", "first")
 

@@ -41,13 +41,13 @@ def freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as a table in the shared folder and read back, which cuts
     its lineage and outlives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     with freed(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.saved_at = path
     return table
