@@ -59,17 +59,43 @@ _SLOT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 
 
 class Index:
-    """Positions of sorted 64-bit keys, looked up for whole arrays at once."""
+    """Positions of distinct 64-bit keys, looked up for whole arrays at once: a table of slots, and a smaller one for what collides."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys.astype(np.uint64)
+        self.tables: list[tuple[int, np.ndarray]] = []
+        rest = np.arange(len(keys), dtype=np.int32)
+        while len(rest):
+            bits = max(4, int(np.ceil(np.log2(len(rest) * 4))))
+            slot = self._slot(self.keys[rest], len(self.tables), bits)
+            table = np.full(1 << bits, -1, dtype=np.int32)
+            table[slot] = rest
+            self.tables.append((bits, table))
+            rest = rest[table[slot] != rest]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+        odd = _SLOT[level % 4] + np.uint64(2 * (level // 4))
+        return ((keys * odd) >> np.uint64(64 - bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The position of each key, -1 for others."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+        out = np.full(len(keys), -1, dtype=np.int64)
+        todo, sought = None, keys
+        for level, (bits, table) in enumerate(self.tables):
+            at = table[self._slot(sought, level, bits)]
+            held = np.flatnonzero(at >= 0)
+            at = at[held]
+            hit = self.keys[at] == sought[held]
+            found, missed = held[hit], held[~hit]
+            if todo is None:
+                out[found], todo = at[hit], missed
+            else:
+                out[todo[found]], todo = at[hit], todo[missed]
+            if not len(todo):
+                break
+            sought = keys[todo]
+        return out
 
 
 class Filter:
@@ -111,7 +137,7 @@ class Filter:
 
 @dataclass
 class Model:
-    """The broadcast part of the tree: frequent words and grams, and what other grams to join."""
+    """The broadcast part of the tree: frequent words and grams, and a filter of all grams."""
 
     tokens: int
     distinct: int
@@ -119,7 +145,7 @@ class Model:
     counts: np.ndarray
     grams: Index | None = None
     values: np.ndarray | None = None
-    others: Filter | None = None
+    all_grams: Filter | None = None
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + ADDED) / (self.tokens + ADDED * (self.distinct + 1))
@@ -179,16 +205,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-#: A packed table: keys a and b, counts n, values v.  Kinds order the rows of a bucket.
-PACKED = "bucket int, kind int, a binary, b binary, n binary, v binary"
-TABLE, WORDS, NEEDS, COPIES, VALUES, HEAD = range(6)
+#: A packed table: keys a and b, counts n, values v; s is for a whole row.  Kinds order the rows of a bucket.
+PACKED = "bucket int, kind int, a binary, b binary, n binary, v binary, s long"
+TABLE, WORDS, NEEDS, VALUES, HEAD = range(5)
 
 
-def packed(kind: int, by: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.RecordBatch:
+def packed(kind: int, by: np.ndarray, buckets: int, s: int | None = None, **columns: np.ndarray) -> pa.RecordBatch:
     """Rows of at most ``PIECE`` entries for the buckets of the keys ``by``."""
     bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
+    if (bucket[1:] < bucket[:-1]).any():
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+    else:  # buckets ascend with keys
+        order = slice(None)
     at = np.arange(len(bucket))
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else at
     since = at - np.repeat(begin, np.diff(np.concatenate((begin, [len(bucket)]))))
@@ -202,13 +231,14 @@ def packed(kind: int, by: np.ndarray, buckets: int, **columns: np.ndarray) -> pa
             out.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, sizes, pa.py_buffer(np.ascontiguousarray(x[order]))]))
         else:
             out.append(pa.nulls(len(begin), pa.binary()))
-    return pa.RecordBatch.from_arrays(out, ["bucket", "kind", "a", "b", "n", "v"])
+    out.append(pa.array([s] * len(begin), pa.int64()))
+    return pa.RecordBatch.from_arrays(out, ["bucket", "kind", "a", "b", "n", "v", "s"])
 
 
 def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
-    """All entries of a column of packed rows."""
+    """All entries of a column of packed rows; rows without that column have none."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b"".join(c.to_pylist()), dtype=kind) for c in chunks)])
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(b"".join(c.drop_null().to_pylist()), dtype=kind) for c in chunks)])
 
 
 def summed(key: np.ndarray, n: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -428,44 +458,72 @@ def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[Model, list[DataFrame], i
     values = saved(values.groupBy("bucket").applyInArrow(whole, PACKED), "suffix-tree-values")
     discard(*levels[1:])
     keys, model.values = _collected(kind(values, HEAD).select("a", "v"), np.float64)
-    model.grams, tail = Index(keys), kind(values, TABLE)
-    model.others = Filter(tail)
-    return model, [rare, tail], buckets
+    model.grams, model.all_grams = Index(keys), Filter(values)
+    return model, [rare, kind(values, TABLE)], buckets
+
+
+#: What adds to the texts of slice s: sums for the texts i, or of the whole slice the hash of each row and what the scan knows.
+PARTS = "s long, i binary, known binary, base binary, gain binary, rows binary, facts binary"
 
 
 def _sums(needs: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(row, copies, base, known, gain): what the values of the keys in ``needs`` add to all rows of text with a hash, and how many these are."""
+    """PARTS rows: what the values of the keys in ``needs`` add to each text, and what is known of the texts."""
+    names = [f.split()[0] for f in PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def handed() -> pa.RecordBatch:
-            row, *sums = (np.concatenate(x) for x in zip(*done, strict=True))
-            row, back = np.unique(row, return_inverse=True)
-            copies, base, known, gain = (np.bincount(back, x, len(row)) for x in sums)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (row, copies.astype(np.int64), base, known.astype(np.int64), gain)], ["row", "copies", "base", "known", "gain"])
+            s, i, *sums = (np.concatenate(x) for x in zip(*done, strict=True))
+            order = np.lexsort((i, s))
+            s, i = s[order], i[order]
+            first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (i[1:] != i[:-1]))))
+            columns = [i[first], *(np.add.reduceat(x[order], first) for x in sums)]
+            s = s[first]
+            begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            bounds = np.concatenate((begin, [len(s)]))
+            made = [pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in columns]
+            return pa.RecordBatch.from_arrays([pa.array(s[begin]), *made, pa.nulls(len(begin), pa.binary()), pa.nulls(len(begin), pa.binary())], names)
 
         for keys, values, words, kind, part in _passing(batches):
-            row = unpacked(part.column(3), np.int64)
-            if kind == COPIES:
-                found = (row, np.ones(len(row)), np.zeros(len(row)), np.zeros(len(row)), np.zeros(len(row)))
-            else:
-                at = keys.find(unpacked(part.column(2), np.uint64))
-                row, at = row[at >= 0], at[at >= 0]
-                row, back = np.unique(row, return_inverse=True)
+            if kind == HEAD:
+                none = [pa.nulls(part.num_rows, pa.binary())] * 4
+                yield pa.RecordBatch.from_arrays([part.column(6), *none, part.column(2), part.column(5)], names)
+                continue
+            at = keys.find(unpacked(part.column(2), np.uint64))
+            sizes = pc.binary_length(part.column(3)).to_numpy() // 4
+            s, i = np.repeat(part.column(6).to_numpy(), sizes), unpacked(part.column(3), np.uint32)
+            s, i, at = s[at >= 0], i[at >= 0], at[at >= 0]
+            if len(s):
+                # entries of one text follow each other
+                first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (i[1:] != i[:-1]))))
                 value, word = values[at], words[at]
-                found = (row, np.zeros(len(row)), *(np.bincount(back, x, len(row)) for x in (value * word, word, value * ~word)))
-            done.append(found)
-            size += len(found[0])
+                done.append((s[first], i[first], *(np.add.reduceat(x, first) for x in (word.astype(np.float64), value * word, value * ~word))))
+                size += len(first)
             if size > HELD:
                 yield handed()
                 done, size = [], 0
         if done:
             yield handed()
 
-    rows = _meeting(needs, reduce(DataFrame.unionByName, tables)).mapInArrow(run, "row long, copies long, base double, known long, gain double")
-    return rows.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("copies", "base", "known", "gain")])
+    return _meeting(needs, reduce(DataFrame.unionByName, tables)).mapInArrow(run, PARTS)
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    """(row, n_tokens, n_known, base, gain) of the texts of all slices."""
+
+    def total(t: pa.Table) -> pa.Table:
+        whole = t.filter(pc.is_valid(t["rows"]))
+        copies = whole.num_rows  # slices of the same rows have one name
+        rows = np.frombuffer(whole["rows"][0].as_py(), dtype=np.int64)
+        tokens, known, base, gain = np.frombuffer(whole["facts"][0].as_py(), dtype=np.float64).reshape(-1, 4).T.copy()
+        i = unpacked(t["i"], np.uint32)
+        for x, name in ((known, "known"), (base, "base"), (gain, "gain")):
+            x += np.bincount(i, unpacked(t[name], np.float64), len(rows)) / copies
+        return pa.table({"row": rows, "n_tokens": tokens.astype(np.int64), "n_known": np.rint(known).astype(np.int64), "base": base, "gain": gain})
+
+    return parts.groupBy("s").applyInArrow(total, "row long, n_tokens long, n_known long, base double, gain double")
 
 
 def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -481,62 +539,44 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     text = F.col("text").cast("string").alias("text")
     model, tables, buckets = fit(docs.where(~held_out(F.col("doc_id"))).select(text), depth)
     shared = spark.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     norm = float(np.log10(model.tokens + ADDED * (model.distinct + 1)))
-    # sums come back by a hash of what a row is scored by
-    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce(text, F.lit(""))).alias("row")
-
-    def heads(m: Model, t: Tokens) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """The place of each word in the model, and (text, key) of all grams, contexts among them."""
-        parts = [(t.docs[t.first], np.full(t.rows, START)), (t.docs, t.hashes)] if m.grams is not None else []
-        parts += [(t.docs[at], key) for at, key, _, _ in grams(t, depth)] if m.grams is not None else []
-        return m.words.find(t.hashes), parts
 
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         logs = np.log10(m.counts + ADDED) - norm
         for b in batches:
-            for w in word_slices(b.column(3), lower=True):
+            rows = b.column(0).to_numpy()
+            for w in word_slices(b.column(1), lower=True):
                 t = Tokens.of(w)
-                words, parts = heads(m, t)
+                words = m.words.find(t.hashes)
                 known = words >= 0
                 base = np.full(len(words), np.log10(ADDED) - norm)
                 base[known] = logs[words[known]]
-                gain = np.zeros(t.rows)
-                for owner, keys in parts:
-                    found = m.grams.find(keys)
-                    hit = found >= 0
-                    gain += np.bincount(owner[hit], m.values[found[hit]], t.rows)
-                part = b.slice(w.first, t.rows)
-                numbers = [np.bincount(t.docs, minlength=t.rows), np.bincount(t.docs, known, t.rows).astype(np.int64), np.bincount(t.docs, base, t.rows), gain]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, numbers)], names)
-
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            rows = b.column(0).to_numpy()
-            for w in word_slices(b.column(1), lower=True):
-                t = Tokens.of(w)
-                words, parts = heads(m, t)
-                rare = np.flatnonzero(words < 0)
-                owners, sought = [t.docs[rare]], [t.hashes[rare] ^ _AS_WORD]
-                for owner, keys in parts:
-                    may = np.flatnonzero(m.others.has(keys))
-                    may = may[m.grams.find(keys[may]) < 0]
-                    owners.append(owner[may])
-                    sought.append(keys[may])
+                gain, owners, sought = np.zeros(t.rows), [t.docs[~known]], [t.hashes[~known] ^ _AS_WORD]
+                if m.grams is not None:
+                    # all grams, contexts among them
+                    for owner, keys in [(t.docs[t.first], np.full(t.rows, START)), (t.docs, t.hashes), *((t.docs[at], key) for at, key, _, _ in grams(t, depth))]:
+                        may = np.flatnonzero(m.all_grams.has(keys))
+                        owner, keys = owner[may], keys[may]
+                        found = m.grams.find(keys)
+                        hit = found >= 0
+                        gain += np.bincount(owner[hit], m.values[found[hit]], t.rows)
+                        owners.append(owner[~hit])
+                        sought.append(keys[~hit])
                 owner, key = np.concatenate(owners), np.concatenate(sought)
+                order = np.argsort(owner, kind="stable")
                 own = rows[w.first : w.first + t.rows]
-                yield packed(NEEDS, key, buckets, a=key, b=own[owner])
-                yield packed(COPIES, own.view(np.uint64), buckets, b=own)
-
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain"]
-    head = docs.select(row, "doc_id", held_out(F.col("doc_id")).alias("held_out"), text)
-    head = head.mapInArrow(facts, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double")
-    more = _sums(docs.select(row, text).mapInArrow(needs, PACKED), tables)
-    more = saved(more.select("row", *[(F.col(c) / F.col("copies")).alias(f"more_{c}") for c in ("base", "known", "gain")]), "suffix-tree-sums")
-    both = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0.0))
-    return head.join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", F.round(both("known")).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        both("base").alias("base_score"), (both("base") + both("gain")).alias("score"),
+                s = int(np.bitwise_xor.reduce(mix(own.view(np.uint64) + np.arange(t.rows, dtype=np.uint64) * _AS_WORD)).view(np.int64))
+                yield packed(NEEDS, key[order], buckets, s=s, a=key[order], b=owner[order].astype(np.uint32))
+                # what is known of each text already: one row that meets no table
+                numbers = np.column_stack((np.bincount(t.docs, minlength=t.rows), np.bincount(t.docs, known, t.rows), np.bincount(t.docs, base, t.rows), gain))
+                facts = [pa.array([((s % 2**64 >> 32) * buckets) >> 32], pa.int32()), pa.array([HEAD], pa.int32()), pa.array([own.tobytes()]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([numbers.tobytes()]), pa.array([s])]
+                yield pa.RecordBatch.from_arrays(facts, ["bucket", "kind", "a", "b", "n", "v", "s"])
+
+    row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce(text, F.lit(""))).alias("row")
+    found = _totals(_sums(docs.select(row, text).mapInArrow(scan, PACKED), tables))
+    found = saved(found.groupBy("row").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")]), "suffix-tree-sums")
+    rows = docs.select(row, "doc_id", held_out(F.col("doc_id")).alias("held_out")).join(found, "row", "left")
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"),
     )
