@@ -53,6 +53,8 @@ START = np.uint64(0x51A7751A7751A775)
 FILTER_BITS, KEY_BITS = 1 << 28, 16
 #: Pairs counted in a task before they are handed on, the most in one packed row, and the bytes of text for each bucket.
 HELD, PIECE, BUCKET_BYTES = 1_000_000, 512, 8 << 20
+#: Rounds in which the texts are scored.
+ROUNDS = 3
 #: Makes the key under which a word's own count is looked up, apart from its key as a context.
 _AS_WORD = np.uint64(0x3C6EF372FE94F82B)
 _SLOT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -574,8 +576,13 @@ def scored(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(facts, ["bucket", "kind", "a", "b", "n", "v", "s"])
 
     row = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce(text, F.lit(""))).alias("row")
-    found = _totals(_sums(docs.select(row, text).mapInArrow(scan, PACKED), tables))
-    found = saved(found.groupBy("row").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")]), "suffix-tree-sums")
+    # a share of the texts at a time, so that only their keys are on disk at once
+    rounds = []
+    for k in range(ROUNDS):
+        some = docs.select(row, text).where(F.pmod("row", F.lit(ROUNDS)) == k)
+        found = _totals(_sums(some.mapInArrow(scan, PACKED), tables))
+        rounds.append(saved(found.groupBy("row").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")]), "suffix-tree-sums"))
+    found = reduce(DataFrame.unionByName, rounds)
     rows = docs.select(row, "doc_id", held_out(F.col("doc_id")).alias("held_out")).join(found, "row", "left")
     return rows.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"),
