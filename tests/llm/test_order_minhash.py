@@ -84,6 +84,20 @@ def test_large_groups_against_all_pairs(spark, seed):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_a_shared_passage_brings_no_pairs_together(spark, monkeypatch):
+    """Of many texts that share a passage, two thirds of each, no pair is compared beyond the leaders' own."""
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join([*passage, *(f"u{i}x{k}" for k in range(rng.randrange(25, 35)))]), "x", "y") for i in range(400)]
+    met, verified = [], []
+    meeting, check = order_minhash._meeting, order_minhash._verified
+    monkeypatch.setattr(order_minhash, "_meeting", lambda ranked: met.append(meeting(ranked)) or met[-1])
+    monkeypatch.setattr(order_minhash, "_verified", lambda pairs, texts: verified.append(pairs.count()) or check(pairs, texts))
+    got = order_minhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(400)]
+    assert verified[0] <= order_minhash.SKETCHES * 400 and sum(verified[1:]) == 0 and len(met) == 1
+
+
 def test_edge_cases(spark):
     long = " ".join(f"l{i}" for i in range(30_000))
     rows = [
