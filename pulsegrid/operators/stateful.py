@@ -128,7 +128,7 @@ def collection_cycles(df: DataFrame, key: str, ms: str, tie: str, used: str, ful
             nonlocal top, before, promoted
             top, share = max(top, now), None
             if now >= before:
-                promoted += now - before
+                promoted = promoted + now - before  # in this order, as in SQL: the share may lie on its bound of 1
             elif gc > 0 and promoted > 0:
                 part = (top - now) / promoted
                 share = part if 0 <= part <= 1 else None
