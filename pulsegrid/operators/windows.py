@@ -6,6 +6,8 @@ seconds, so its frame reaches back seconds * 1000 + 999 milliseconds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -20,6 +22,49 @@ def recent(keys: list[str], ms: str, seconds: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(ms).rangeBetween(-(seconds * 1000 + 999), 0)
 
 
+# How the two parts of a window join, by the function that gathers them; a part without values is null, or 0 for a count.
+_JOINED: dict[str, Callable[[Column, Column], Column]] = {
+    "count": lambda a, b: a + b,
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "min": F.least,
+    "max": F.greatest,
+}
+
+
+def over_recent(df: DataFrame, keys: list[str], ms: str, seconds: int, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds columns: name -> (kind, column) is the count, sum, avg, min, max or rate of that column in the window of ``seconds`` up to a row.
+
+    A rate is the sum over the seconds between the oldest and newest row.
+
+    Time is cut into blocks as long as a window, so a window is the end of one block and
+    the beginning of the next.  Both are running aggregates, one towards each end of the
+    time: a row costs the same however many rows are in its window, nothing is subtracted,
+    and the blocks of a key are apart.  A block gets the rows of the one before as well.
+    """
+    reach = seconds * 1000 + 999
+    block = F.col(ms) - F.pmod(F.col(ms), F.lit(reach + 1))
+    at = lambda start, past: F.struct(start.alias("_block"), F.lit(past).alias("_past"))
+    rows = df.select("*", F.inline(F.array(at(block, False), at(block + F.lit(reach + 1), True)))).where(~F.col("_past") | F.col(ms).isNotNull())
+    rows = rows.withColumn("_from", F.when(F.col("_past"), F.col(ms)).otherwise(F.col(ms) - F.lit(reach)))
+
+    within = Window.partitionBy(*keys, "_block")
+    ending = within.orderBy(F.desc("_from")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    beginning = within.orderBy(ms).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    needs = {"avg": lambda c: [("sum", c), ("count", c)], "rate": lambda c: [("sum", c), ("min", ms)]}
+    parts = dict.fromkeys(part for kind, c in wanted.values() for part in needs.get(kind, lambda c, kind=kind: [(kind, c)])(c))
+    names = {part: f"_part{n}" for n, part in enumerate(parts)}
+    for side, w, here in (("a", ending, F.col("_past")), ("b", beginning, ~F.col("_past"))):
+        rows = rows.withColumns({f"{names[f, c]}{side}": getattr(F, f)(F.when(here, F.col(c))).over(w) for f, c in parts})
+
+    joined = {(f, c): _JOINED[f](F.col(f"{names[f, c]}a"), F.col(f"{names[f, c]}b")) for f, c in parts}
+    made = {
+        "avg": lambda c: ratio(joined["sum", c], joined["count", c]),
+        "rate": lambda c: ratio(joined["sum", c], (F.col(ms) - joined["min", ms]) / F.lit(1000.0)),
+    }
+    results = [(made[kind](c) if kind in made else joined[kind, c]).alias(name) for name, (kind, c) in wanted.items()]
+    return rows.where(~F.col("_past")).select(*[F.col(c) for c in df.columns], *results)
+
+
 def moving_average(value: str, n: int, keys: list[str], order: list[str]) -> Column:
     """The mean of the last ``n`` rows, -1 until there are as many."""
     w = series(keys, order)
@@ -40,17 +85,18 @@ def sliding(value: str, keys: list[str], ms: str, seconds: int) -> dict[str, Col
     }
 
 
-def promotion_rate(df: DataFrame, value: str, keys: list[str], ms: str, tie: str, seconds: int) -> DataFrame:
-    """Adds ``promoted``, the increases within the window, and ``promotion_rate`` a second.
+def promotion_rate(df: DataFrame, value: str, keys: list[str], ms: str, tie: str, seconds: int, more: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Adds ``promoted``, the increases within the window, ``promotion_rate`` a second, and ``more`` as :func:`over_recent` does.
 
     The increase to the oldest row of a window came from a row outside and does not count.
     """
-    w = recent(keys, ms, seconds)
-    df = df.withColumn("_up", F.greatest(F.col(value) - F.lag(value).over(series(keys, [ms, tie])), F.lit(0.0)))
-    df = df.withColumn("_up", F.coalesce("_up", F.lit(0.0)))
-    first = F.min(F.struct(F.col(ms), F.col(tie), F.col("_up"))).over(w)["_up"]
-    span = (F.max(ms).over(w) - F.min(ms).over(w)) / F.lit(1000.0)
-    return df.withColumn("promoted", F.sum("_up").over(w) - first).withColumn("promotion_rate", ratio(F.col("promoted"), span)).drop("_up")
+    up = F.greatest(F.col(value) - F.lag(value).over(series(keys, [ms, tie])), F.lit(0.0))
+    rows = df.withColumn("_up", F.coalesce(up, F.lit(0.0))).withColumn("_first", F.struct(F.col(ms), F.col(tie), F.col("_up")))
+    wanted = {"_ups": ("sum", "_up"), "_oldest": ("min", "_first"), **(more or {})}
+    rows = over_recent(rows, keys, ms, seconds, wanted)
+    span = (F.col(ms) - F.col("_oldest")[ms]) / F.lit(1000.0)
+    rows = rows.withColumn("promoted", F.col("_ups") - F.col("_oldest._up")).withColumn("promotion_rate", ratio(F.col("promoted"), span))
+    return rows.drop("_up", "_first", "_ups", "_oldest")
 
 
 def run_duration(df: DataFrame, value: str, keys: list[str], ms: str, tie: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Telemetry queries on small tables of their own, against their SQL."""
 
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
 from pulsegrid import queries
+from pulsegrid.operators import windows
 
 T0 = queries.T0
 
@@ -34,3 +38,34 @@ def test_reclaimed_share_on_its_bound(against_sql):
     events = [(h * 10 + n, T0 + n * 1000, h, "error" if v == 0 else "click", v) for h, vs in enumerate(series) for n, v in enumerate(vs)]
     got = against_sql("gc_state_machine", events)
     assert len(got) == 12
+
+
+SLIDING = ["promotion_rate"]
+
+
+@pytest.mark.parametrize("name", SLIDING)
+def test_sliding_windows_cost_the_same_at_any_density(spark, against_sql, tmp_path, name):
+    """Many rows a window and rows of the same time; and no frame is gone through again for each row."""
+    rng = random.Random(7)
+    kinds = ["error", "view", "click", "signup"]
+    events = [(n, T0 + rng.randrange(4 * queries.HOUR) // 5000 * 5000, n % 3, kinds[rng.randrange(4)], round(40 + rng.random() * 60, 2)) for n in range(3000)]
+    assert against_sql(name, events)
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, (.*?), currentrow\$\(\)\)", plan)
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
+def test_windows_of_two_blocks(spark):
+    """Every window by brute force: block bounds, rows of one time, negative times, missing times, values and keys, values that are not finite."""
+    rng = random.Random(3)
+    values = [None, float("nan"), float("inf"), 0.0, -1.5] + [1.0, 2.5, 7.25] * 4
+    rows = [(n, rng.choice([1, 2, None]), rng.choice([None, -2000, -1, 0, 1999, 2000, 3998, 3999, 4000, 12_000, *range(2000, 9000, 500)]), rng.choice(values)) for n in range(400)]
+    df = spark.createDataFrame(rows, "n long, k long, ms long, v double")
+    kinds = {"size": "count", "sum": "sum", "avg": "avg", "least": "min", "most": "max", "rate": "rate"}
+    got = windows.over_recent(df, ["k"], "ms", 1, {name: (kind, "v") for name, kind in kinds.items()})
+    assert got.columns == [*df.columns, *kinds]
+    w = "(PARTITION BY k ORDER BY ms RANGE BETWEEN 1999 PRECEDING AND CURRENT ROW)"
+    df.createOrReplaceTempView("dense")
+    span = f"try_divide(sum(v) OVER {w}, (max(ms) OVER {w} - min(ms) OVER {w}) / 1000D)"
+    want = spark.sql(f"SELECT *, count(v) OVER {w} AS size, sum(v) OVER {w} AS sum, avg(v) OVER {w} AS avg, min(v) OVER {w} AS least, max(v) OVER {w} AS most, {span} AS rate FROM dense")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
