@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import is_set, range_threshold, ratio
 from pulsegrid.operators.aggregate import lower_median, top_k, true_median
-from pulsegrid.operators.windows import last_k_all, latest, promotion_rate, recent, run_duration, series, sliding
+from pulsegrid.operators.windows import last_k_all, latest, over_recent, promotion_rate, recent, run_duration, series, sliding
 
 KEY, ORDER = ["host"], ["ms", "event_id"]
 
@@ -180,8 +180,9 @@ def shard_request_cache(df: DataFrame, seconds: int = REJECTION_SECONDS) -> Data
 
 def old_gen_occupancy(df: DataFrame, seconds: int = 60) -> DataFrame:
     """Unhealthy where the old generation is on average this full in percent."""
-    used = F.avg(ratio(F.col("old_gen") * 100, F.col("old_gen_max"))).over(recent(KEY, "ms", seconds))
-    return df.select("host", *ORDER, used.alias("used"), state(is_set(used) & (used >= OLD_GEN_OCCUPANCY)).alias("state"))
+    percent = df.select("host", *ORDER, ratio(F.col("old_gen") * 100, F.col("old_gen_max")).alias("percent"))
+    rows, used = over_recent(percent, KEY, "ms", seconds, {"used": ("avg", "percent")}), F.col("used")
+    return rows.select("host", *ORDER, "used", state(is_set(used) & (used >= OLD_GEN_OCCUPANCY)).alias("state"))
 
 
 def old_gen_reclamation(df: DataFrame, seconds: int = 60) -> DataFrame:

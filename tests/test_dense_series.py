@@ -40,7 +40,7 @@ def test_reclaimed_share_on_its_bound(against_sql):
     assert len(got) == 12
 
 
-SLIDING = ["promotion_rate"]
+SLIDING = ["promotion_rate", "old_gen_occupancy"]
 
 
 @pytest.mark.parametrize("name", SLIDING)
