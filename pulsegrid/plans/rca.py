@@ -80,10 +80,9 @@ def high_heap_young_gen(df: DataFrame, seconds: int = 600, collector: str | None
     """
     if collector is not None:
         df = df.where(F.col(collector) == CMS)
-    rows = promotion_rate(df, "used_mb", KEY, "ms", "event_id", seconds)
-    w = recent(KEY, "ms", seconds)
-    full, young = F.avg("full_gc_ms").over(w), sliding("young_gc_ms", KEY, "ms", seconds)["rate"]
-    premature = F.avg("premature").over(w)
+    more = {"_full": ("avg", "full_gc_ms"), "_young": ("rate", "young_gc_ms"), "_premature": ("avg", "premature")}
+    rows = promotion_rate(df, "used_mb", KEY, "ms", "event_id", seconds, more)
+    full, young, premature = (F.col(c) for c in more)
     reason = (
         F.when(is_set(full) & (full > YOUNG_FULL_GC_MS), "full_gc_time")
         .when(is_set(F.col("promotion_rate")) & (F.col("promotion_rate") > YOUNG_PROMOTION_MB), "promotion_rate")
