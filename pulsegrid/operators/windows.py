@@ -72,17 +72,10 @@ def moving_average(value: str, n: int, keys: list[str], order: list[str]) -> Col
     return F.when(full, F.avg(value).over(w.rowsBetween(-(n - 1), 0))).otherwise(F.lit(-1.0))
 
 
-def sliding(value: str, keys: list[str], ms: str, seconds: int) -> dict[str, Column]:
-    """size, sum, avg, min, and rate: the sum over the seconds between oldest and newest row."""
-    w = recent(keys, ms, seconds)
-    span = (F.max(ms).over(w) - F.min(ms).over(w)) / F.lit(1000.0)
-    return {
-        "size": F.count(value).over(w),
-        "sum": F.sum(value).over(w),
-        "avg": F.avg(value).over(w),
-        "min": F.min(value).over(w),
-        "rate": ratio(F.sum(value).over(w), span),
-    }
+def sliding(df: DataFrame, value: str, keys: list[str], ms: str, seconds: int) -> DataFrame:
+    """Adds size, sum, avg, min, and rate: the sum over the seconds between oldest and newest row."""
+    kinds = {"size": "count", "sum": "sum", "avg": "avg", "min": "min", "rate": "rate"}
+    return over_recent(df, keys, ms, seconds, {name: (kind, value) for name, kind in kinds.items()})
 
 
 def promotion_rate(df: DataFrame, value: str, keys: list[str], ms: str, tie: str, seconds: int, more: dict[str, tuple[str, str]] | None = None) -> DataFrame:

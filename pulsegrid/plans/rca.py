@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import is_set, range_threshold, ratio
 from pulsegrid.operators.aggregate import lower_median, top_k, true_median
-from pulsegrid.operators.windows import last_k_all, latest, over_recent, promotion_rate, recent, run_duration, series, sliding
+from pulsegrid.operators.windows import last_k_all, latest, over_recent, promotion_rate, recent, run_duration, series
 
 KEY, ORDER = ["host"], ["ms", "event_id"]
 
@@ -133,8 +133,8 @@ def hot_shards(df: DataFrame, seconds: int = 60, thresholds: dict[str, float] =
     """(index, shard, ms, event_id, a rate for each resource, hot) by the rate a second in the window; a missing value is 0."""
     keys = ["index", "shard"]
     filled = df.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in thresholds})
-    rates = {f"{r}_rate": sliding(r, keys, "ms", seconds)["rate"] for r in thresholds}
-    filled = filled.withColumns(rates)
+    rates = {f"{r}_rate": ("rate", r) for r in thresholds}
+    filled = over_recent(filled, keys, "ms", seconds, rates)
     hot = F.lit(False)
     for r, most in thresholds.items():
         hot = hot | (is_set(F.col(f"{r}_rate")) & (F.col(f"{r}_rate") > most))

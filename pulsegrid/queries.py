@@ -373,8 +373,7 @@ _RECENT = "PARTITION BY host ORDER BY ms RANGE BETWEEN {} PRECEDING AND CURRENT
         round(sum(value) OVER w / nullif((max(ms) OVER w - min(ms) OVER w) / 1000.0, 0), 4) AS rate FROM e WINDOW w AS ({_RECENT.format(7200999)})
 """)
 def sliding_avg_rate_min(spark: SparkSession, d: str) -> DataFrame:
-    e = samples(spark, d)
-    return rounded(e.select("host", "event_id", *[c.alias(n) for n, c in windows.sliding("value", ["host"], "ms", 7200).items()]))
+    return rounded(windows.sliding(samples(spark, d), "value", ["host"], "ms", 7200).select("host", "event_id", "size", "sum", "avg", "min", "rate"))
 
 
 @registered(f"""
