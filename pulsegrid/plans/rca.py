@@ -94,8 +94,8 @@ def high_heap_young_gen(df: DataFrame, seconds: int = 600, collector: str | None
 
 def generic_resource(df: DataFrame, value: str, threshold: float, seconds: int = 600) -> DataFrame:
     """CONTENDED where the mean use in the window is above the threshold."""
-    mean = F.avg(value).over(recent(KEY, "ms", seconds))
-    return df.select("host", *ORDER, mean.alias("mean"), state(is_set(mean) & (mean > threshold), "CONTENDED").alias("state"))
+    rows, mean = over_recent(df.select("host", *ORDER, value), KEY, "ms", seconds, {"mean": ("avg", value)}), F.col("mean")
+    return rows.select("host", *ORDER, "mean", state(is_set(mean) & (mean > threshold), "CONTENDED").alias("state"))
 
 
 def high_cpu(df: DataFrame, value: str, cores: int, seconds: int = 600) -> DataFrame:
