@@ -60,10 +60,9 @@ def high_heap_summary(df: DataFrame, caches: list[str], seconds: int = 600, lowe
 
     ``consumers`` names the ``k`` largest of the columns ``caches`` by their sum in the window, of those that have values.
     """
-    w = recent(KEY, "ms", seconds)
-    used, gcs = ratio(F.min("old_gen").over(w), F.col("heap_max")), F.sum("full_gc").over(w)
-    each = F.array(*[F.struct((-F.sum(c).over(w)).alias("below"), F.lit(c).alias("name")) for c in caches])
-    rows = df.select("host", *ORDER, used.alias("used"), gcs.alias("gcs"), each.alias("each"))
+    rows = over_recent(df, KEY, "ms", seconds, {"least": ("min", "old_gen"), "gcs": ("sum", "full_gc"), **{f"sum_{c}": ("sum", c) for c in caches}})
+    each = F.array(*[F.struct((-F.col(f"sum_{c}")).alias("below"), F.lit(c).alias("name")) for c in caches])
+    rows = rows.select("host", *ORDER, ratio(F.col("least"), F.col("heap_max")).alias("used"), "gcs", each.alias("each"))
     rows = rows.where((F.col("gcs") >= 1) & is_set(F.col("used")) & (F.col("used") > OLD_GEN_USED * lower_bound))
     largest = F.slice(F.array_sort(F.filter("each", lambda x: x["below"].isNotNull())), 1, k)
     return rows.select("host", *ORDER, "used", F.transform(largest, lambda x: x["name"]).alias("consumers"))
