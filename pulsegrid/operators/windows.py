@@ -1,7 +1,7 @@
 """Sliding windows over keyed time series, as columns.
 
 A time window of ``seconds`` holds a row while floor((now - its time) / 1 s) <=
-seconds, so its frame reaches back seconds * 1000 + 999 milliseconds.
+seconds, so it reaches back seconds * 1000 + 999 milliseconds.
 """
 
 from __future__ import annotations
@@ -18,10 +18,6 @@ def series(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def recent(keys: list[str], ms: str, seconds: int) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(ms).rangeBetween(-(seconds * 1000 + 999), 0)
-
-
 # How the two parts of a window join, by the function that gathers them; a part without values is null, or 0 for a count.
 _JOINED: dict[str, Callable[[Column, Column], Column]] = {
     "count": lambda a, b: a + b,

@@ -40,7 +40,7 @@ def test_reclaimed_share_on_its_bound(against_sql):
     assert len(got) == 12
 
 
-SLIDING = ["promotion_rate", "old_gen_occupancy", "high_heap_young_gen", "young_gen_of_collector", "sliding_avg_rate_min", "hot_shard_node", "high_cpu", "high_heap_summary"]
+SLIDING = ["promotion_rate", "old_gen_occupancy", "sliding_avg_rate_min", "high_cpu", "high_heap_young_gen", "young_gen_of_collector", "high_heap_summary", "high_heap_old_gen", "old_gen_reclamation", "hot_shard_node"]
 
 
 @pytest.mark.parametrize("name", SLIDING)
