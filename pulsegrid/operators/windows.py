@@ -42,6 +42,7 @@ def over_recent(df: DataFrame, keys: list[str], ms: str, seconds: int, wanted: d
     at = lambda start, past: F.struct(start.alias("_block"), F.lit(past).alias("_past"))
     rows = df.select("*", F.inline(F.array(at(block, False), at(block + F.lit(reach + 1), True)))).where(~F.col("_past") | F.col(ms).isNotNull())
     rows = rows.withColumn("_from", F.when(F.col("_past"), F.col(ms)).otherwise(F.col(ms) - F.lit(reach)))
+    rows = rows.repartition(*keys, "_block")  # else rows that are dealt by key already stay so, a key a task
 
     within = Window.partitionBy(*keys, "_block")
     ending = within.orderBy(F.desc("_from")).rangeBetween(Window.unboundedPreceding, Window.currentRow)

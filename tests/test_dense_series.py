@@ -69,3 +69,10 @@ def test_windows_of_two_blocks(spark):
     span = f"try_divide(sum(v) OVER {w}, (max(ms) OVER {w} - min(ms) OVER {w}) / 1000D)"
     want = spark.sql(f"SELECT *, count(v) OVER {w} AS size, sum(v) OVER {w} AS sum, avg(v) OVER {w} AS avg, min(v) OVER {w} AS least, max(v) OVER {w} AS most, {span} AS rate FROM dense")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_blocks_are_dealt_apart(spark):
+    """Also where the rows come by key, from the increase to each row."""
+    df = spark.createDataFrame([(1, 0, 1, 1.0)], "host long, ms long, event_id long, v double")
+    plan = windows.promotion_rate(df, "v", ["host"], "ms", "event_id", 60)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(host#\d+L?, _block#\d+L?", plan)) == 1
