@@ -79,7 +79,8 @@ def high_heap_young_gen(df: DataFrame, seconds: int = 600, collector: str | None
     if collector is not None:
         df = df.where(F.col(collector) == CMS)
     more = {"_full": ("avg", "full_gc_ms"), "_young": ("rate", "young_gc_ms"), "_premature": ("avg", "premature")}
-    rows = promotion_rate(df, "used_mb", KEY, "ms", "event_id", seconds, more)
+    bounds = [("_full", YOUNG_FULL_GC_MS), ("promotion_rate", YOUNG_PROMOTION_MB), ("_young", YOUNG_GC_MS), ("_premature", YOUNG_PREMATURE), ("_premature", 1)]
+    rows = promotion_rate(df, "used_mb", KEY, "ms", "event_id", seconds, more, bounds)
     full, young, premature = (F.col(c) for c in more)
     reason = (
         F.when(is_set(full) & (full > YOUNG_FULL_GC_MS), "full_gc_time")
@@ -92,7 +93,8 @@ def high_heap_young_gen(df: DataFrame, seconds: int = 600, collector: str | None
 
 def generic_resource(df: DataFrame, value: str, threshold: float, seconds: int = 600) -> DataFrame:
     """CONTENDED where the mean use in the window is above the threshold."""
-    rows, mean = over_recent(df.select("host", *ORDER, value), KEY, "ms", seconds, {"mean": ("avg", value)}), F.col("mean")
+    mean = F.col("mean")
+    rows = over_recent(df.select("host", *ORDER, value), KEY, "ms", seconds, {"mean": ("avg", value)}, "event_id", [(mean, threshold)])
     return rows.select("host", *ORDER, "mean", state(is_set(mean) & (mean > threshold), "CONTENDED").alias("state"))
 
 
@@ -132,7 +134,7 @@ def hot_shards(df: DataFrame, seconds: int = 60, thresholds: dict[str, float] =
     keys = ["index", "shard"]
     filled = df.withColumns({r: F.coalesce(F.col(r), F.lit(0.0)) for r in thresholds})
     rates = {f"{r}_rate": ("rate", r) for r in thresholds}
-    filled = over_recent(filled, keys, "ms", seconds, rates)
+    filled = over_recent(filled, keys, "ms", seconds, rates, "event_id", [(F.col(f"{r}_rate"), most) for r, most in thresholds.items()])
     hot = F.lit(False)
     for r, most in thresholds.items():
         hot = hot | (is_set(F.col(f"{r}_rate")) & (F.col(f"{r}_rate") > most))
@@ -178,7 +180,8 @@ def shard_request_cache(df: DataFrame, seconds: int = REJECTION_SECONDS) -> Data
 def old_gen_occupancy(df: DataFrame, seconds: int = 60) -> DataFrame:
     """Unhealthy where the old generation is on average this full in percent."""
     percent = df.select("host", *ORDER, ratio(F.col("old_gen") * 100, F.col("old_gen_max")).alias("percent"))
-    rows, used = over_recent(percent, KEY, "ms", seconds, {"used": ("avg", "percent")}), F.col("used")
+    used = F.col("used")
+    rows = over_recent(percent, KEY, "ms", seconds, {"used": ("avg", "percent")}, "event_id", [(used, OLD_GEN_OCCUPANCY)])
     return rows.select("host", *ORDER, "used", state(is_set(used) & (used >= OLD_GEN_OCCUPANCY)).alias("state"))
 
 

@@ -2,6 +2,8 @@
 
 import random
 import re
+from functools import reduce
+from operator import add
 
 import duckdb
 import pytest
@@ -76,3 +78,64 @@ def test_blocks_are_dealt_apart(spark):
     df = spark.createDataFrame([(1, 0, 1, 1.0)], "host long, ms long, event_id long, v double")
     plan = windows.promotion_rate(df, "v", ["host"], "ms", "event_id", 60)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"hashpartitioning\(host#\d+L?, _block#\d+L?", plan)) == 1
+
+
+def _added(terms):
+    return reduce(add, terms)
+
+
+# A window's seconds, what is added up of its values, their mean where the result is on its bound, and the seconds from its oldest to its newest row.
+ON_BOUND = {
+    "analysis_graph": (900, lambda vs: [v * 100 / 80 for v in vs], 60, lambda vs: 800),
+    "old_gen_occupancy": (3600, lambda vs: [v * 100 / 80 for v in vs], 60, lambda vs: 3000),
+    "high_cpu": (7200, lambda vs: vs, 70, lambda vs: 6000),
+    "hot_shard_node": (7200, lambda vs: vs, 60, lambda vs: round(sum(vs)) * 20),
+    "high_heap_young_gen": (600, lambda vs: [v * 50 for v in vs], 60, lambda vs: round(sum(vs)) / 8),
+    "high_heap_young_gen, promotion": (600, lambda vs: [20 * b - 20 * a for a, b in zip(vs, vs[1:])], None, lambda vs: round((vs[-1] - vs[0]) / 25, 3)),
+}
+
+
+@pytest.mark.parametrize("name", ON_BOUND)
+def test_windows_on_their_bound(against_sql, name):
+    """Sums of another order put a mean or a rate that is the bound just above or below it; so do blocks that end within the window."""
+    seconds, terms, mean, span = ON_BOUND[name]
+    rng = random.Random(5)
+    events = []
+    for n in range(30):
+        while True:
+            cents = [rng.randrange(500, 9000) for _ in range(5)]
+            cents = [*cents, mean * 600 - sum(cents)] if mean else sorted(cents)
+            values, k = [c / 100 for c in cents], rng.randrange(1, len(cents) - 1)
+            t = terms(values)
+            if min(cents) > 0 and (mean or (cents[-1] - cents[0]) % 5 == 0) and _added(t) != _added(t[:k][::-1]) + _added(t[k:]):
+                break
+        size = (seconds + 1) * 1000
+        times = [round(span(values) * 1000 * i / (len(values) - 1)) for i in range(len(values))]
+        split = k + (mean is None)  # the first row's increase is not in its window
+        start = (T0 // size + 1 + 3 * n) * size - (times[split - 1] + times[split]) // 2
+        events += [(len(events) + i, start + at, 3, "error", v) for i, (at, v) in enumerate(zip(times, values))]
+    assert against_sql(name.split(",")[0], events)
+
+
+def test_windows_added_up_again(spark):
+    """All rows on the bound or near it, some at the same time, with and without exact sums: each window's sum in order of time."""
+    rng = random.Random(11)
+    for values in ([60.0, 62.5, 57.5], [0.1, 0.2, 0.3, 0.15, 0.25]):
+        rows = [(n, rng.choice([1, None]), rng.choice([None, *range(0, 9000, 37), 4000, 4000]), rng.choice([None, *values])) for n in range(300)]
+        df = spark.createDataFrame(rows, "n long, k long, ms long, v double")
+        got = windows.over_recent(df, ["k"], "ms", 1, {"mean": ("avg", "v"), "least": ("min", "v"), "size": ("count", "v")}, "n", [(F.col("size") * 0 + 1, 1.0)])
+        assert got.columns == [*df.columns, "mean", "least", "size"]
+        held = {}
+        for n, k, ms, v in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+            held.setdefault(k, []).append((ms, v))
+        for r in got.collect():
+            window = [v for ms, v in held[r.k] if v is not None and (ms is None if r.ms is None else ms is not None and r.ms - 1999 <= ms <= r.ms)]
+            assert (r.size, r.least) == (len(window), min(window, default=None))
+            if r.ms is None:
+                assert (r.mean is None) == (not window)
+            else:
+                total = 0.0
+                for v in window:
+                    total += v
+                assert r.mean == (total / len(window) if window else None)
+        assert got.count() == len(rows)
